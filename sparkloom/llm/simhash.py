@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import small_batches, stash, table
 from sparkloom.llm.components import components
@@ -113,7 +114,19 @@ def pivot_links(fps: DataFrame, bits: int = 2, agreeing: int = 3) -> DataFrame:
     return joined.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classes(rows: DataFrame, bits: int) -> DataFrame:
+    """rows: fp and id. Per distinct fp: least (id), component_id, links."""
+    classes = stash(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
+    links = stash(pivot_links(classes.select("fp"), bits).distinct(), "fingerprint-links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "fp", "component": "root"})
+    members = classes.join(found, "fp").select("fp", "least", "root")
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = members.join(least, "root").select("fp", "component_id").join(degree, "fp")
+    return classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id (cast to long), fp long, component_id long, links long.
 
     Two rows are linked if their fingerprints differ in ``bits`` bits at most; the
@@ -128,17 +141,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str
     the join, so groups of copies of any size count as one.
     """
     rows = stash(fingerprints(docs, words, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "fp"), "fingerprints")
-    classes = stash(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    links = stash(pivot_links(classes.select("fp"), bits).distinct(), "fingerprint-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "fp", "component": "root"})
-    members = classes.join(found, "fp").select("fp", "least", "root")
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.join(least, "root").select("fp", "component_id").join(degree, "fp")
-    placed = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = _classes(rows, bits).select("fp", "component_id", "links")
     return rows.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "links")
 
 
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the least id (null last), of repeated ids one row.
+
+    The rows are written once with their fingerprints; what is joined afterwards is
+    numbers of rows.
+    """
+    small_batches(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(at).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64), pa.int64())], ["whole", "row", "fp"])
+
+    rows = stash(packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])), "fingerprinted")
+    order = F.struct(F.col("whole")[id_col].isNull().alias("none"), F.col("whole")[id_col].cast("long").alias("id"), F.col("row").alias("row"))
+    keys = stash(rows.select("fp", order.alias("id")), "fingerprint-rows")
+    kept = _classes(keys, bits).select("component_id.row").distinct()
+    return rows.join(kept, "row", "left_semi").select("whole.*")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")

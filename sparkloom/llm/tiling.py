@@ -50,9 +50,8 @@ def tile(pattern: list[int], text: list[int], least: int = MIN_MATCH) -> list[tu
                 free_p[p : p + size] = [False] * size
                 free_t[t : t + size] = [False] * size
                 tiles.append((p, t, size))
-            elif size > length:  # partly taken: what is left of it is found again
-                longest = max(longest, length + 1)
-        if any(True for size, p, t in found if all(free_p[p : p + length]) and all(free_t[t : t + length])):
+        # A match that a longer one has cut short may still be long enough: look again at this length.
+        if any(all(free_p[p + k : p + k + length]) and all(free_t[t + k : t + k + length]) for size, p, t in found for k in range(size - length + 1)):
             continue
         if length == least:
             return tiles
