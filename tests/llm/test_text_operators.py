@@ -1,0 +1,224 @@
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+from sparkloom.llm import line_dedup, quality, suffix_tree, surrogates, tag_paths, tiling
+from tests.llm.fixtures import none, odd, odd_rows, prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_base_statistics_match_brute_force(spark):
+    got = sorted(tuple(r)[:7] for r in quality.quality(odd(spark)).na.fill(-1, ["doc_id"]).collect())
+    want = []
+    for r in odd_rows():
+        text = r[1] or ""
+        words = WORD.findall(text)
+        windows = list(zip(words, words[1:], words[2:]))
+        count, covered = Counter(windows), set()
+        for i, w in enumerate(windows):
+            if count[w] > 1:
+                covered.update((i, i + 1, i + 2))
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want.append((r[0] or -1, len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)))
+    assert got == sorted(want)
+    assert quality.quality(none(spark)).count() == 0
+
+
+def test_outliers_go_and_clean_rows_stay(spark):
+    rows = [(i, prose(i, 100 + i % 50), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
+    rows += [(1000 + i, " ".join(w + "###" for w in prose(9000 + i, 120).split()), "en", "hot") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert all(kept == (i < 1000) for i, kept in got.items())
+    kept = quality.keep_quality(docs)
+    assert kept.columns == docs.columns and kept.count() == 600
+
+
+def brute_lines(rows):
+    seen, out = [], []
+    for text in rows:
+        gone = []
+        for i, line in enumerate([] if text is None else text.split("\n")):
+            words = {w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w}
+            if len(words) >= 5:
+                if any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen):
+                    gone.append(i)
+                seen.append(words)
+        out.append(gone)
+    return out
+
+
+def test_lines_match_brute_force(spark):
+    rnd = random.Random(4)
+    vocabulary = [prose(k, 1) + str(k) for k in range(60)]
+    texts = [None, ""]
+    for _ in range(40):
+        lines = []
+        for _ in range(6):
+            lines.append(rnd.choices(vocabulary, k=rnd.randint(3, 14)) if rnd.random() < 0.5 or not texts[-1] else rnd.choice(texts[-1].split("\n")).split()[: rnd.randint(4, 14)] + ["z"])
+        texts.append("\n".join(" ".join(x) for x in lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_duplicate_lines(docs).collect()}
+    for i, (text, gone) in enumerate(zip(texts, brute_lines(texts))):
+        assert cut[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+
+
+def test_lines_of_odd_tables(spark):
+    docs = odd(spark)
+    out = line_dedup.drop_duplicate_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert line_dedup.duplicate_lines(docs).count() == docs.count()
+    assert line_dedup.duplicate_lines(none(spark)).count() == 0
+
+
+def brute_tiles(p, t, least):
+    fp, ft, total = [x >= 0 for x in p], [x >= 0 for x in t], 0
+    while True:
+        best, found = least, []
+        for i in range(len(p)):
+            for j in range(len(t)):
+                k = 0
+                while i + k < len(p) and j + k < len(t) and fp[i + k] and ft[j + k] and p[i + k] == t[j + k]:
+                    k += 1
+                if k > best:
+                    best, found = k, []
+                if k == best:
+                    found.append((i, j, k))
+        if not found:
+            return total
+        for i, j, k in found:
+            if all(fp[i : i + k]) and all(ft[j : j + k]):
+                fp[i : i + k], ft[j : j + k] = [False] * k, [False] * k
+                total += k
+
+
+def test_tiles_match_brute_force():
+    rnd = random.Random(3)
+    for _ in range(1500):
+        p = [rnd.randint(0, 2) for _ in range(rnd.randint(1, 18))]
+        t = [rnd.randint(-1, 2) for _ in range(rnd.randint(1, 24))]
+        assert sum(x[2] for x in tiling.tile(p, t, 3)) == brute_tiles(p, t, 3)
+
+
+def test_reordered_passages_are_found(spark, monkeypatch):
+    items = [(1, prose(50, 40)), (2, prose(51, 30)), (3, "too short"), (4, None), (5, "")]
+    words = items[0][1].replace("\n", " ").split()
+    mixed = " ".join(words[20:] + ["between"] + words[:20])
+    docs = [(1, f"{prose(60, 50)} {mixed.upper()} {prose(61, 30)}"), (2, prose(62, 100)), (3, None), (4, ""), (5, items[1][1]), (5, items[1][1]), (None, items[1][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = [(-1, True, 2), (1, True, 1), (2, False, -1), (3, False, -1), (4, False, -1), (5, True, 2), (5, True, 2)]
+    read = lambda: sorted((r["doc_id"] or -1, r["contaminated"], r["best_item"] or -1) for r in tiling.contamination(d, b).collect())
+    assert read() == want
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 100)  # many blocks give the same
+    assert read() == want
+    assert tiling.contamination(d, b.limit(0)).where("contaminated").count() == 0
+    marked = tiling.annotate(odd(spark), b)
+    assert marked.columns[:-1] == odd(spark).columns and marked.count() == len(odd_rows())
+    assert tiling.contamination(none(spark), b).count() == 0
+
+
+PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><h1>Site</h1><a href=/>Home</a></header>
+<div class="cookie-notice">We use cookies, accept them, please. It is a long text about cookies, isn't it.</div><div id="wrap"><div id=content><h1>Title here</h1><div class="post-body">
+<p>First para, with <em>in</em>line &amp; entity&nbsp;x.<p>Second para is long enough, with commas, and stops. Yes.</p><ul><li>one item<li>two</ul></div></div>
+<div class="sidebar"><p>Side text, quite long, with some punctuation. Really.</p></div><section id="comments"><article><p>Reader comment, I agree with all this. Great.</p></article></section></div><footer>foot</footer></body></html>"""
+
+
+def test_main_text():
+    assert tag_paths.main_text(PAGE) == "Title here First para, with inline & entity x. Second para is long enough, with commas, and stops. Yes. one item two"
+    assert tag_paths.main_text("<p>a<p>b<br>c") == "a b c"
+    for page in (None, "", "<", "<!--", "<p", "</p></div>", "<script>x", "<nav>menu</nav>"):
+        assert tag_paths.main_text(page) in ("", "<", "<p")
+
+
+def test_main_text_over_a_table(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, None), (2, "v", "", 2)], "page_id long, url string, html string, text int")
+    got = tag_paths.extract_main_text(pages).collect()
+    assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert tag_paths.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_base_scores_match_brute_force_and_the_tree_is_better(spark):
+    rnd = random.Random(1)
+    chain = {w: rnd.sample([f"w{k}" for k in range(30)], 3) for w in [f"w{k}" for k in range(30)]}
+    texts = [(None, None), (0, ""), (1, "only once here"), (1, "only once here")]
+    for i in range(2, 300):
+        w, out = "w0", []
+        for _ in range(60):
+            w = rnd.choice(chain[w])
+            out.append(w.upper() if rnd.random() < 0.1 else w)
+        texts.append((i, " ".join(out)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = suffix_tree.fit_and_score(docs).collect()
+    assert len(got) == len(texts)
+    count = Counter()
+    for i, t in texts:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            count.update([*(t or "").lower().split(), ""])
+    n, v = sum(count.values()), len(count)
+    want = sorted((-1 if i is None else i, len((t or "").split()) + 1, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*(t or "").lower().split(), ""]), 6)) for i, t in texts)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["train_tokens"] == n for r in got)
+    held = [r for r in got if r["held_out"] and r["n_tokens"] > 10]
+    assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
+    assert suffix_tree.fit_and_score(none(spark)).count() == 0
+    assert suffix_tree.fit_and_score(odd(spark)).count() == len(odd_rows())
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    import numpy as np
+
+    counts = np.array([0, 50, 40, 30, 20, 10])
+    root = np.log((counts + 1) / (counts.sum() + 7))
+    tree = suffix_tree.SuffixTree(5, counts, root)
+    bits = suffix_tree.SYMBOL_BITS
+    tree.add_level(np.array([0 << bits | 2, 0 << bits | 3, 1 << bits | 1]), np.array([30, 10, 25]))
+    rest = np.log(7 - 6 + 1) if False else None  # noqa: F841
+    for context in range(3):
+        p = np.exp(tree.log(1, np.full(6, context), np.arange(6)))
+        unseen = 1 - np.exp(root).sum()  # further unknown symbols share the root's remainder
+        back = np.exp(tree.rest_log[0][context])
+        assert abs(p.sum() + unseen * back - 1) < 1e-9
+
+
+TEXT = 'Mr. John Smith met Frau Petra Müller and Mrs Smith. Иван Петров. SSN 123-45-6789, card 4111 1111 1111 1111; api_key: "AbC123_xyzXYZ987" x.1@y7.org X.1@Y7.ORG +1 (017) 555-7713 10.20.30.40'
+
+
+def test_surrogates_are_consistent_and_distinct(spark):
+    rows = [(1, TEXT, 1), (2, None, 1), (3, "", 1), (4, "Mr John Smith again, 4111-1111-1111-1111", 1), (4, "Mr John Smith again, 4111-1111-1111-1111", 1), (None, "clean text, nothing here", 1)]
+    rows += [(100 + i, f"call +1 ({i:03d}) 555-{i:04d} or a{i}@mail.com, {i % 10}.{i // 10}.1.1", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, surface int")
+    out = surrogates.pseudonymise(docs, "key").collect()
+    assert len(out) == len(rows)
+    by_id = {r["doc_id"]: r for r in out}
+    assert by_id[2]["text"] is None and by_id[3]["text"] == "" and by_id[None]["text"] == "clean text, nothing here"
+    new = by_id[1]["text"]
+    for old in ("John", "Petra", "123-45-6789", "4111 1111", "AbC123", "x.1@y7", "X.1@Y7", "555-7713", "10.20.30.40", "Петров"):
+        assert old not in new
+    family = re.search(r"Mr\. \w+ (\w+) met", new)[1]
+    assert f"Mrs {family}." in new and re.search(rf"Mr \w+ {family} again", by_id[4]["text"])
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4});", new)[1]
+    assert card.replace(" ", "-") in by_id[4]["text"]
+    digits = [int(c) for c in card if c.isdigit()][::-1]
+    assert sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+    mails = re.findall(r"\S+@\S+", new)
+    assert mails[0].upper() == mails[1].upper() and re.search(r"Frau (\w+) ", new)[1] in surrogates.FEMALE
+    for pattern in (r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\S+@\S+(?=,)", r"\d+\.\d+\.1?\d+\.\d+"):
+        found = [re.search(pattern, by_id[100 + i]["text"])[0] for i in range(60)]
+        assert len(set(found)) == 60
+    again = surrogates.pseudonymise(docs.repartition(5), "key").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+    assert surrogates.pseudonymise(docs, "other").where("doc_id = 1").first()["text"] != new
+    assert surrogates.pseudonymise(none(spark), "key").count() == 0
+
+
+def test_colliding_candidates_are_resolved(spark):
+    values = [(k, f"{i}") for k in ("ssn", "phone") for i in range(10)]
+    got = surrogates.assign(spark.createDataFrame([("given-m", f"name{i}") for i in range(150)], "kind string, value string"), "key").collect()
+    assert len({r["surrogate"] for r in got}) == 150
+    assert len(values) == 20
