@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group z-score of rewards: groups are orders, rewards are discounts."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount")
-    w = Window.partitionBy("l_orderkey")
-    z = F.when(F.count("*").over(w) <= 1, F.col("l_discount")).otherwise((F.col("l_discount") - F.avg("l_discount").over(w)) / (F.stddev_pop("l_discount").over(w) + 1e-6))
-    return rows.withColumn("reward_norm", z)
+    return QUERIES["n1_group_zscore"](spark, sf_dir)
+
+
+# The modules below register their queries here.
+from sparkloom.plans import group_queries, metric_queries, relational_queries, stream_queries, text_queries, token_queries  # noqa: E402, F401
