@@ -136,17 +136,19 @@ def _card(value: Column, stream: Column) -> Column:
     return F.when(_luhn_sum(value) % 10 == 0, check).otherwise(_by_class(value, stream))
 
 
-def _octets(value: Column, stream: Column) -> Column:
+def _octets(value: Column, stream: Column, attempt: Column) -> Column:
+    """Numbers of as many digits; after 16 attempts of any."""
+
     def one(o: Column, i: Column) -> Column:
         n = _nibble(stream, i)
-        return F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
+        return F.when(attempt >= 16, n % 254 + 1).when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
 
     return F.when(value.contains(":"), F.array_join(F.transform(F.split(value, ":"), lambda g, i: F.substring(stream, i * 4 + 1, F.length(g))), ":")).otherwise(F.array_join(F.transform(F.split(value, r"\."), one), "."))
 
 
-def _syllables(value: Column, stream: Column, first: int) -> Column:
-    """A made-up name of about the same length, in the same script."""
-    count = F.greatest(F.lit(2), F.least(F.lit(10), F.floor((F.length(value) + 1) / 2).cast("int")))
+def _syllables(value: Column, stream: Column, attempt: Column, first: int) -> Column:
+    """A made-up name of about the same length, in the same script; longer after some attempts."""
+    count = F.greatest(F.lit(2), F.least(F.lit(10), F.floor((F.length(value) + 1) / 2).cast("int"))) + F.floor(attempt / 6).cast("int")
     made = lambda values: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _pick(values, _nibble(stream, i + first))), "")
     return F.when(value.rlike(r"\p{IsCyrillic}"), made(SYLLABLES_CYRILLIC)).otherwise(made(SYLLABLES))
 
@@ -162,7 +164,7 @@ def _given(value: Column, kind: Column, stream: Column, attempt: Column) -> Colu
         name = F.when(cyrillic, F.lower(_pick(other, n))).otherwise(F.lower(_pick(latin, n)))
         second = F.when(cyrillic, F.lower(_pick(other, m))).otherwise(F.lower(_pick(latin, m)))
         ending = {"given-m": F.when(cyrillic, "ов").otherwise("us"), "given-f": F.when(cyrillic, "ия").otherwise("ia"), "given-n": F.lit("")}[k]
-        made = F.when(attempt < 4, name).when(attempt < 8, F.concat_ws("-", name, second)).otherwise(F.concat(_syllables(value, stream, 3), ending))
+        made = F.when(attempt < 4, name).when(attempt < 8, F.concat_ws("-", name, second)).otherwise(F.concat(_syllables(value, stream, attempt, 3), ending))
         out = F.when(kind == k, made) if out is None else out.when(kind == k, made)
     return out
 
@@ -172,10 +174,10 @@ def candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 
     def of(stream: Column) -> Column:
         domain = F.regexp_extract(value, r"@(.*)(\.[^.]+)$", 1)
-        mail = F.concat(_by_class(F.regexp_extract(value, r"^(.*)@", 1), stream), F.lit("@"), _by_class(domain, _stream(key, F.lit("domain"), domain, F.lit(0), 3)), F.regexp_extract(value, r"(\.[^.]+)$", 1))
+        mail = F.concat(_by_class(F.concat(F.regexp_extract(value, r"^(.*)@", 1), F.repeat(F.lit("a"), F.floor(attempt / 6).cast("int"))), stream), F.lit("@"), _by_class(domain, _stream(key, F.lit("domain"), domain, F.lit(0), 3)), F.regexp_extract(value, r"(\.[^.]+)$", 1))
         return (
-            F.when(kind == "email", mail).when(kind == "ip", _octets(value, stream)).when(kind == "card", _card(value, stream)).when(kind.isin("phone", "ssn"), _by_class(value, stream))
-            .when(kind == "iban", F.concat(F.substring(value, 1, 2), _by_class(F.substring(value, F.lit(3), F.length(value)), stream))).when(kind == "family", _syllables(value, stream, 0))
+            F.when(kind == "email", mail).when(kind == "ip", _octets(value, stream, attempt)).when(kind == "card", _card(value, stream)).when(kind.isin("phone", "ssn"), _by_class(value, stream))
+            .when(kind == "iban", F.concat(F.substring(value, 1, 2), _by_class(F.substring(value, F.lit(3), F.length(value)), stream))).when(kind == "family", _syllables(value, stream, attempt, 0))
             .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _hexes(value, stream)).otherwise(_by_class(value, stream))).otherwise(_given(value, kind, stream, attempt))
         )
 
@@ -187,7 +189,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
     Kinds of given names share their replacements with family names nowhere: each kind is
     checked on its own. Entities whose candidate is taken try again with the next
-    attempt; of several with one candidate the least value has it.
+    attempt; of several with one candidate the least value has it. Kinds with few forms
+    (short names, addresses of few digits) get longer ones after some attempts, so the rounds end.
     """
     settled = None
     open_ = stash(entities.select("kind", "value", F.lit(0).alias("attempt")), "entities")
