@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches, table
+from sparkloom.llm.common import merged, small_batches, table
 from sparkloom.llm.pieces import PieceMemo
 
 #: Entries of the memo of token pairs after which it is emptied.
@@ -201,7 +201,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value, pattern)
-        for batch in batches:
+        for batch in merged(batches, 1):
             ids = codec.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

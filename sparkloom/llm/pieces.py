@@ -1,25 +1,33 @@
 """Fast splitting of texts into the pieces of a byte-level tokenizer, with memoised results.
 
-A piece never runs from a character that is not white space over a following space,
-so every space after such a character starts a new piece. Texts are therefore cut
-at spaces first, and the tokens of each cut are memoised; the pattern itself only
-runs on cuts not met before.
+With the byte-level pattern below a piece never runs from a character that is not
+white space over a following space, so every space after such a character starts
+a new piece. Batches of texts are therefore cut at spaces first (in Arrow, which also
+finds the distinct cuts), and the tokens of each distinct cut are looked up in a memo;
+the pattern itself only runs on cuts not met before. Other patterns run on whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: Fixed value: the pattern of byte-level pre-tokenizers that the cuts are valid for.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: Entries of a memo after which it is emptied, and the longest text that is kept in it.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_000_000
 MEMO_CHARS = 48
 
 #: White space other than the space.
 _OTHER_SPACE = frozenset(c for c in map(chr, range(0x10000)) if c != " " and (c.isspace() or regex.match(r"\s", c)))
-_COMMON = ("  ", "\n ", "\t ", "\r ")
-_ODD = [c + " " for c in _OTHER_SPACE if c not in "\n\t\r"]
+#: Texts in which a space may belong to a longer run of white space.
+_RUNS = "^ |[ " + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(_OTHER_SPACE)) + "] "
+_PUNCTUATION = frozenset(".,;:!?%*#&$|")
 
 
 class PieceMemo:
@@ -30,53 +38,74 @@ class PieceMemo:
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
         self.find = regex.compile(pattern).findall
+        self.cutting = pattern == BYTE_LEVEL
         self.encode = encode
         self.entries = entries
         #: By the text of a cut without the space that it starts with.
         self.cuts: dict[str, bytes] = {}
+        #: Pieces that don't start with a space.
         self.pieces: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.cuts) > self.entries:
             self.cuts = {}
-        if len(self.pieces) > self.entries:
+        if len(self.pieces) > self.entries // 8:
             self.pieces = {}
-        cut = [cuts_of(text) for text in texts]
-        get, found, missing = self.cuts.get, [], set()
-        for _, rest in cut:
-            ids = list(map(get, rest))
-            found.append(ids)
-            if None in ids:
-                missing.update([x for x, y in zip(rest, ids, strict=True) if y is None])
-        split = {(x,): self.find(" " + x) for x in missing} | {head: self.find(head) for head, _ in cut}
-        told = self._learn({p for pieces in split.values() for p in pieces})
-        fresh = {x: b"".join([told[p] for p in pieces]) for x, pieces in split.items()}
-        self.cuts.update((x, fresh[(x,)]) for x in missing if len(x) <= MEMO_CHARS)
-        return [fresh[head] + b"".join(ids if None not in ids else [y if y is not None else fresh[(x,)] for x, y in zip(rest, ids, strict=True)]) for (head, rest), ids in zip(cut, found, strict=True)]
+        if not texts:
+            return []
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, _RUNS).to_numpy(zero_copy_only=False) if self.cutting else np.ones(len(texts), bool)
+        column = pc.if_else(pa.array(whole), "", column) if whole.any() else column
+        words = pc.split_pattern(column, " ")
+        offsets = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # What stands before the first cut has no space: one more entry for each text.
+        heads = [t if w else t.partition(" ")[0] for t, w in zip(texts, whole.tolist(), strict=True)]
+        codes[offsets[:-1]] = np.arange(len(texts)) + len(distinct)
+        entries = self._entries(distinct, heads)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(entries), "<u4")
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts[codes] - (ends - size), size) + np.arange(int(ends[-1]))].tobytes()
+        bounds = (np.concatenate([[0], ends])[offsets] * 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of these pieces; those that are new and not too long are kept."""
-        known = self.pieces
-        ask = [p for p in pieces if p not in known]
-        told = dict(zip(ask, self.encode(ask), strict=True)) if ask else {}
-        told.update((p, known[p]) for p in pieces if p not in told)
-        known.update((p, told[p]) for p in ask if len(p) <= MEMO_CHARS)
-        return told
+    def _entries(self, cuts: list[str], heads: list[str]) -> list[bytes]:
+        """The ids of each cut (with its space), then of each head."""
+        out = list(map(self.cuts.get, cuts))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        split = [self._cut_pieces(cuts[i]) for i in missing] + [self.find(h) for h in heads]
+        told = self._learn({p for pieces in split for p in pieces})
+        for i, pieces in zip(missing, split, strict=False):
+            ids = told[pieces[0]] if len(pieces) == 1 else b"".join([told[p] for p in pieces])
+            out[i] = ids
+            if len(cuts[i]) <= MEMO_CHARS:
+                self.cuts[cuts[i]] = ids
+        return out + [b"".join([told[p] for p in pieces]) for pieces in split[len(missing) :]]
 
+    def _cut_pieces(self, cut: str) -> list[str]:
+        """The pieces of a space and a cut. Latin letters, with one mark after them at most, need no pattern."""
+        if cut and cut < "\u0250" and max(cut) < "\u0250":
+            if cut.isalpha():
+                return [" " + cut]
+            if cut[-1] in _PUNCTUATION and cut[:-1].isalpha():
+                return [" " + cut[:-1], cut[-1]]
+        return self.find(" " + cut)
 
-def cuts_of(text: str) -> tuple[str, list[str]]:
-    """The text, cut before each space that follows a character that is not white space: what is before the first cut, and the rest without the space at the start of each."""
-    first, *rest = text.split(" ")
-    if not rest:
-        return first, rest
-    if first and not any(x in text for x in _COMMON) and not any(x in text for x in _ODD):
-        return first, rest
-    out, in_space = [first], not first or first[-1].isspace() or first[-1] in _OTHER_SPACE
-    for x in rest:
-        if in_space:
-            out[-1] += " " + x
-        else:
-            out.append(x)
-        in_space = not x or x[-1].isspace() or x[-1] in _OTHER_SPACE
-    return out[0], out[1:]
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of these pieces; those that are new and not too long are kept. A piece that starts with a space is a cut as well."""
+        cuts, others = self.cuts.get, self.pieces.get
+        told = {p: cuts(p[1:]) if p[0] == " " else others(p) for p in pieces}
+        ask = [p for p, ids in told.items() if ids is None]
+        told.update(zip(ask, self.encode(ask), strict=True) if ask else ())
+        for p in ask:
+            if len(p) <= MEMO_CHARS:
+                if p[0] == " ":
+                    self.cuts[p[1:]] = told[p]
+                else:
+                    self.pieces[p] = told[p]
+        return told

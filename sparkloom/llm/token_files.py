@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import parallelism, running_offsets, small_batches, stash, table, unstash
+from sparkloom.llm.common import merged, parallelism, running_offsets, small_batches, stash, table, unstash
 from sparkloom.llm.pieces import PieceMemo
 
 #: Ids after which a block is closed (a document is never cut).
@@ -87,7 +87,7 @@ class LibraryEncoder:
         out: list[bytes] = []
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(self.separator[1].join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.separator[1].join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator[0])
             starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
             raw = ids.tobytes()
@@ -126,35 +126,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())
+        raw_content = f.read()
+    content = spark.sparkContext.broadcast(raw_content)
+    width = "<u2" if max(end_id, *LibraryEncoder(raw_content, pattern).tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value, pattern)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in merged(batches, 1):
             ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            narrow = [np.frombuffer(x, "<u4") for x in ids]
-            narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in narrow]
+            narrow = ids if width == "<u4" else [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(narrow, pa.binary())], ["doc_id", "n", "ids"])
 
-    def widen(n: int, raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
-
     # The texts are encoded once; ordering and counting read these ids.
     encoded = stash(rows.mapInArrow(encode, "doc_id long, n int, ids binary"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = np.bincount(widen(n, raw), minlength=len(total))
-                one[: len(total)] += total
-                total = one
+            one = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=len(total))
+            one[: len(total)] += total
+            total = one
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    counts = encoded.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("count"))
+    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("count"))
     # One row for each id of the vocabulary.
     found = sorted(((r["id"], r["count"]) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
     by_id = {i: rank for rank, (i, _) in enumerate(found)}
@@ -171,7 +168,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
         lookup, block, before, held, size = shared.value, 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate([widen(n, raw) for _, _, n, raw in held])
+            ids = np.frombuffer(b"".join([raw for _, _, _, raw in held]), width)
             control, data = pack(lookup[ids])
             return pa.RecordBatch.from_arrays(
                 [
