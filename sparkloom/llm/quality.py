@@ -127,9 +127,12 @@ def _distance() -> Column:
     return total
 
 
-def _distance_bins(rows: DataFrame, estimates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    near = rows.join(estimates, "key").withColumn("bin", F.floor(F.log2(1 + _distance()) * DISTANCE_BINS))
-    return near, near.groupBy("key", "bin").agg(F.count("*").alias("n"))
+def _bin() -> Column:
+    return F.floor(F.log2(1 + _distance()) * DISTANCE_BINS)
+
+
+def _distance_bins(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    return rows.join(estimates, "key").groupBy("key", _bin().alias("bin")).agg(F.count("*").alias("n"))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -148,14 +151,15 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     diagonal = {(i, j): F.col(f"s{i}") ** 2 if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)}
     now = stash(first.select("key", "n", *[f"m{i}" for i in range(d)], *_factor(diagonal)), "mcd")
     for _ in range(STEPS):
-        near, bins = _distance_bins(rows, now)
-        core = near.join(_quantiles(bins, ["key"], {"limit": CORE}).select("key", "limit"), "key").where(F.col("bin") <= F.col("limit"))
+        # A written table of limits: the join of the rows to it can split a group that holds most of them.
+        limits = stash(now.join(_quantiles(_distance_bins(rows, now), ["key"], {"limit": CORE}).select("key", "limit"), "key"), "mcd-limits")
+        core = rows.join(limits, "key").where(_bin() <= F.col("limit"))
         sums = core.groupBy("key").agg(F.max("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"v{i}{j}") for i in range(d) for j in range(i + 1)])
         nxt = stash(sums.select("key", "n", *[f"m{i}" for i in range(d)], *_factor({(i, j): F.col(f"v{i}{j}") for i in range(d) for j in range(i + 1)})), "mcd")
         unstash(now)
+        unstash(limits)
         now = nxt
-    _, bins = _distance_bins(rows, now)
-    middle = _quantiles(bins, ["key"], {"half": 0.5}).select("key", F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), F.col("half") / DISTANCE_BINS) - 1) / 3.357).alias("scale"))
+    middle = _quantiles(_distance_bins(rows, now), ["key"], {"half": 0.5}).select("key", F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), F.col("half") / DISTANCE_BINS) - 1) / 3.357).alias("scale"))
     out = stash(now.join(middle, "key"), "mcd-estimates")
     unstash(now)
     return out
