@@ -141,7 +141,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str
     the join, so groups of copies of any size count as one.
     """
     rows = stash(fingerprints(docs, words, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "fp"), "fingerprints")
-    placed = _classes(rows, bits).select("fp", "component_id", "links")
+    # Written, so that the join can split a fingerprint that very many rows share.
+    placed = stash(_classes(rows, bits).select("fp", "component_id", "links"), "fingerprint-components")
     return rows.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "links")
 
 
