@@ -106,7 +106,8 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     rank = F.row_number().over(Window.partitionBy("class", "pid").orderBy("digest")) - 1
     # Both tables have a row for each class (and partition), at most.
     ranked = groups.withColumn("rank", rank).join(F.broadcast(offsets), ["class", "pid"]).join(F.broadcast(plan), "class")
-    placed = ranked.select("digest", F.size(F.filter("ends", lambda e: e <= F.col("rank") + F.col("before"))).cast("int").alias("shard"))
+    # Written, so that the join can split a text that very many rows share.
+    placed = stash(ranked.select("digest", F.size(F.filter("ends", lambda e: e <= F.col("rank") + F.col("before"))).cast("int").alias("shard")), "shard-groups-placed")
 
     ordered = rows.join(placed, "digest").repartitionByRange(parallelism(spark), "shard", F.col("_id").asc_nulls_first(), "digest")
     ordered = stash(ordered.select(F.spark_partition_id().alias("pid"), "*"), "shard-order")
@@ -116,6 +117,7 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     out = ordered.withColumn("local", local).join(F.broadcast(offsets), ["shard", "pid"])
     unstash(rows)
     unstash(groups)
+    unstash(placed)
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "digest", "shard", (F.col("local") + F.col("before")).cast("long").alias("slot"))
 
 
