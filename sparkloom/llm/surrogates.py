@@ -31,12 +31,15 @@ _TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join([*MALE, *FEMALE, *MALE_CYRILLIC, *FEMALE_CYRILLIC])
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})"
+#: IPv6 with a run of zeros left out, but for :: alone.
+_SHORT_IPV6 = rf"(?<![\p{{L}}\p{{N}}:])(?=:{{0,2}}[0-9A-Fa-f])(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}[0-9A-Fa-f]{{0,4}}(?![\p{{L}}\p{{N}}:])){_GROUPS}?::{_GROUPS}?(?![\p{{L}}\p{{N}}:])"
 
 #: In order of precedence at one place.
 PATTERNS = {
     "secret": r"""(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{12,}|""" + _START + r"(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END,
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}" + _END,
-    "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])|" + _SHORT_IPV6,
     "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}" + _END + r"|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}" + _END,
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
@@ -44,8 +47,8 @@ PATTERNS = {
     "name": _START + rf"(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME})" + _END,
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has: a digit, an at sign, a title or a given name. Rows without one are not searched further.
-HINT = rf"[0-9@]|\p{{N}}|(?:token|secret|passw|key)|(?i:token|secret|passw|key)\S? ?[=:]|{_START}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
+#: What every entity has: a digit, an at sign, two colons about hexadecimal digits, a word for a secret in any case, a title or a given name. Rows without one are not searched further.
+HINT = rf"[0-9@]|\p{{N}}|:[0-9A-Fa-f]{{0,4}}:|(?i:token|secret|passw|key)|{_START}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
 
 #: Secrets in which case means nothing.
 _HEX = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
@@ -137,13 +140,15 @@ def _card(value: Column, stream: Column) -> Column:
 
 
 def _octets(value: Column, stream: Column, attempt: Column) -> Column:
-    """Numbers of as many digits; after 16 attempts of any."""
+    """Numbers of as many digits; after 16 attempts of any, and IPv6 in full."""
 
     def one(o: Column, i: Column) -> Column:
         n = _nibble(stream, i)
         return F.when(attempt >= 16, n % 254 + 1).when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
 
-    return F.when(value.contains(":"), F.array_join(F.transform(F.split(value, ":"), lambda g, i: F.substring(stream, i * 4 + 1, F.length(g))), ":")).otherwise(F.array_join(F.transform(F.split(value, r"\."), one), "."))
+    groups = F.array_join(F.transform(F.split(value, ":"), lambda g, i: F.substring(stream, i * 4 + 1, F.length(g))), ":")
+    full = F.concat_ws(":", *[F.substring(stream, i * 4 + 1, 4) for i in range(8)])
+    return F.when(value.contains(":"), F.when(attempt >= 16, full).otherwise(groups)).otherwise(F.array_join(F.transform(F.split(value, r"\."), one), "."))
 
 
 def _syllables(value: Column, stream: Column, attempt: Column, first: int) -> Column:

@@ -222,3 +222,35 @@ def test_colliding_candidates_are_resolved(spark):
     got = surrogates.assign(spark.createDataFrame([("given-m", f"name{i}") for i in range(150)], "kind string, value string"), "key").collect()
     assert len({r["surrogate"] for r in got}) == 150
     assert len(values) == 20
+
+
+def test_every_match_passes_the_hint(spark):
+    rnd = random.Random(8)
+    letters = "abcdefghijkLMNOP"
+    word = lambda n: "".join(rnd.choices(letters, k=n))
+    mixed = lambda w: "".join(rnd.choice([c.lower(), c.upper()]) for c in w)
+    group = lambda: "".join(rnd.choices("abcdefABCDEF", k=rnd.randint(1, 4)))
+    texts = ["dead::beef", "::ab", "fe::", "::"]
+    for _ in range(400):
+        key = mixed(rnd.choice(["token", "secret", "password", "passwd", "api_key", "apikey", "access-key"]))
+        texts.append(f"{key}{rnd.choice(['', chr(34), ' ', '  '])}{rnd.choice('=:')}{rnd.choice(['', ' ', '  ', chr(39)])}{word(rnd.randint(10, 20))}")
+        texts.append(":".join(group() for _ in range(8)))
+        texts.append(f"{':'.join(group() for _ in range(rnd.randint(0, 3)))}::{':'.join(group() for _ in range(rnd.randint(0, 3)))}")
+        texts.append(f"{rnd.choice(['Dr', 'Frau', 'Peter', 'Анна'])}{rnd.choice(['', '.'])} {word(1).upper()}{word(4).lower()}")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.where(rows["text"].rlike(surrogates.ALL))
+    assert found.count() > 1200
+    assert found.where(~found["text"].rlike(surrogates.HINT)).count() == 0
+
+
+def test_secrets_without_digits_and_short_addresses_go(spark):
+    texts = ["Password: HorseBatteryStaple", "PASSWORD=CorrectHorseBattery", "SECRET = abcdefghijklmnop", "from 2001:db8::1, fe80::ab:1 and dead::beef.", "plain: text :: here"]
+    texts += [f"at ::{i:x} now" for i in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(docs, "key").collect()}
+    for i, old in ((0, "HorseBatteryStaple"), (1, "CorrectHorseBattery"), (2, "abcdefghijklmnop"), (3, "2001:db8::1"), (3, "fe80::ab:1"), (3, "dead::beef")):
+        assert old not in got[i]
+    assert re.fullmatch(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f], [0-9a-f]{4}::[0-9a-f]{2}:[0-9a-f] and [0-9a-f]{4}::[0-9a-f]{4}\.", got[3])
+    assert got[4] == texts[4]
+    short = {got[i] for i in range(5, 21)}
+    assert len(short) == 16 and short.isdisjoint(texts)
