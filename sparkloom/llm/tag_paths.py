@@ -62,21 +62,33 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，！？؟،¿¡]")
 
 
 class _Element:
-    __slots__ = ("barred", "label", "length", "parent", "tag")
+    """never: holds no article text, whatever it is marked as. marks: the words that say so by its class, id or role."""
 
-    def __init__(self, tag: str, parent: _Element | None, label: str, barred: bool):
-        self.tag, self.parent, self.label, self.barred, self.length = tag, parent, label, barred, 0
+    __slots__ = ("barred", "label", "length", "marks", "never", "parent", "tag")
 
+    def __init__(self, tag: str, parent: _Element | None, label: str, never: bool, marks: frozenset = frozenset()):
+        self.tag, self.parent, self.label, self.never, self.marks, self.length = tag, parent, label, never, marks, 0
+        self.barred = never or bool(marks) or parent is not None and parent.barred
 
-def _marked(attributes: str) -> bool:
+    def chain(self) -> list[_Element]:
+        """The element and all that hold it, the innermost first."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out
+
+
+def _marks(attributes: str) -> tuple[bool, frozenset]:
+    """Whether the element is hidden, and its marks."""
+    marks, hidden = set(), bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            if MARKS.intersection(_WORDS.findall(value.lower())):
-                return True
+            marks |= MARKS.intersection(_WORDS.findall(value.lower()))
         elif name == "aria-hidden" and value.strip("\"'").lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+            hidden = True
+    return hidden, frozenset(marks)
 
 
 def _nodes(page: str) -> list[tuple[_Element, int, str]]:
@@ -130,7 +142,8 @@ def _nodes(page: str) -> list[tuple[_Element, int, str]]:
             if e is not None and e.tag in ends:
                 here = e.parent
         attributes = m[2] or ""
-        barred = here.barred or tag in NEVER or tag == "header" and not inside("article") or bool(attributes) and tag not in ("html", "body") and tag not in HOLDS and _marked(attributes)
+        hidden, marks = _marks(attributes) if attributes and tag not in ("html", "body") and tag not in HOLDS else (False, frozenset())
+        never = hidden or tag in NEVER or tag == "header" and not inside("article")
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
@@ -140,7 +153,7 @@ def _nodes(page: str) -> list[tuple[_Element, int, str]]:
             continue
         if m[0].endswith("/>") and tag not in INLINE:
             continue
-        here = _Element(tag, here, f"{here.label}/{tag}", barred)
+        here = _Element(tag, here, f"{here.label}/{tag}", never, marks)
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -172,25 +185,97 @@ def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[tuple[str, bool]
     return {path: math.sqrt(a * (1 + b)) for path, a, b in zip(sums, lengths, marks, strict=True)}
 
 
-def main_text(page: str | None) -> str:
-    """The article's text: blocks in page order, joined by one space."""
-    nodes = _nodes(page or "")
+def _length(text: str) -> int:
+    return len("".join(text.split()))
+
+
+def _passing(nodes: list[tuple[_Element, int, str]]) -> set[str]:
+    """The labels of the paths that are not barred and reach the threshold."""
     scores = path_scores(nodes)
-    free = {p: s for p, s in scores.items() if not p[1]}
+    free = {label: s for (label, barred), s in scores.items() if not barred}
     if not free:
-        return ""
+        return set()
     mean = sum(scores.values()) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
     threshold = min(spread, 0.5 * max(free.values())) if len(free) > 1 else 0.0
+    return {label for label, s in free.items() if s >= threshold}
+
+
+def _bar(nodes: list[tuple[_Element, int, str]]) -> None:
+    """Settles which elements are barred. A mark on what holds most of the page's content by path scores says nothing: that is a wrapper.
+
+    Most is 0.8, or over a half with the page's h1 or main element. This holds for an
+    element, then for a word on all elements that still have it as a mark (an article in pieces).
+    """
+    elements = {id(e): e for element, _, _ in nodes for e in reversed(element.chain())}
+    if not any(e.marks for e in elements.values()):
+        return
+
+    def settle() -> None:
+        for e in elements.values():  # parents come first
+            e.barred = e.never or bool(e.marks) or e.parent is not None and e.parent.barred
+
+    kept = {k: e.marks for k, e in elements.items()}
+    for e in elements.values():
+        e.marks = frozenset()
+    settle()
+    passing = _passing(nodes)
+    content = [(element.chain(), _length(text)) for element, _, text in nodes if not element.barred and element.label in passing]
+    total = sum(n for _, n in content)
+    heads = [element.chain() for element, _, text in nodes if not element.barred and text.strip() and {"h1", "main"}.intersection(element.label.split("/"))]
+
+    def most(of) -> set:
+        """of: what a chain of elements counts for."""
+        held: dict = {}
+        for chain, n in content:
+            for k in of(chain):
+                held[k] = held.get(k, 0) + n
+        headed = {k for chain in heads for k in of(chain)}
+        return {k for k, n in held.items() if n > 0 and (n >= 0.8 * total or n > 0.5 * total and k in headed)}
+
+    for k in most(lambda chain: {id(e) for e in chain if kept[id(e)]}):
+        kept[k] = frozenset()
+    words = most(lambda chain: {w for e in chain for w in kept[id(e)]})
+    for k, e in elements.items():
+        e.marks = kept[k] - words
+    settle()
+
+
+def _menus(blocks: dict[int, list[tuple[_Element, str]]], passing: set[str]) -> set[int]:
+    """Blocks of link lists: runs with three links or more, no text outside of links, and no path that reaches the threshold."""
+    out, run, links = set(), [], set()
+    for block, nodes in [*blocks.items(), (-1, [])]:
+        held = [next((id(e) for e in element.chain() if e.tag == "a"), None) for element, text in nodes if text.strip()]
+        if not held and block >= 0:
+            continue
+        if held and None not in held and not any(element.label in passing for element, _ in nodes):
+            run.append(block)
+            links.update(held)
+            continue
+        if len(links) >= 3:
+            out.update(run)
+        run, links = [], set()
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The article's text: blocks in page order, joined by one space.
+
+    Every block with a path that reaches the threshold is taken. The article's element
+    adds what is too short for that, but for link lists, and an h1 before it.
+    """
+    nodes = _nodes(page or "")
+    _bar(nodes)
+    passing = _passing(nodes)
+    if not passing:
+        return ""
     total, holders = 0, {}
     for element, _, text in nodes:
-        if not element.barred and free.get((element.label, False), -1.0) >= threshold:
-            length = len("".join(text.split()))
+        if not element.barred and element.label in passing:
+            length = _length(text)
             total += length
-            e = element
-            while e is not None:
+            for e in element.chain():
                 e.length += length
-                e = e.parent
             holders[id(element)] = element
     # The deepest element with most of the content.
     region = None
@@ -202,39 +287,26 @@ def main_text(page: str | None) -> str:
         if region is None or depth > region[0]:
             region = (depth, e)
     home = region[1]
-    e = home
-    while e is not None:
+    for e in home.chain():
         if e.tag in HOLDS:
             home = e
             if e.tag == "article":
                 break
-        e = e.parent
     while home.tag in INLINE or home.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre"):
         home = home.parent
 
-    def within(element: _Element) -> bool:
-        while element is not None:
-            if element is home:
-                return True
-            element = element.parent
-        return False
-
-    known: dict[int, bool] = {}
-    blocks: dict[int, list[str]] = {}
-    titles: dict[int, list[str]] = {}
-    first = None
+    blocks: dict[int, list[tuple[_Element, str]]] = {}
     for element, block, text in nodes:
-        if element.barred:
-            continue
-        key = id(element)
-        if key not in known:
-            known[key] = within(element)
-        if known[key]:
-            blocks.setdefault(block, []).append(text)
-            first = block if first is None else first
-        elif first is None and "/h1" in element.label:
-            titles.setdefault(block, []).append(text)
-    out = [" ".join("".join(b).split()) for b in [*titles.values(), *blocks.values()]]
+        if not element.barred:
+            blocks.setdefault(block, []).append((element, text))
+    known = {id(element): any(e is home for e in element.chain()) for element, _, _ in nodes}
+    inside = {block for block, held in blocks.items() if any(known[id(element)] for element, _ in held)}
+    first = min(inside, default=0)
+    taken = inside - _menus({b: blocks[b] for b in blocks if b in inside}, passing)
+    for block, held in blocks.items():
+        if any(element.label in passing and text.strip() or block < first and "/h1" in element.label for element, text in held):
+            taken.add(block)
+    out = [" ".join("".join(text for _, text in blocks[block]).split()) for block in sorted(taken)]
     return " ".join(b for b in out if b)
 
 

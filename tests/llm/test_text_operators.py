@@ -136,6 +136,22 @@ def test_main_text():
         assert tag_paths.main_text(page) in ("", "<", "<p")
 
 
+def test_content_outside_of_the_region_and_in_marked_wrappers_stays():
+    sentence = "Words of the article, one after the other, with some stops. "
+    lead, body, close = sentence * 3, [sentence * k for k in (5, 6, 7)], "Closing words of it, with commas, and with stops. " * 3
+    squeezed = lambda *parts: " ".join(" ".join(parts).split())
+    inner = "".join(f"<p>{b}</p>" for b in body)
+    page = "<body><div class=ad>Buy now.</div><div id=content>%s</div><footer>foot</footer></body>"
+    assert tag_paths.main_text(page % f"<p>{lead}</p><div class=body>{inner}</div><p>{close}</p>") == squeezed(lead, *body, close)
+    for mark in ("content-sidebar-wrap", "layout has-sidebar", "elementor-widget-container", "legal-text", "search-result"):
+        assert tag_paths.main_text(page % f"<div class='{mark}'>{inner}<div class=sidebar><p>Side text, not of it.</p></div></div>") == squeezed(*body)
+    pieces = "".join(f"<div class='elementor-widget'><p>{b}</p></div>" for b in body)
+    assert tag_paths.main_text(page % pieces) == squeezed(*body)
+    menu = "<ul><li><a href=/a>Home</a><li><a href=/b>About</a><li><a href=/c>Shop</a></ul>"
+    assert tag_paths.main_text(page % (menu + inner + "<h2>Short</h2>")) == squeezed(*body, "Short")
+    assert tag_paths.main_text(page % f"<div hidden>{inner}</div><p>{lead}</p>") == squeezed(lead)
+
+
 def test_main_text_over_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, None), (2, "v", "", 2)], "page_id long, url string, html string, text int")
     got = tag_paths.extract_main_text(pages).collect()
