@@ -8,6 +8,9 @@ the bits of some s blocks all pivot distances are equal. Each table joins on its
 whole row of coordinates, the pairs met there are discarded if a coordinate over all
 64 bits differs by more than r, and what survives is verified bit by bit. No link is
 lost, and nothing is compared that does not share a row.
+
+keep_one() also links texts by the Jaccard similarity of their shingles, with an exact
+set-similarity join.
 """
 
 from __future__ import annotations
@@ -23,29 +26,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import small_batches, stash, table
+from sparkloom.llm.common import small_batches, stash, table, unstash
 from sparkloom.llm.components import components
 
 SEED = 42
 #: Pivots of each table that is joined on, and of the table over all bits that discards.
 TABLE_PIVOTS = 16
 FILTER_PIVOTS = 12
+#: Least Jaccard similarity of shingle sets: NUMERATOR / DENOMINATOR. Rarity of shingles is counted in so many hash buckets.
+NUMERATOR, DENOMINATOR = 4, 5
+BUCKETS = 1 << 18
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of the word shingles of a text (A-Z lower-cased), repeats counted, with XXH64."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 hashes of the word shingles of a text (A-Z lower-cased), in order. A shorter text is one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(tokens)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if n <= words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The SimHash of the word shingles of a text, repeats counted."""
+    return simhash(shingles(text, words))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         some = hashes[at : at + 4096].astype("<u8")
@@ -146,11 +161,86 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str
     return rows.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "links")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """For each bucket of shingles a class from its count, two classes to each doubling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held += np.bincount((shingles(text, words) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if text else 0
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["bucket", "n"])
+
+    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return (2 * np.log2(counts + 1)).astype(np.uint8)
+
+
+def shingle_links(texts: DataFrame, words: int) -> DataFrame:
+    """texts: row long, text. Rows: a, b long, a < b, for every pair whose sets of shingles have the least similarity or more.
+
+    Shingles are ordered by rarity, so such sets share one among their first ones
+    (prefix filter). Pairs met there are dropped by their sizes and by the places of the
+    shared shingle, and verified on all shingles. Sets should be distinct.
+    """
+    spark = texts.sparkSession
+    classes = spark.sparkContext.broadcast(_rarity(texts.select("text"), words))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = classes.value
+        for batch in batches:
+            parts = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(shingles(text, words))
+                n = len(own)
+                if n:
+                    first = own[np.argsort(rarity[(own & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")][: n + (-n * NUMERATOR) // DENOMINATOR + 1]
+                    parts.append((first.view(np.int64), np.full(len(first), row), np.arange(len(first)) | n << 32))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["token", "row", "place"])
+
+    tokens = stash(texts.select("row", "text").mapInArrow(prefixes, "token long, row long, place long"), "shingle-prefixes")
+    a, b = tokens.alias("a"), tokens.alias("b")
+    an, bn = (F.shiftright(F.col(f"{s}.place"), 32) for s in "ab")
+    ap, bp = (F.col(f"{s}.place").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
+    sizes = (an * DENOMINATOR >= bn * NUMERATOR) & (bn * DENOMINATOR >= an * NUMERATOR)
+    # overlap / (an + bn - overlap) >= NUMERATOR / DENOMINATOR; the place counts from the least shared shingle on, which is met as well.
+    enough = F.least(an - ap, bn - bp) * (NUMERATOR + DENOMINATOR) >= (an + bn) * NUMERATOR
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & sizes & enough)
+    pairs = stash(met.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct(), "shingle-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t, words)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["row", "own"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * (NUMERATOR + DENOMINATOR) >= (len(x) + len(y)) * NUMERATOR)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    known = stash(texts.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, own binary"), "shingle-sets")
+    both = pairs.join(known.withColumnsRenamed({"row": "a", "own": "x"}), "a").join(known.withColumnsRenamed({"row": "b", "own": "y"}), "b")
+    links = stash(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "shingle-links")
+    for t in (tokens, pairs, known):
+        unstash(t)
+    return links
+
+
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """docs, all columns, with one row of each component: the one with the least id (null last), of repeated ids one row.
 
+    Two rows are linked if their fingerprints differ in ``bits`` bits at most; with
+    ``similar`` also if their sets of shingles have a Jaccard similarity of NUMERATOR /
+    DENOMINATOR or more.
     The rows are written once with their fingerprints; what is joined afterwards is
-    numbers of rows.
+    numbers of rows, and the shingles that may link them.
     """
     small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"))
@@ -158,14 +248,27 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).field(at).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64), pa.int64())], ["whole", "row", "fp"])
+            hashes = [shingles(t, words) for t in batch.column(0).field(at).to_pylist()]
+            fps = np.array([simhash(h) for h in hashes], np.uint64)
+            keys = [xxhash.xxh128_digest(np.unique(h).tobytes()) for h in hashes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64), pa.int64()), pa.array(keys, pa.binary())], ["whole", "row", "fp", "key"])
 
-    rows = stash(packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])), "fingerprinted")
+    fields = [*packed.schema.fields, T.StructField("fp", T.LongType()), T.StructField("key", T.BinaryType())]
+    rows = stash(packed.mapInArrow(run, T.StructType(fields)), "fingerprinted")
     order = F.struct(F.col("whole")[id_col].isNull().alias("none"), F.col("whole")[id_col].cast("long").alias("id"), F.col("row").alias("row"))
-    keys = stash(rows.select("fp", order.alias("id")), "fingerprint-rows")
-    kept = _classes(keys, bits).select("component_id.row").distinct()
+    # Rows with the same shingles are one node, which the least of them stands for.
+    nodes = stash(rows.select("fp", "key", order.alias("id")).groupBy("fp", "key").agg(F.min("id").alias("id")), "shingle-classes")
+    by_print = stash(_classes(nodes, bits).select("fp", F.col("component_id").alias("least")), "fingerprint-nodes")
+    to_least = lambda t, k: nodes.join(t, k).select(F.col("id.row").alias("u"), F.col("least.row").alias("v")).where("u <> v")
+    links = to_least(by_print, "fp")
+    if similar:
+        by_set = stash(nodes.groupBy("key").agg(F.min("id").alias("least")), "shingle-nodes")
+        asked = rows.select("row", F.col("whole")[text_col].cast("string").alias("text")).join(by_set.select("least.row"), "row", "left_semi")
+        links = links.unionByName(to_least(by_set, "key")).unionByName(shingle_links(asked, words).withColumnsRenamed({"a": "u", "b": "v"}))
+    found = components(stash(links, "near-links"))
+    members = stash(nodes.select("id").join(found, F.col("id.row") == F.col("node")), "near-members")
+    least = members.groupBy("component").agg(F.min("id").alias("least")).select("least.row")
+    kept = nodes.select("id.row").join(members.select("id.row"), "row", "left_anti").unionByName(least)
     return rows.join(kept, "row", "left_semi").select("whole.*")
 
 

@@ -1,12 +1,13 @@
 import random
 import zlib
 
+import corpus_pipeline
 import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import sharding, simhash
 from sparkloom.llm.components import components
-from tests.llm.fixtures import none, odd, odd_rows
+from tests.llm.fixtures import none, odd, odd_rows, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,3 +116,35 @@ def test_deal_equals_one_by_one():
         got = list(loads)
         dealt = sharding._deal(got, size, count)
         assert sorted(got) == sorted(want) and sum(dealt) == count
+
+
+def test_near_copies_of_similarity_four_fifths_are_found(spark):
+    rnd = random.Random(12)
+    texts = [prose(3000 + i, 60 + 20 * (i % 5)) for i in range(25)]
+    for i in range(25):
+        for edits in (1, 2, 3, 4):
+            words = texts[i].split()
+            for at in rnd.sample(range(len(words)), edits):
+                words[at] = f"new{rnd.randint(0, 99)}"
+            texts.append(" ".join(words))
+    texts += [None, "", "one two", "One  two", "one two three"]
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    root, missed = list(range(len(texts))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            similar, close = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]), (fps[a] ^ fps[b]).bit_count() <= 3
+            missed += similar and not close
+            if similar or close:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert missed > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [i for i in range(len(texts)) if find(i) == i]
