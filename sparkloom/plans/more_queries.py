@@ -120,6 +120,13 @@ def f26_grammar_prompt(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.coalesce(X.grammar_prompt(text), F.lit("")).alias("prompt"))
 
 
+@query("SELECT item_id, coalesce(regexp_replace(trim(regexp_extract('  ' || text || chr(34), '^\\s*([^\"\\n]+)', 1)), '[\\s.]+$', ''), '') AS prompt FROM benchmark")
+def f26_whole_prompt(spark, sf):
+    """f26 with whole texts."""
+    text = F.concat(F.lit("intro. Your task is to:  "), F.col("text"), F.lit('" rest'))
+    return table(spark, sf, "benchmark").select("item_id", F.coalesce(X.grammar_prompt(text), F.lit("")).alias("prompt"))
+
+
 @query("SELECT event_id, event_id % 3 = 0 AS solvable FROM events")
 def f29_loose_bool(spark, sf):
     word = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, " True ").otherwise("1")).otherwise(F.when(F.col("event_id") % 2 == 0, "no").otherwise("0"))

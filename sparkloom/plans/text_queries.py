@@ -57,6 +57,15 @@ def f42_action(spark, sf):
     return c.select("conv_id", "turn", F.when(a["action"] == F.trim(F.lower(F.left("text", F.lit(12)))), F.lower(F.left("text", F.lit(12)))).alias("action"), a["valid"].alias("valid"))
 
 
+@query("SELECT conv_id, turn, trim(split_part(lower(text), '</action>', 1)) AS action, turn % 2 = 0 AND trim(split_part(lower(text), '</action>', 1)) <> '' AND NOT regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AS valid FROM conversations WHERE role = 'assistant'")
+def f42_whole_action(spark, sf):
+    """f42 with whole texts, further tags behind them, and reasoning at every other turn."""
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    think = F.when(F.col("turn") % 2 == 0, F.lit("<think>so\n</think> ")).otherwise("")
+    a = X.action_of(F.concat(think, F.lit("x <action>"), F.col("text"), F.lit("</Action> then\n<action>other</action>")))
+    return c.select("conv_id", "turn", a["action"].alias("action"), a["valid"].alias("valid"))
+
+
 @query("SELECT event_id, event_type AS role, 'item ' || user_id AS target, CASE WHEN event_type IN ('view', 'click') THEN 'CLICK' ELSE 'TYPE' END AS op, CAST(event_id AS VARCHAR) AS value FROM events")
 def f45_action_repr(spark, sf):
     op = F.when(F.col("event_type") == "view", "hover").when(F.col("event_type") == "click", "CLICK").otherwise("TYPE")
