@@ -162,6 +162,12 @@ def fuzzy(a: Column, b: Column) -> Column:
     return F.when(inside, True).otherwise(_batched(fuzzy_equal, "boolean")(a, b))
 
 
+def last_ratio(text: Column, least: int = 10000) -> Column:
+    """Compression ratio of the last part of long texts, null for others; the packer sees long texts only."""
+    long = F.length(text) > least
+    return F.when(long, _batched(compression_ratio, "double")(F.when(long, F.right(text, F.lit(least)))))
+
+
 def repetitive(text: Column, least: int = 10000, ratio: float = 10.0) -> Column:
-    """Long texts whose last part compresses too well; the packer sees long texts only."""
-    return F.when(F.length(text) <= least, False).otherwise(_batched(compression_ratio, "double")(F.when(F.length(text) > least, F.right(text, F.lit(least)))) > ratio)
+    """Long texts whose last part compresses too well."""
+    return F.coalesce(last_ratio(text, least) > ratio, F.lit(False))

@@ -62,6 +62,23 @@ def m4_repetition(spark, sf):
     return d.select("doc_id", A.repetitive(F.col("text")).alias("r"), (F.length("text") > 10000).alias("long")).where(F.col("r").isNotNull()).select("doc_id", "long")
 
 
+@query()
+def m4_repetition_verdict(spark, sf):
+    """m4 and m3 themselves: the verdict, and the compression ratio of a long text's last part."""
+    return table(spark, sf, "documents").select("doc_id", A.repetitive(F.col("text")).alias("repetitive"), A.last_ratio(F.col("text")).alias("ratio"))
+
+
+#: Texts that names are compared with: inside of some, close to some, far from all.
+EXPECTED = ("ring", "small widgets", "bleu rod", "Large  BOLT", "cold wigdet", "xyz")
+
+
+@query()
+def f54_fuzzy_verdict(spark, sf):
+    """f54 itself: whether a name matches each of some expected texts, by containment or by matching blocks."""
+    expected = F.explode(F.array(*[F.lit(e) for e in EXPECTED])).alias("expected")
+    return table(spark, sf, "part").select("p_partkey", "p_name", expected).select("p_partkey", "expected", A.fuzzy(F.col("p_name"), F.col("expected")).alias("same"))
+
+
 _GAPS = f'(SELECT event_type, gap_start, gap_end FROM (SELECT event_type, lag("end") OVER (PARTITION BY event_type ORDER BY "start") AS gap_start, "start" AS gap_end FROM {_MERGED}) WHERE gap_end > gap_start)'
 
 

@@ -1,7 +1,11 @@
+import difflib
+import zlib
+
 import pytest
 
 from sparkloom.functions import answers as A
 from sparkloom.plans import hooks
+from sparkloom.plans.registry import QUERIES
 
 
 def test_boxes():
@@ -35,3 +39,28 @@ def test_hooks(spark):
     assert sorted((r["keep"], r["reason"]) for r in rows if not r["keep"]) == [(False, "0"), (False, "1")]
     hooks.hook("half")(lambda d: d.where("id % 2 = 0"))
     assert hooks.chain(df, "half", None).count() == 2 and hooks.load("os.path.join")("a", "b") == "a/b"
+
+
+def test_repetition_verdicts_match_brute_force(spark, tmp_path):
+    noise = "".join(chr(33 + zlib.crc32(str(i).encode()) % 90) for i in range(12000))
+    texts = [None, "", "ab" * 5000, "ab" * 5001, noise, noise + "z" * 10000, "z" * 10000 + noise, "é" * 10001]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["repetitive"], r["ratio"]) for r in QUERIES["m4_repetition_verdict"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        raw = text[-10000:].encode() if text and len(text) > 10000 else None
+        ratio = raw and len(raw) / len(zlib.compress(raw))
+        assert got[i] == (bool(ratio and ratio > 10), ratio)
+    assert [got[i][0] for i in range(len(texts))] == [False, False, False, True, False, True, False, True]
+
+
+def test_fuzzy_verdicts_match_brute_force(spark, tmp_path):
+    names = [None, "", " ", "blue rod", "cold widget", "small widget", "large bolt", "spring ring", "RI\nNG", "widget"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    by_ratio = 0
+    for r in QUERIES["f54_fuzzy_verdict"](spark, str(tmp_path)).collect():
+        a, b = (" ".join((x or "").lower().split()) for x in (names[r["p_partkey"]], r["expected"]))
+        inside = bool(a and b) and (a in b or b in a)
+        close = bool(a and b) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.72
+        assert r["same"] == (inside or close), (a, b)
+        by_ratio += close and not inside
+    assert by_ratio > 2
