@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, as a regular-expression class.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Setting by which Spark removes a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of one Arrow batch: bounds a Python worker's memory also when every text is very long.
 BATCH_ROWS = 512
 
@@ -49,9 +52,11 @@ def _one(batches):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where the session names none (local tests) a temporary one."""
+    """The folder in spark.checkpoint.dir. Only a local session that names none (tests) gets a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -61,10 +66,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return a frame that reads it.
 
     This cuts the lineage: what is lost with an executor is read again, not computed again.
+    The shuffle files behind df are removed when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -79,12 +90,6 @@ def unstash(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have both garbage collectors run: Spark removes the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

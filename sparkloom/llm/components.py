@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         larger = stash(_star(now, large=True), "large-star")
         nxt = stash(_star(larger, large=False), "small-star")
-        seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.count_distinct("u").alias("d")).first()
+        seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         unstash(now)
         unstash(larger)
         now = nxt
