@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -159,7 +158,7 @@ class BpeCodec:
     def __init__(self, ranks_content: bytes, pattern: str):
         ranks = parse_ranks(ranks_content)
         self.encoder = BacktrackEncoder(ranks)
-        self.memo = PieceMemo(pattern, lambda pieces: [array("I", self.encoder.piece(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces])
+        self.memo = PieceMemo(pattern, lambda piece: self.encoder.piece(piece.encode("utf-8", "surrogatepass")))
         self.vocabulary = [self.encoder.tokens.get(i, b"") for i in range(max(ranks.values()) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -202,11 +201,13 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value, pattern)
         for batch in merged(batches, 1):
-            ids = codec.encode([t or "" for t in batch.column(1).to_pylist()])
+            flat, bounds = codec.memo.flat(batch.column(1))
+            at = bounds.tolist()
+            ids = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(np.diff(bounds), pa.int64()),
                     pa.array(ids if with_ids else [None] * len(ids), pa.binary()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +67,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (raw[start] | raw[start + 1] << 8 | raw[start + 2] << 16 | raw[start + 3] << 24) & _MASK[length]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary names bytes, by Latin-1 character: printable bytes by themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class LibraryEncoder:
     """Whole texts to ids by the tokenizers library, without special tokens being added.
 
     Texts that hold the string of an added token go to the library whole. For the
-    others the library gets each distinct piece once: its byte-level pre-tokenizer
-    cuts a text by the same pattern, and no piece's ids depend on its neighbours.
+    others the library's model gets each distinct piece: its byte-level
+    pre-tokenizer cuts a text by the same pattern, and no piece's ids depend on its neighbours.
     """
 
     def __init__(self, content: str, pattern: str):
@@ -79,27 +87,43 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
-        self.memo = PieceMemo(pattern, self._pieces)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Many pieces in one call, an added token between each two."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.separator[1].join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator[0])
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return out
+        cut, letters = self.tokenizer.model.tokenize, _byte_letters()
+
+        def ids(piece: str) -> list[int]:
+            if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+                return [t.id for t in cut(letters[32] + piece[1:])]
+            return [t.id for t in cut(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+
+        self.memo = PieceMemo(pattern, ids)
+
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each begins, and the end."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        special = np.zeros(len(column), bool)
+        for text in self.added:
+            special |= pc.match_substring(column, text).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.memo.flat(column)
+        ids, bounds = self.memo.flat(pc.if_else(pa.array(special), "", column))
+        whole = {i: np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(special).tolist()}
+        parts = [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(column))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        out = self.memo.texts(["" if i in whole else t for i, t in enumerate(texts)])
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        ids, bounds = self.flat(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Slices of an array of numbers as a binary column, without an object for each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """All bytes of a binary column without nulls, as numbers."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]] if column.buffers()[2] else b"", kind)
 
 
 _ENCODERS: dict[tuple[str, str], LibraryEncoder] = {}
@@ -133,11 +157,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value, pattern)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in merged(batches, 1):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            narrow = ids if width == "<u4" else [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(narrow, pa.binary())], ["doc_id", "n", "ids"])
+            ids, bounds = encoder.flat(batch.column(1))
+            ended = np.insert(ids.astype(width), bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int32()), _binary(ended, bounds)], ["doc_id", "n", "ids"])
 
     # The texts are encoded once; ordering and counting read these ids.
     encoded = stash(rows.mapInArrow(encode, "doc_id long, n int, ids binary"), "token-ids")
@@ -145,7 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            one = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=len(total))
+            one = np.bincount(_numbers(batch.column(0), width), minlength=len(total))
             one[: len(total)] += total
             total = one
         at = np.flatnonzero(total)
@@ -206,9 +230,8 @@ def read_token_files(blocks: DataFrame, ranks: DataFrame, parts: DataFrame) -> D
             for ids, lengths, start, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ends = np.cumsum(lengths)
                 all_ids = lookup[unpack(control, data, int(ends[-1]))]
-                begins = ends - lengths
-                raw = [all_ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + begins, pa.int64()), pa.array(lengths, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                bounds = np.concatenate([[0], ends])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + bounds[:-1], pa.int64()), pa.array(lengths, pa.int64()), _binary(all_ids, bounds)], ["doc_id", "start", "n_tokens", "ids"])
 
     placed = blocks.join(F.broadcast(parts), "part").select("doc_ids", "lengths", (F.col("first") + F.col("before")).alias("start"), "control", "data")
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
