@@ -2,13 +2,18 @@
 
 Rows that pass the base rules get a vector of transformed statistics. Location and
 scatter come from minimum-covariance-determinant estimates for each language and
-source: concentration steps start from medians and quartile ranges, and each keeps
-the share CORE of rows with the least Mahalanobis distance and takes their mean and
-covariance. Rows whose distance is beyond CUTOFF are rejected.
+source. Concentration steps start twice, from medians with quartile ranges and from
+means with covariances; each step keeps the share CORE of rows with the least
+Mahalanobis distance and takes their mean and covariance, until no determinant
+changes any more or MOST_STEPS are done. The start that ends with the least
+determinant counts. Rows whose distance is beyond CUTOFF are rejected.
 
 A group of fewer than LEAST rows uses its language's estimates, and a language of
-fewer the estimates of all rows. Sums are aggregated before they are shuffled, and
-quantiles come from counts of fixed bins, so no group's rows ever meet in one task.
+fewer the estimates of all rows: so few rows fix no scatter. Sums are aggregated
+before they are shuffled, and quantiles come from counts of fixed bins. The estimates
+are broadcast while there are MOST_BROADCAST of them at most, so that rows stay where
+they are; beyond that they are joined, each of them being a small group then, and
+adaptive execution splits what is still large.
 """
 
 from __future__ import annotations
@@ -19,7 +24,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import SPACE, stash, table, unstash
 
 CORE = 0.75
-STEPS = 4
+MOST_STEPS = 8
+#: Change of the logarithm of a determinant below which a group's steps are done.
+SETTLED = 1e-4
+#: Estimates (one for each group and start) that are broadcast at most: 30 numbers each.
+MOST_BROADCAST = 20_000
 LEAST = 100
 #: Squared distance beyond which a row is rejected: chi-square with 4 degrees of freedom at about 1 - 4e-9.
 CUTOFF = 45.0
@@ -131,8 +140,14 @@ def _bin() -> Column:
     return F.floor(F.log2(1 + _distance()) * DISTANCE_BINS)
 
 
-def _distance_bins(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    return rows.join(estimates, "key").groupBy("key", _bin().alias("bin")).agg(F.count("*").alias("n"))
+def _near(estimates: DataFrame) -> DataFrame:
+    """estimates, to be broadcast if they are few: their number is checked each time."""
+    return F.broadcast(estimates) if estimates.count() <= MOST_BROADCAST else estimates
+
+
+def _determinant() -> Column:
+    """The logarithm of the determinant of a scatter, from its factor."""
+    return sum((2 * F.log(f"c{i}{i}") for i in range(len(FLOORS))), F.lit(0.0))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -142,26 +157,39 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     scatter came out too small; scale is never below 1.
     """
     d = len(FLOORS)
+    means, places = [f"m{i}" for i in range(d)], [(i, j) for i in range(d) for j in range(i + 1)]
+    by = ["key", "start"]
     parts = rows.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(x) * COORDINATE_BINS).cast("long").alias("bin")) for i, x in enumerate(_X)])).alias("p"))
     bins = parts.groupBy("key", "p.i", "p.bin").agg(F.count("*").alias("n"))
     spread = _quantiles(bins, ["key", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     first = spread.groupBy("key").agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("q2") / COORDINATE_BINS)).alias(f"m{i}") for i in range(d)], *[F.max(F.when(F.col("i") == i, (F.col("q3") - F.col("q1")) / COORDINATE_BINS / 1.349)).alias(f"s{i}") for i in range(d)]
     )
-    diagonal = {(i, j): F.col(f"s{i}") ** 2 if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)}
-    now = stash(first.select("key", "n", *[f"m{i}" for i in range(d)], *_factor(diagonal)), "mcd")
-    for _ in range(STEPS):
-        # A written table of limits: the join of the rows to it can split a group that holds most of them.
-        limits = stash(now.join(_quantiles(_distance_bins(rows, now), ["key"], {"limit": CORE}).select("key", "limit"), "key"), "mcd-limits")
-        core = rows.join(limits, "key").where(_bin() <= F.col("limit"))
-        sums = core.groupBy("key").agg(F.max("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"v{i}{j}") for i in range(d) for j in range(i + 1)])
-        nxt = stash(sums.select("key", "n", *[f"m{i}" for i in range(d)], *_factor({(i, j): F.col(f"v{i}{j}") for i in range(d) for j in range(i + 1)})), "mcd")
+    diagonal = {(i, j): F.col(f"s{i}") ** 2 if i == j else F.lit(0.0) for i, j in places}
+    covariances = [F.covar_pop(_X[i], _X[j]).alias(f"v{i}{j}") for i, j in places]
+    factor = _factor({(i, j): F.col(f"v{i}{j}") for i, j in places})
+    plain = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.avg(x).alias(m) for x, m in zip(_X, means, strict=True)], *covariances)
+    now = stash(first.select("key", F.lit(0).alias("start"), "n", *means, *_factor(diagonal)).unionByName(plain.select("key", F.lit(1).alias("start"), "n", *means, *factor)), "mcd")
+    for _ in range(MOST_STEPS):
+        counts = rows.join(_near(now), "key").groupBy(*by, _bin().alias("bin")).agg(F.count("*").alias("n"))
+        limits = stash(now.join(_quantiles(counts, by, {"limit": CORE}).select(*by, "limit"), by), "mcd-limits")
+        core = rows.join(_near(limits), "key").where(_bin() <= F.col("limit"))
+        sums = core.groupBy(*by).agg(F.max("n").alias("n"), *[F.avg(x).alias(m) for x, m in zip(_X, means, strict=True)], *covariances)
+        nxt = stash(sums.select(*by, "n", *means, *factor), "mcd")
+        both = now.select(*by, _determinant().alias("before")).join(nxt.select(*by, _determinant().alias("after")), by)
+        change = both.agg(F.max(F.abs(F.col("before") - F.col("after"))).alias("change")).first()["change"]
         unstash(now)
         unstash(limits)
         now = nxt
-    middle = _quantiles(_distance_bins(rows, now), ["key"], {"half": 0.5}).select("key", F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), F.col("half") / DISTANCE_BINS) - 1) / 3.357).alias("scale"))
-    out = stash(now.join(middle, "key"), "mcd-estimates")
+        if change is None or change < SETTLED:
+            break
+    held = [c for c in now.columns if c not in by]
+    best = stash(now.groupBy("key").agg(F.min_by(F.struct(*held), F.struct(_determinant(), "start")).alias("e")).select("key", "e.*"), "mcd-best")
+    counts = rows.join(_near(best), "key").groupBy("key", _bin().alias("bin")).agg(F.count("*").alias("n"))
+    middle = _quantiles(counts, ["key"], {"half": 0.5}).select("key", F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), F.col("half") / DISTANCE_BINS) - 1) / 3.357).alias("scale"))
+    out = stash(best.join(middle, "key"), "mcd-estimates")
     unstash(now)
+    unstash(best)
     return out
 
 
@@ -172,13 +200,13 @@ def judge(rows: DataFrame, lang: str, source: str, stats: str, verdict: str) ->
     """
     fit = rows.where(~base_failed(F.col(stats))).select(F.explode(F.array(*_keys(F.col(lang), F.col(source)))).alias("key"), *[c.alias(x) for c, x in zip(vector(F.col(stats)), _X, strict=True)])
     estimates = robust_estimates(fit)
-    # The narrowest group with enough rows. One row for each language and source; Spark broadcasts it only if it is small.
+    # The narrowest group with enough rows. One row for each language and source.
     groups = rows.select(F.col(lang).alias("_l"), F.col(source).alias("_s")).distinct().select("_l", "_s", F.posexplode(F.array(*_keys(F.col("_l"), F.col("_s")))).alias("_level", "key"))
     held = groups.join(estimates, "key").where((F.col("n") >= LEAST) | (F.col("_level") == 2))
     narrow = held.groupBy("_l", "_s").agg(F.min_by(F.struct(*[c for c in estimates.columns if c != "key"]), "_level").alias("_e"))
     narrow = stash(narrow, "mcd-groups")
     unstash(estimates)
-    joined = rows.join(narrow, F.col(lang).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s")), "left")
+    joined = rows.join(_near(narrow), F.col(lang).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s")), "left")
     s, e = F.col(stats), F.col("_e")
     y: list[Column] = []
     for i, x in enumerate(vector(s)):
@@ -195,9 +223,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """One row per row of docs: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean).
 
     A null or empty text has no word and fails the base rules. A null language or
-    source is a group of its own. Repeated rows are judged each, and alike. Other
-    columns are not read. An empty table gives no rows. The text is read once;
-    only its statistics are written and read again.
+    source is a group of its own. Repeated rows are judged each, and alike, and so are ties of
+    the distance. Very long texts are judged whole. Other columns are not read, whatever their
+    names. An empty table gives no rows. The text is read once; only its statistics are
+    written and read again.
     """
     rows = stash(docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), statistics(F.col(text_col)).alias("_stats")), "quality-rows")
     out = judge(rows, "_lang", "_source", "_stats", "kept")
@@ -205,7 +234,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns, whatever these are called. Nulls, long texts, ties, repeated rows and empty tables as there."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     rows = stash(packed.select("_row", F.col("_row")[lang_col].cast("string").alias("_lang"), F.col("_row")[source_col].cast("string").alias("_source"), statistics(F.col("_row")[text_col]).alias("_stats")), "quality-docs")

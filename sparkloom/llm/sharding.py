@@ -19,6 +19,8 @@ from sparkloom.llm.common import parallelism, running_offsets, stash, table, uns
 
 #: Significant bits of a group's size.
 SIZE_BITS = 16
+#: Rows of a plan that is broadcast at most: a class and an upper end for each shard.
+MOST_BROADCAST = 50_000
 
 
 def _deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -74,8 +76,13 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     digest binary, shard int, slot long (gapless from 0 in each shard, in ascending
     order of id, nulls first). A null text counts as the empty one, so the two form
     one group. Repeated rows are kept, each with a slot of its own. Fewer groups
-    than shards leave shards empty; an empty table gives no rows. Texts are read
-    once and never shuffled; only ids, sizes and digests move.
+    than shards leave shards empty; an empty table gives no rows. Very long texts count
+    whole. Other columns are not read, whatever their names; groups of the same size
+    are dealt by digest. Texts are read once and never shuffled; only ids, sizes and
+    digests move.
+
+    Groups of 2^SIZE_BITS bytes and more are scheduled by the mean size of their class, whose sizes differ by
+    less than one part in 2^(SIZE_BITS - 1): a heap over single groups would run in one process over all of them.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -104,8 +111,9 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     plan = spark.createDataFrame(dealt, "class long, ends array<long>")
     offsets = running_offsets(spark, by_part, ["class", "pid"], "n", "class long, pid int, before long")
     rank = F.row_number().over(Window.partitionBy("class", "pid").orderBy("digest")) - 1
-    # Both tables have a row for each class (and partition), at most.
-    ranked = groups.withColumn("rank", rank).join(F.broadcast(offsets), ["class", "pid"]).join(F.broadcast(plan), "class")
+    # Both tables have a row for each class (and partition), at most; they are broadcast only while they are few.
+    near = F.broadcast if len(by_part) <= MOST_BROADCAST else lambda x: x
+    ranked = groups.withColumn("rank", rank).join(near(offsets), ["class", "pid"]).join(near(plan), "class")
     # Written, so that the join can split a text that very many rows share.
     placed = stash(ranked.select("digest", F.size(F.filter("ends", lambda e: e <= F.col("rank") + F.col("before"))).cast("int").alias("shard")), "shard-groups-placed")
 

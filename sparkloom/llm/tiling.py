@@ -9,21 +9,25 @@ order count like passages copied straight.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import small_batches, table
+from sparkloom.llm.common import small_batches, stash, table, unstash
 
 MIN_MATCH = 5
 COVERAGE = 0.6
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of this size.
+#: Bytes of benchmark text that are broadcast at most.
 BLOCK_BYTES = 4 << 20
+#: Places of the filter of seeds in a larger benchmark's join.
+FILTER_PLACES = 1 << 23
 
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BASE, _MODULUS = 1_000_003, (1 << 61) - 1
@@ -154,49 +158,109 @@ class SeedIndex:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    block, size = [], 0
-    for item in benchmark.select(id_col, text_col).toLocalIterator():
-        text = item[1] or ""
-        block.append((item[0], text))
-        size += len(text) + 64
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _leak_type(item_kind: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item_id", item_kind), T.StructField("coverage", T.DoubleType())]))
+
+
+def _order(leak: dict) -> tuple:
+    return (-leak["coverage"], leak["item_id"] is not None, leak["item_id"])
+
+
+_INDEXES: dict[str, SeedIndex] = {}
+
+
+def _index(key: str, items: list[tuple[object, str]]) -> SeedIndex:
+    """One index in each Python worker, kept between tasks."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = SeedIndex(items)
+    return _INDEXES[key]
+
+
+def _from_broadcast(docs: DataFrame, items: list[tuple[object, str]], text_col: str, threshold: float, name: str, kind: T.ArrayType) -> DataFrame:
+    """A benchmark of BLOCK_BYTES at most goes to every worker; there is no shuffle."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(key, shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            leaks = [sorted(({"item_id": i, "coverage": c} for i, c in index.coverages(words_of(t)) if c >= threshold), key=_order) for t in texts]
+            last = batch.column(batch.num_columns - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, last.type)], schema=batch.schema)
+
+    empty = docs.withColumn(name, F.array().cast(kind))
+    return empty.mapInArrow(run, empty.schema)
+
+
+def _seeds(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of all runs of MIN_MATCH words."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + MIN_MATCH])) for i in range(len(words) - MIN_MATCH + 1)], np.uint64))
+
+
+def _from_join(docs: DataFrame, benchmark: DataFrame, text_col: str, threshold: float, name: str, kind: T.ArrayType) -> DataFrame:
+    """A larger benchmark meets the documents in a join over seeds; only pairs that share one are tiled. benchmark: item, text.
+
+    A filter of fixed size keeps out most seeds that no item has.
+    """
+    spark = docs.sparkSession
+    rows = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row")), "tiling-rows")
+    texts = rows.select("row", F.col("whole")[text_col].cast("string").alias("text"))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value if shared is not None else None
+        for batch in batches:
+            parts = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _seeds(words_of(text))
+                found = found if marked is None else found[marked[(found & np.uint64(FILTER_PLACES - 1)).astype(np.int64)]]
+                parts.append((np.full(len(found), row), found.view(np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["row", "seed"])
+
+    shared = None
+    items = stash(benchmark.select(F.monotonically_increasing_id().alias("row"), "item", "text"), "tiling-items")
+    item_seeds = stash(items.select("row", "text").mapInArrow(seeds, "row long, seed long").select(F.col("row").alias("at"), "seed"), "tiling-item-seeds")
+    marks = np.zeros(FILTER_PLACES, bool)
+    for r in item_seeds.select(F.col("seed").bitwiseAND(F.lit(FILTER_PLACES - 1)).alias("p")).distinct().toArrow().to_batches():  # FILTER_PLACES rows at most
+        marks[r.column(0).to_numpy()] = True
+    shared = spark.sparkContext.broadcast(marks)
+    met = stash(texts.mapInArrow(seeds, "row long, seed long").join(item_seeds, "seed").select("row", "at").distinct(), "tiling-met")
+    pairs = met.join(items.select(F.col("row").alias("at"), "item", F.col("text").alias("pattern")), "at").join(texts, "row").select("row", "item", "pattern", "text")
+    item_type = kind.elementType["item_id"].dataType
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = []
+            for pattern, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                shares.append(max((c for _, c in SeedIndex([(0, pattern)]).coverages(words_of(text))), default=0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], ["row", "item_id", "coverage"])
+
+    covered = pairs.mapInArrow(tiles, T.StructType([T.StructField("row", T.LongType()), T.StructField("item_id", item_type), T.StructField("coverage", T.DoubleType())])).where(F.col("coverage") >= threshold)
+    lists = covered.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("coverage")).alias("less"), "item_id", "coverage"))).alias("all"))
+    lists = stash(lists.select("row", F.transform("all", lambda x: F.struct(x["item_id"].alias("item_id"), x["coverage"].alias("coverage"))).alias("leaks")), "tiling-leaks")
+    for t in (item_seeds, met):
+        unstash(t)
+    return rows.join(lists, "row", "left").select("whole.*", F.coalesce("leaks", F.array()).cast(kind).alias(name))
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = COVERAGE, name: str = "_leaks") -> DataFrame:
     """docs with one more column: the items that a row's text covers up to the threshold or more.
 
     The column is an array of (item_id, coverage), in descending coverage, then
-    ascending item id; empty if there are none. Items of fewer than MIN_MATCH words, or
-    without a text, never match; a null or empty document has no match. All columns,
-    and repeated rows, are passed on as they are. The benchmark is broadcast in blocks
-    of bounded size, and each block runs over all rows; there is no shuffle.
+    ascending item id (null first); empty if there are none. Items of fewer than MIN_MATCH words, or
+    without a text, never match; a null or empty document has no match; very long texts are searched
+    whole. All columns, whatever their names (but ``name``), and repeated rows, are passed on as they are.
+    A benchmark of BLOCK_BYTES at most, which is measured, is broadcast and nothing is shuffled. A larger
+    one meets the documents in a join over seeds. Both give the same.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    item_kind = benchmark.schema[item_id_col].dataType
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", item_kind), T.StructField("coverage", T.DoubleType())]))
-    out = docs.withColumn(name, F.array().cast(kind))
-    for block in _blocks(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(shared.value)
-            for batch in batches:
-                before = batch.column(batch.num_columns - 1)
-                leaks = []
-                for text, had in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), before.to_pylist(), strict=True):
-                    new = [{"item_id": i, "coverage": c} for i, c in index.coverages(words_of(text)) if c >= threshold]
-                    leaks.append(sorted([*(had or []), *new], key=lambda x: (-x["coverage"], str(type(x["item_id"])), x["item_id"])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, before.type)], schema=batch.schema)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    kind = _leak_type(items.schema["item"].dataType)
+    if (items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0) <= BLOCK_BYTES:
+        few = [(r["item"], r["text"] or "") for r in items.where("text is not null").collect()]  # BLOCK_BYTES at most
+        return _from_broadcast(docs, few, text_col, threshold, name, kind)
+    return _from_join(docs, items, text_col, threshold, name, kind)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = COVERAGE) -> DataFrame:

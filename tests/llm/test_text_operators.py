@@ -115,7 +115,7 @@ def test_reordered_passages_are_found(spark, monkeypatch):
     want = [(-1, True, 2), (1, True, 1), (2, False, -1), (3, False, -1), (4, False, -1), (5, True, 2), (5, True, 2)]
     read = lambda: sorted((r["doc_id"] or -1, r["contaminated"], r["best_item"] or -1) for r in tiling.contamination(d, b).collect())
     assert read() == want
-    monkeypatch.setattr(tiling, "BLOCK_BYTES", 100)  # many blocks give the same
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 100)  # the join over seeds gives the same
     assert read() == want
     assert tiling.contamination(d, b.limit(0)).where("contaminated").count() == 0
     marked = tiling.annotate(odd(spark), b)
