@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go as soon as it has ended."""
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return a frame that reads it.
 
@@ -70,12 +83,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import small_batches, stash, table, unstash
+from sparkloom.llm.common import cleaned, small_batches, stash, table, unstash
 from sparkloom.llm.components import components
 
 SEED = 42
@@ -172,7 +172,8 @@ def _rarity(texts: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["bucket", "n"])
 
-    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    with cleaned(texts.sparkSession):
+        found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return (2 * np.log2(counts + 1)).astype(np.uint8)
@@ -236,8 +237,7 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """docs, all columns, with one row of each component: the one with the least id (null last), of repeated ids one row.
 
-    Two rows are linked if their fingerprints differ in ``bits`` bits at most; with
-    ``similar`` also if their sets of shingles have a Jaccard similarity of NUMERATOR /
+    Two rows are linked if their fingerprints differ in ``bits`` bits at most; with ``similar`` also if their sets of shingles have a Jaccard similarity of NUMERATOR /
     DENOMINATOR or more.
     The rows are written once with their fingerprints; what is joined afterwards is
     numbers of rows, and the shingles that may link them.
@@ -264,9 +264,16 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_
     if similar:
         by_set = stash(nodes.groupBy("key").agg(F.min("id").alias("least")), "shingle-nodes")
         asked = rows.select("row", F.col("whole")[text_col].cast("string").alias("text")).join(by_set.select("least.row"), "row", "left_semi")
-        links = links.unionByName(to_least(by_set, "key")).unionByName(shingle_links(asked, words).withColumnsRenamed({"a": "u", "b": "v"}))
-    found = components(stash(links, "near-links"))
+        # Written once: the texts would else be shuffled again for each pass over them.
+        asked = stash(asked, "shingle-texts")
+        by_shingles = shingle_links(asked, words)
+        unstash(asked)
+        links = links.unionByName(to_least(by_set, "key")).unionByName(by_shingles.withColumnsRenamed({"a": "u", "b": "v"}))
+    links = stash(links, "near-links")
+    found = components(links)
     members = stash(nodes.select("id").join(found, F.col("id.row") == F.col("node")), "near-members")
+    unstash(links)
+    unstash(by_print)
     least = members.groupBy("component").agg(F.min("id").alias("least")).select("least.row")
     kept = nodes.select("id.row").join(members.select("id.row"), "row", "left_anti").unionByName(least)
     return rows.join(kept, "row", "left_semi").select("whole.*")
