@@ -62,12 +62,14 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，！？؟،¿¡]")
 
 
 class _Element:
-    """never: holds no article text, whatever it is marked as. marks: the words that say so by its class, id or role."""
+    """path: a number for its tag path. never: holds no article text, whatever it is marked as. marks: the words that say so by its class, id or role."""
 
-    __slots__ = ("barred", "label", "length", "marks", "never", "parent", "tag")
+    __slots__ = ("article", "barred", "depth", "h1", "length", "main", "marks", "never", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, label: str, never: bool, marks: frozenset = frozenset()):
-        self.tag, self.parent, self.label, self.never, self.marks, self.length = tag, parent, label, never, marks, 0
+    def __init__(self, tag: str, parent: _Element | None, path: int, never: bool, marks: frozenset = frozenset()):
+        self.tag, self.parent, self.path, self.never, self.marks, self.length = tag, parent, path, never, marks, 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.h1, self.main, self.article = (tag == t or parent is not None and getattr(parent, t) for t in ("h1", "main", "article"))
         self.barred = never or bool(marks) or parent is not None and parent.barred
 
     def chain(self) -> list[_Element]:
@@ -91,20 +93,30 @@ def _marks(attributes: str) -> tuple[bool, frozenset]:
     return hidden, frozenset(marks)
 
 
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
+#: Elements that a mark in their own class does not bar: single blocks of a text, such as a highlighted paragraph.
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre table figure".split())
+
+
 def _nodes(page: str) -> list[tuple[_Element, int, str]]:
-    """Text nodes in page order: their element, the number of their block, and their text."""
-    root = _Element("", None, "", False)
-    here, block, out, at = root, 0, [], 0
+    """Text nodes in page order: their element, the number of their block, and their text.
 
-    def inside(tag: str) -> bool:
-        e = here
-        while e is not None:
-            if e.tag == tag:
-                return True
-            e = e.parent
-        return False
+    Tag paths are numbered, and a tag that is not open is not looked for among the
+    open ones, so that deep and unbalanced pages stay cheap.
+    """
+    here, block, out, at = _Element("", None, 0, False), 0, [], 0
+    paths: dict[tuple[int, str], int] = {}
+    held: dict[str, int] = {}
+
+    def close(e: _Element) -> _Element:
+        """Ends the open elements down to e, and e."""
+        now = here
+        while True:
+            held[now.tag] -= 1
+            if now is e:
+                return e.parent
+            now = now.parent
 
-    lower = None
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -119,11 +131,11 @@ def _nodes(page: str) -> list[tuple[_Element, int, str]]:
             continue
         tag = m[1].lower()
         if m[0][1] == "/":
-            e = here
+            e = here if held.get(tag) else None
             while e is not None and e.tag != tag:
                 e = None if tag in INLINE and e.tag and e.tag not in INLINE else e.parent
             if e is not None and e.parent is not None:
-                here = e.parent
+                here = close(e)
             if tag not in INLINE:
                 block += 1
             continue
@@ -136,24 +148,26 @@ def _nodes(page: str) -> list[tuple[_Element, int, str]]:
         if tag not in INLINE:
             block += 1
             ends, until = CLOSES.get(tag, ({"p"}, _PARAGRAPH_END))
-            e = here
+            e = here if any(held.get(t) for t in ends) else None
             while e is not None and e.tag not in ends and e.tag not in until:
                 e = e.parent
             if e is not None and e.tag in ends:
-                here = e.parent
+                here = close(e)
         attributes = m[2] or ""
         hidden, marks = _marks(attributes) if attributes and tag not in ("html", "body") and tag not in HOLDS else (False, frozenset())
-        never = hidden or tag in NEVER or tag == "header" and not inside("article")
+        if tag in _BLOCKS:
+            marks = frozenset()
+        never = hidden or tag in NEVER or tag == "header" and not here.article
         if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            stop = page.find(">", end) if end >= 0 else -1
+            end = _RAW_END[tag].search(page, at)
+            stop = page.find(">", end.end()) if end else -1
             at = stop + 1 if stop >= 0 else len(page)
             block += 1
             continue
         if m[0].endswith("/>") and tag not in INLINE:
             continue
-        here = _Element(tag, here, f"{here.label}/{tag}", never, marks)
+        held[tag] = held.get(tag, 0) + 1
+        here = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), never, marks)
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -170,13 +184,13 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[tuple[str, bool], float]:
+def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[tuple[int, bool], float]:
     """Fused score of each tag path. Paths below a barred element are kept apart."""
-    sums: dict[tuple[str, bool], list[float]] = {}
+    sums: dict[tuple[int, bool], list[float]] = {}
     for element, _, text in nodes:
         length = len("".join(text.split()))
         if length:
-            s = sums.setdefault((element.label, element.barred), [0, 0, 0])
+            s = sums.setdefault((element.path, element.barred), [0, 0, 0])
             s[0] += 1
             s[1] += length
             s[2] += len(_PUNCTUATION.findall(text))
@@ -189,16 +203,16 @@ def _length(text: str) -> int:
     return len("".join(text.split()))
 
 
-def _passing(nodes: list[tuple[_Element, int, str]]) -> set[str]:
-    """The labels of the paths that are not barred and reach the threshold."""
+def _passing(nodes: list[tuple[_Element, int, str]]) -> set[int]:
+    """The numbers of the paths that are not barred and reach the threshold."""
     scores = path_scores(nodes)
-    free = {label: s for (label, barred), s in scores.items() if not barred}
+    free = {path: s for (path, barred), s in scores.items() if not barred}
     if not free:
         return set()
     mean = sum(scores.values()) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
     threshold = min(spread, 0.5 * max(free.values())) if len(free) > 1 else 0.0
-    return {label for label, s in free.items() if s >= threshold}
+    return {path for path, s in free.items() if s >= threshold}
 
 
 def _bar(nodes: list[tuple[_Element, int, str]]) -> None:
@@ -220,9 +234,9 @@ def _bar(nodes: list[tuple[_Element, int, str]]) -> None:
         e.marks = frozenset()
     settle()
     passing = _passing(nodes)
-    content = [(element.chain(), _length(text)) for element, _, text in nodes if not element.barred and element.label in passing]
+    content = [(element.chain(), _length(text)) for element, _, text in nodes if not element.barred and element.path in passing]
     total = sum(n for _, n in content)
-    heads = [element.chain() for element, _, text in nodes if not element.barred and text.strip() and {"h1", "main"}.intersection(element.label.split("/"))]
+    heads = [element.chain() for element, _, text in nodes if not element.barred and text.strip() and (element.h1 or element.main)]
 
     def most(of) -> set:
         """of: what a chain of elements counts for."""
@@ -241,14 +255,14 @@ def _bar(nodes: list[tuple[_Element, int, str]]) -> None:
     settle()
 
 
-def _menus(blocks: dict[int, list[tuple[_Element, str]]], passing: set[str]) -> set[int]:
+def _menus(blocks: dict[int, list[tuple[_Element, str]]], passing: set[int]) -> set[int]:
     """Blocks of link lists: runs with three links or more, no text outside of links, and no path that reaches the threshold."""
     out, run, links = set(), [], set()
     for block, nodes in [*blocks.items(), (-1, [])]:
         held = [next((id(e) for e in element.chain() if e.tag == "a"), None) for element, text in nodes if text.strip()]
         if not held and block >= 0:
             continue
-        if held and None not in held and not any(element.label in passing for element, _ in nodes):
+        if held and None not in held and not any(element.path in passing for element, _ in nodes):
             run.append(block)
             links.update(held)
             continue
@@ -271,7 +285,7 @@ def main_text(page: str | None) -> str:
         return ""
     total, holders = 0, {}
     for element, _, text in nodes:
-        if not element.barred and element.label in passing:
+        if not element.barred and element.path in passing:
             length = _length(text)
             total += length
             for e in element.chain():
@@ -283,7 +297,7 @@ def main_text(page: str | None) -> str:
         e = element
         while e.parent is not None and e.length < 0.8 * total:
             e = e.parent
-        depth = e.label.count("/")
+        depth = e.depth
         if region is None or depth > region[0]:
             region = (depth, e)
     home = region[1]
@@ -304,7 +318,7 @@ def main_text(page: str | None) -> str:
     first = min(inside, default=0)
     taken = inside - _menus({b: blocks[b] for b in blocks if b in inside}, passing)
     for block, held in blocks.items():
-        if any(element.label in passing and text.strip() or block < first and "/h1" in element.label for element, text in held):
+        if any(element.path in passing and text.strip() or block < first and element.h1 for element, text in held):
             taken.add(block)
     out = [" ".join("".join(text for _, text in blocks[block]).split()) for block in sorted(taken)]
     return " ".join(b for b in out if b)
@@ -315,7 +329,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A null or empty page, and one without any article text, gives an empty text.
     Null ids and urls are kept, repeated pages are extracted each, other columns are
-    not read, an empty table gives no rows. Each row depends on its page alone:
+    not read whatever their names, paths of equal score are treated alike, very long and deep pages are read whole,
+    an empty table gives no rows. Each row depends on its page alone:
     there is no shuffle. Unclosed and unbalanced tags are tolerated.
     """
     small_batches(pages.sparkSession)

@@ -152,6 +152,20 @@ def test_content_outside_of_the_region_and_in_marked_wrappers_stays():
     assert tag_paths.main_text(page % f"<div hidden>{inner}</div><p>{lead}</p>") == squeezed(lead)
 
 
+def test_long_lower_case_marked_paragraphs_and_deep_pages():
+    import time
+
+    body = "<p>Words of the article, one after the other, with some stops. More of them, and more.</p>" * 3
+    text = " ".join(["Words of the article, one after the other, with some stops. More of them, and more."] * 3)
+    dots = "İ" * 30
+    assert tag_paths.main_text(f"<article><p>{dots}</p><script>var x;</script>{body}</article>") == f"{dots} {text}"
+    assert tag_paths.main_text(f"<article>{body}<p class='alert'>Mind this, it matters.</p></article>") == f"{text} Mind this, it matters."
+    began = time.process_time()
+    for piece in ("<div>", "<b>", "</i>", "<p><div>"):
+        tag_paths.main_text(piece * 20000 + "end")
+    assert time.process_time() - began < 20
+
+
 def test_main_text_over_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, None), (2, "v", "", 2)], "page_id long, url string, html string, text int")
     got = tag_paths.extract_main_text(pages).collect()
