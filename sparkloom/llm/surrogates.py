@@ -26,6 +26,10 @@ OTHER_TITLES = "Dr Prof Doctor Professor".split()
 SYLLABLES = "ba be bo da de do fa fe ga ge ha he ka ke ko la le lo ma me mo na ne no ra re ro sa se ta te to va".split()
 SYLLABLES_CYRILLIC = "ба бе бо да де до га ка ке ко ла ле ло ма ме мо на не но ра ре ро са се та те то ва".split()
 
+SYLLABLES_GREEK = "βα βε δα δε κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε τα τε το".split()
+#: Letters by which those of a script are replaced.
+ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Han": "天地人山水火木金土日月星雨雪風花草石田林", "Hiragana": "あいうえおかきくけこさしすせそ", "Katakana": "アイウエオカキクケコサシスセソ", "Hangul": "가나다라마바사아자차카타파하"}
+
 _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join([*MALE, *FEMALE, *MALE_CYRILLIC, *FEMALE_CYRILLIC])
@@ -35,6 +39,9 @@ _GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})"
 #: IPv6 with a run of zeros left out, but for :: alone.
 _SHORT_IPV6 = rf"(?<![\p{{L}}\p{{N}}:])(?=:{{0,2}}[0-9A-Fa-f])(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}[0-9A-Fa-f]{{0,4}}(?![\p{{L}}\p{{N}}:])){_GROUPS}?::{_GROUPS}?(?![\p{{L}}\p{{N}}:])"
 
+#: Setting of the session that holds the key.
+KEY_SETTING = "spark.sparkloom.surrogateKey"
+
 #: In order of precedence at one place.
 PATTERNS = {
     "secret": r"""(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{12,}|""" + _START + r"(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END,
@@ -83,13 +90,24 @@ def _gender(surface: Column) -> Column:
 
 
 def parts(surface: Column) -> Column:
-    """The entities of a match: an array of (kind, value). A name gives its family name and each given name."""
+    """The entities of a match: an array of (kind, value, gender). A name gives its family name and each given name, an address of mail itself and its domain.
+
+    Digits that look like a card but have a wrong check digit are of kind ``number``: no entity.
+    """
     kind = _kind(surface)
-    entity = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    words = _name_words(surface)
-    names = F.transform(words, lambda w, i: entity(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), _gender(surface))), F.lower(w)))
-    plain = F.when(kind.isin(*_DIGITS), F.regexp_replace(surface, r"[^0-9]", "")).when(kind == "iban", F.regexp_replace(surface, " ", "")).when((kind == "secret") & ~surface.rlike(_HEX), surface).otherwise(F.lower(surface))
-    return F.when(kind == "name", names).otherwise(F.array(entity(kind, plain)))
+    entity = lambda k, v, g=F.lit("n"): F.struct(k.alias("kind"), v.alias("value"), g.alias("gender"))
+    words, digits = _name_words(surface), F.regexp_replace(surface, r"[^0-9]", "")
+    gender = _gender(surface)
+    names = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, entity(F.lit("family"), F.lower(w))).otherwise(entity(F.lit("given"), F.lower(w), gender)))
+    mail = F.array(entity(F.lit("mail"), F.lower(surface)), entity(F.lit("domain"), F.regexp_extract(F.lower(surface), "@(.*)$", 1)))
+    # The country code of a telephone number is kept, so it is marked off.
+    code = F.regexp_extract(surface, r"^\+(\d{1,3})[ .\-(]", 1)
+    phone = F.when(code == "", digits).otherwise(F.concat(code, F.lit("|"), F.substring(digits, F.length(code) + 1, F.length(digits))))
+    plain = (
+        F.when(kind == "phone", phone).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.regexp_replace(surface, " ", "")).when((kind == "secret") & ~surface.rlike(_HEX), surface).otherwise(F.lower(surface))
+    )
+    checked = F.when((kind == "card") & (_luhn_sum(digits) % 10 != 0), F.lit("number")).otherwise(kind)
+    return F.when(kind == "name", names).when(kind == "email", mail).otherwise(F.array(entity(checked, plain)))
 
 
 def _stream(key: str, kind: Column, value: Column, attempt: Column, times: int = 1) -> Column:
@@ -113,10 +131,10 @@ def _by_class(value: Column, stream: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         n = (_nibble(stream, i % 96) + F.floor(i / 96) * 7).cast("int")
         letter = lambda first, size: F.char(F.lit(ord(first)) + n % size)
-        cyrillic = F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя"), n % 27 + 1, F.lit(1))
-        return (
-            F.when(c.rlike("[0-9]"), letter("0", 10)).when(c.rlike("[a-z]"), letter("a", 26)).when(c.rlike("[A-Z]"), letter("A", 26)).when(c.rlike(r"\p{IsCyrillic}"), cyrillic).when(c.rlike(r"\p{L}"), letter("a", 26)).otherwise(c)
-        )
+        out = F.when(c.rlike("[0-9]"), letter("0", 10)).when(c.rlike("[a-z]"), letter("a", 26)).when(c.rlike("[A-Z]"), letter("A", 26))
+        for script, letters in ALPHABETS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1)))
+        return out.when(c.rlike(r"\p{L}"), letter("a", 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -155,7 +173,7 @@ def _syllables(value: Column, stream: Column, attempt: Column, first: int) -> Co
     """A made-up name of about the same length, in the same script; longer after some attempts."""
     count = F.greatest(F.lit(2), F.least(F.lit(10), F.floor((F.length(value) + 1) / 2).cast("int"))) + F.floor(attempt / 6).cast("int")
     made = lambda values: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _pick(values, _nibble(stream, i + first))), "")
-    return F.when(value.rlike(r"\p{IsCyrillic}"), made(SYLLABLES_CYRILLIC)).otherwise(made(SYLLABLES))
+    return F.when(value.rlike(r"\p{IsCyrillic}"), made(SYLLABLES_CYRILLIC)).when(value.rlike(r"\p{IsGreek}"), made(SYLLABLES_GREEK)).otherwise(made(SYLLABLES))
 
 
 def _given(value: Column, kind: Column, stream: Column, attempt: Column) -> Column:
@@ -178,10 +196,11 @@ def candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of an entity at the given attempt, in canonical form."""
 
     def of(stream: Column) -> Column:
-        domain = F.regexp_extract(value, r"@(.*)(\.[^.]+)$", 1)
-        mail = F.concat(_by_class(F.concat(F.regexp_extract(value, r"^(.*)@", 1), F.repeat(F.lit("a"), F.floor(attempt / 6).cast("int"))), stream), F.lit("@"), _by_class(domain, _stream(key, F.lit("domain"), domain, F.lit(0), 3)), F.regexp_extract(value, r"(\.[^.]+)$", 1))
+        longer = lambda part: _by_class(F.concat(part, F.repeat(F.lit("a"), F.floor(attempt / 6).cast("int"))), stream)
+        domain = F.concat(longer(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1)), F.regexp_extract(value, r"(\.[^.]+)$", 1))
+        phone = F.concat(F.regexp_extract(value, r"^(\d+\|)?", 0), _by_class(F.regexp_replace(value, r"^\d+\|", ""), stream))
         return (
-            F.when(kind == "email", mail).when(kind == "ip", _octets(value, stream, attempt)).when(kind == "card", _card(value, stream)).when(kind.isin("phone", "ssn"), _by_class(value, stream))
+            F.when(kind == "mail", longer(F.regexp_extract(value, r"^(.*)@", 1))).when(kind == "domain", domain).when(kind == "ip", _octets(value, stream, attempt)).when(kind == "card", _card(value, stream)).when(kind == "phone", phone).when(kind == "ssn", _by_class(value, stream))
             .when(kind == "iban", F.concat(F.substring(value, 1, 2), _by_class(F.substring(value, F.lit(3), F.length(value)), stream))).when(kind == "family", _syllables(value, stream, attempt, 0))
             .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _hexes(value, stream)).otherwise(_by_class(value, stream))).otherwise(_given(value, kind, stream, attempt))
         )
@@ -190,27 +209,27 @@ def candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """entities: kind, value, distinct. A written table with a column ``surrogate``, different for any two entities of a kind and never an entity.
+    """entities: kind, value, distinct, and form (what kind of candidate; the kind itself if there is no such column). A written table with a column ``surrogate``, different for any two entities of a kind and never an entity.
 
-    Kinds of given names share their replacements with family names nowhere: each kind is
-    checked on its own. Entities whose candidate is taken try again with the next
+    Each kind is checked on its own; given names are one kind, whatever their gender. Entities whose candidate is taken try again with the next
     attempt; of several with one candidate the least value has it. Kinds with few forms
     (short names, addresses of few digits) get longer ones after some attempts, so the rounds end.
     """
     settled = None
-    open_ = stash(entities.select("kind", "value", F.lit(0).alias("attempt")), "entities")
+    form = "form" if "form" in entities.columns else "kind"
+    open_ = stash(entities.select("kind", "value", F.col(form).alias("form"), F.lit(0).alias("attempt")), "entities")
     while True:
-        named = open_.withColumn("surrogate", candidate(key, F.col("kind"), F.col("value"), F.col("attempt")))
+        named = open_.withColumn("surrogate", candidate(key, F.col("form"), F.col("value"), F.col("attempt")))
         named = stash(named, "candidates")
         taken = entities.select("kind", F.col("value").alias("surrogate"))
         taken = taken if settled is None else taken.unionByName(settled.select("kind", "surrogate"))
         best = named.groupBy("kind", "surrogate").agg(F.min("value").alias("best"))
         free = best.join(taken.distinct(), ["kind", "surrogate"], "left_anti")
         held = named.join(free, ["kind", "surrogate"], "left").withColumn("ok", F.coalesce(F.col("best") == F.col("value"), F.lit(False)))
-        held = stash(held.select("kind", "value", "attempt", "surrogate", "ok"), "checked")
+        held = stash(held.select("kind", "value", "form", "attempt", "surrogate", "ok"), "checked")
         good = held.where("ok").select("kind", "value", "surrogate")
         settled_now = stash(good if settled is None else settled.unionByName(good), "surrogates")
-        left = stash(held.where("not ok").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "entities")
+        left = stash(held.where("not ok").select("kind", "value", "form", (F.col("attempt") + 1).alias("attempt")), "entities")
         for t in (open_, named, held, settled):
             if t is not None:
                 unstash(t)
@@ -223,28 +242,26 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def _dress(surface: Column, found: Column) -> Column:
     """The canonical replacements of a match's parts in the layout and case of the match."""
     kind, first = found.getItem(0)["kind"], found.getItem(0)["surrogate"]
+    first = F.when(kind == "phone", F.regexp_replace(first, r"\|", "")).when(kind == "mail", F.concat(first, F.lit("@"), F.get(found, F.lit(1))["surrogate"])).otherwise(first)
 
     def digits(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^0-9]", ""))
         return F.when(c.rlike("[0-9]"), F.substring(first, before, F.lit(1))).otherwise(c)
 
     numbers = F.array_join(F.transform(F.split(surface, ""), digits), "")
-    # A telephone number keeps its country code.
-    code = F.regexp_extract(surface, r"^(\+\d{1,3})[ .\-(]", 1)
-    phone = F.concat(code, F.substring(numbers, F.length(code) + 1, F.length(surface)))
     spaced = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(first, F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
     title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.? )", 1)
     names = F.concat(title, F.array_join(F.transform(found, lambda p: F.initcap(F.regexp_replace(p["surrogate"], "-", " "))), " "))
     cased = F.when((surface == F.upper(surface)) & ((kind != "secret") | surface.rlike(_HEX)), F.upper(first)).otherwise(first)
-    return F.when(kind == "phone", phone).when(kind.isin("ssn", "card"), numbers).when(kind == "iban", spaced).when((kind == "family") | kind.startswith("given"), names).otherwise(cased)
+    return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", spaced).when(kind.isin("family", "given"), names).otherwise(cased)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, text with surrogates, n_entities long (matches), n_distinct long.
 
     Texts without an entity, empty texts and null ones come back as they are. Repeated
-    rows are treated alike; null ids are kept; other columns are not read; an empty
-    table gives no rows. Only rows with an entity are shuffled.
+    rows are treated alike, as are ties; null ids are kept; very long texts are searched whole; other
+    columns are not read, whatever their names; an empty table gives no rows. Only rows with an entity are shuffled.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ALL), F.lit(0)))
@@ -252,19 +269,26 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     searched = stash(searched, "pii-rows")
     hits = searched.where(F.size("matches") > 0)
     surfaces = stash(hits.select("row", F.explode(F.array_distinct("matches")).alias("surface")).select("row", "surface", parts(F.col("surface")).alias("parts")), "pii-matches")
-    single = surfaces.select("surface", F.posexplode("parts").alias("at", "part")).select("surface", "at", "part.*").distinct()
-    named = assign(single.select("kind", "value").distinct(), key)
+    single = surfaces.select("surface", F.posexplode("parts").alias("at", "part")).select("surface", "at", "part.*").where("kind <> 'number'").distinct()
+    # One person's given name after a title of a gender, after another and by itself is one entity; gender as far as all agree.
+    known = F.when(F.col("gender") != "n", F.col("gender"))
+    agreed = F.when(F.min(known) == F.max(known), F.min(known)).otherwise("n")
+    form = F.when(F.col("kind") == "given", F.concat(F.lit("given-"), F.col("gender"))).otherwise(F.col("kind"))
+    named = assign(single.groupBy("kind", "value").agg(agreed.alias("gender")).select("kind", "value", form.alias("form")), key)
     # One row for each distinct match, whatever the number of documents with it.
     dressed = single.join(named, ["kind", "value"]).groupBy("surface").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "surrogate"))).alias("found"))
     dressed = dressed.select("surface", _dress(F.col("surface"), F.col("found")).alias("new"))
     maps = surfaces.select("row", "surface").join(dressed, "surface").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("new"))
-    filled = hits.join(maps, "row")
+    filled = hits.join(maps, "row", "left")
+    new = lambda m: F.try_element_at(F.col("new"), m)
+    held = F.filter("matches", lambda m: new(m).isNotNull())
     pieces = F.split("text", ALL, -1)
-    text = _let(pieces, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform("matches", lambda m, i: F.concat(F.element_at("new", m), F.get(p, i + 1))), "")))
-    columns = lambda t: ("id", t.alias("text"), F.size("matches").cast("long").alias("n_entities"), F.size(F.array_distinct("matches")).cast("long").alias("n_distinct"))
-    out = filled.select(*columns(text)).unionByName(searched.where(F.size("matches") == 0).select(*columns(F.col("text"))))
+    text = _let(pieces, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform("matches", lambda m, i: F.concat(F.coalesce(new(m), m), F.get(p, i + 1))), "")))
+    columns = lambda t, m: ("id", t.alias("text"), F.size(m).cast("long").alias("n_entities"), F.size(F.array_distinct(m)).cast("long").alias("n_distinct"))
+    out = filled.select(*columns(text, held)).unionByName(searched.where(F.size("matches") == 0).select(*columns(F.col("text"), F.col("matches"))))
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), key="sparkloom")
+    """The key comes from the session's KEY_SETTING; what stands here otherwise is for tests."""
+    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, "key for tests"))

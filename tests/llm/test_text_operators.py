@@ -208,7 +208,6 @@ def test_probabilities_of_a_context_sum_to_one():
     tree = suffix_tree.SuffixTree(5, counts, root)
     bits = suffix_tree.SYMBOL_BITS
     tree.add_level(np.array([0 << bits | 2, 0 << bits | 3, 1 << bits | 1]), np.array([30, 10, 25]))
-    rest = np.log(7 - 6 + 1) if False else None  # noqa: F841
     for context in range(3):
         p = np.exp(tree.log(1, np.full(6, context), np.arange(6)))
         unseen = 1 - np.exp(root).sum()  # further unknown symbols share the root's remainder
@@ -247,6 +246,22 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert surrogates.pseudonymise(none(spark), "key").count() == 0
 
 
+def test_persons_domains_scripts_and_check_digits(spark):
+    texts = ["Mr Kofi Annan and Dr Kofi Annan", "Ms Jean Martin", "Jean Martin", "order 1234567890123456 stays", "write to Γιώργος@δοκιμή.ελ now"]
+    texts += [f"mail a@y{i}.org b@y{i}.org" for i in range(10)] + [f"+49 30 {1000 + i} {2000 + i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.pseudonymise(docs, "key").collect()}
+    first = re.fullmatch(r"Mr (\S+ \S+) and Dr (\S+ \S+)", got[0][0])
+    assert first[1] == first[2] and "Kofi" not in got[0][0]
+    assert got[1][0] == f"Ms {got[2][0]}" and got[2][0] != texts[2]
+    assert got[3] == (texts[3], 0)
+    assert re.fullmatch(r"write to [α-ωό-ώά-ή]+@[α-ωά-ώ]+\.ελ now", got[4][0]) and got[4][0] != texts[4]
+    domains = [re.findall(r"@(\S+)", got[5 + i][0]) for i in range(10)]
+    assert all(a == b for a, b in domains) and len({a for a, _ in domains}) == 10 and not {a for a, _ in domains} & {f"y{i}.org" for i in range(10)}
+    phones = [got[15 + i][0] for i in range(20)]
+    assert len(set(phones)) == 20 and all(re.fullmatch(r"\+49 \d\d \d{4} \d{4}", x) for x in phones) and not set(phones) & set(texts)
+
+
 def test_colliding_candidates_are_resolved(spark):
     values = [(k, f"{i}") for k in ("ssn", "phone") for i in range(10)]
     got = surrogates.assign(spark.createDataFrame([("given-m", f"name{i}") for i in range(150)], "kind string, value string"), "key").collect()
