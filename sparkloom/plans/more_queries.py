@@ -114,12 +114,6 @@ def f23_override_merge(spark, sf):
     return table(spark, sf, "events").select("event_id", F.element_at(merged, "k").alias("k"))
 
 
-@query("SELECT item_id, regexp_replace(trim(split_part(left(text, 40), chr(10), 1)), '[\\s.]+$', '') AS prompt FROM benchmark")
-def f26_grammar_prompt(spark, sf):
-    text = F.concat(F.lit("intro. Your task is to:  "), F.split_part(F.left("text", F.lit(40)), F.lit("\n"), F.lit(1)), F.lit('" rest'))
-    return table(spark, sf, "benchmark").select("item_id", F.coalesce(X.grammar_prompt(text), F.lit("")).alias("prompt"))
-
-
 @query("SELECT item_id, coalesce(regexp_replace(trim(regexp_extract('  ' || text || chr(34), '^\\s*([^\"\\n]+)', 1)), '[\\s.]+$', ''), '') AS prompt FROM benchmark")
 def f26_whole_prompt(spark, sf):
     """f26 with whole texts."""

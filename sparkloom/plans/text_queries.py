@@ -48,15 +48,6 @@ def f36_message_text(spark, sf):
     return c.select("conv_id", F.md5(X.message_text(F.col("m"))).alias("text"))
 
 
-@query("SELECT conv_id, turn, lower(left(text, 12)) AS action, false AS valid FROM conversations WHERE role = 'assistant'")
-def f42_action(spark, sf):
-    """Also f43, f44: an action wrapped in tags is read back; without reasoning it is not valid."""
-    c = table(spark, sf, "conversations").where("role = 'assistant'")
-    wrapped = F.concat(F.lit("x <action>"), F.left("text", F.lit(12)), F.lit("</action>"))
-    a = X.action_of(wrapped)
-    return c.select("conv_id", "turn", F.when(a["action"] == F.trim(F.lower(F.left("text", F.lit(12)))), F.lower(F.left("text", F.lit(12)))).alias("action"), a["valid"].alias("valid"))
-
-
 @query("SELECT conv_id, turn, trim(split_part(lower(text), '</action>', 1)) AS action, turn % 2 = 0 AND trim(split_part(lower(text), '</action>', 1)) <> '' AND NOT regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AS valid FROM conversations WHERE role = 'assistant'")
 def f42_whole_action(spark, sf):
     """f42 with whole texts, further tags behind them, and reasoning at every other turn."""
