@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KIND = "depth int, ord int, tag string, attrs map<string, string>, text string"
-_ROLE_OF_TAG = {"a": "link", "button": "button", "select": "combobox", "textarea": "textbox", "option": "option", "img": "img", "nav": "navigation", "h1": "heading", "h2": "heading", "h3": "heading", "li": "listitem", "ul": "list", "p": "paragraph", "article": "article", "form": "form"}
-_ROLE_OF_INPUT = {"checkbox": "checkbox", "radio": "radio", "submit": "button", "button": "button", "search": "searchbox"}
+# Roles that can be acted on, the roles of tags and of input types, and words that are no name.
+INTERACTIVE = "button checkbox combobox link menuitem option radio searchbox slider spinbutton switch tab textbox".split()
+_ROLE_OF_TAG = {"a": "link", "button": "button", "option": "option", "select": "combobox", "summary": "button", "textarea": "textbox"}
+_ROLE_OF_INPUT = {
+    "button": "button", "checkbox": "checkbox", "email": "textbox", "image": "button", "number": "spinbutton", "password": "textbox", "radio": "radio", "range": "slider",
+    "reset": "button", "search": "searchbox", "submit": "button", "tel": "textbox", "text": "textbox", "url": "textbox",
+}
+_NAMES = ("aria_label", "aria_description", "label", "title", "placeholder", "name", "text_value", "input_value", "value")
+_NO_NAMES = ("true", "false", "null", "undefined")
 
 
 class _Flat(HTMLParser):
@@ -37,8 +44,11 @@ class _Flat(HTMLParser):
     def handle_data(self, data):
         text = " ".join(data.split())
         if text and self.open:
-            row = self.rows[self.open[-1]]
-            row["text"] = f"{row['text']} {text}".strip()
+            # An element's own text; elements that can be acted on have the text of all below them.
+            for i in self.open:
+                row = self.rows[i]
+                if i == self.open[-1] or row["tag"] in _ROLE_OF_TAG or "role" in row["attrs"] or "onclick" in row["attrs"]:
+                    row["text"] = f"{row['text']} {text}".strip()
 
 
 def elements(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -58,23 +68,27 @@ def elements(df: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def role(tag: Column, attrs: Column) -> Column:
-    """An explicit role, else by input type, tag, or what makes an element clickable."""
-    by_input = F.coalesce(*[F.when(F.element_at(attrs, "type") == k, v) for k, v in _ROLE_OF_INPUT.items()], F.lit("textbox"))
+    """The role in which an element can be acted on: its explicit one, else by input type, tag, or what makes it clickable; empty if there is none."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    told = lambda k: F.when(plain(F.element_at(attrs, k)).isin(INTERACTIVE), plain(F.element_at(attrs, k)))
+    kind = F.coalesce(F.nullif(plain(F.element_at(attrs, "type")), F.lit("")), F.lit("text"))
+    by_input = F.when(kind == "hidden", "").otherwise(F.coalesce(*[F.when(kind == k, v) for k, v in _ROLE_OF_INPUT.items()], F.lit("textbox")))
     by_tag = F.coalesce(*[F.when(tag == k, v) for k, v in _ROLE_OF_TAG.items()])
-    clickable = F.when(F.map_contains_key(attrs, "onclick"), "button")
-    return F.coalesce(F.nullif(F.element_at(attrs, "role"), F.lit("")), F.when(tag == "input", by_input), by_tag, clickable, F.lit("generic"))
+    clickable = (plain(F.element_at(attrs, "is_clickable")) == "true") | F.map_contains_key(attrs, "onclick") | F.map_contains_key(attrs, "tabindex")
+    return F.coalesce(told("role"), F.when(tag == "input", by_input), by_tag, told("aria_role"), F.when(clickable, "button"), F.lit(""))
 
 
 def primary_name(attrs: Column, text: Column, words: int = 14) -> Column:
-    """The first usable attribute, else the text; so many words at most."""
-    names = [F.nullif(F.trim(F.element_at(attrs, k)), F.lit("")) for k in ("aria-label", "aria_label", "placeholder", "title", "alt", "name", "value", "label", "id")]
-    chosen = F.coalesce(*names, F.nullif(text, F.lit("")))
+    """The first attribute that is a name, else the text; so many words at most. Empty if there is none."""
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    usable = lambda c: F.when((squeezed(c) != "") & ~F.lower(squeezed(c)).isin(*_NO_NAMES), squeezed(c))
+    chosen = F.coalesce(*[usable(F.element_at(attrs, k)) for k in _NAMES], usable(text), F.lit(""))
     return F.array_join(F.slice(F.split(chosen, " "), 1, words), " ")
 
 
 def snapshot(df: DataFrame, key: str, html: str, depth: int = 20) -> DataFrame:
-    """Numbered references to the elements of a page: key, ref, role, name, nth (of the same role and name)."""
-    e = elements(df, key, html).where(F.col("depth") <= depth).select(key, "ord", role(F.col("tag"), F.col("attrs")).alias("role"), primary_name(F.col("attrs"), F.col("text")).alias("name"))
+    """Numbered references to the elements of a page that can be acted on: key, ref, role, name, nth (of the same role and name). depth: how deep the walk goes, part of this operator's definition."""
+    e = elements(df, key, html).where(F.col("depth") <= depth).select(key, "ord", role(F.col("tag"), F.col("attrs")).alias("role"), primary_name(F.col("attrs"), F.col("text")).alias("name")).where("role <> ''")
     nth = F.row_number().over(Window.partitionBy(key, "role", "name").orderBy("ord")) - 1
     ref = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
     return e.select(key, F.concat(F.lit("e"), ref.cast("string")).alias("ref"), "role", "name", nth.alias("nth"))

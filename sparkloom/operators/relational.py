@@ -33,16 +33,20 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm)
 
 
+#: Rows of a query set that are broadcast at once.
+MOST_QUERIES = 20_000
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str, descending: bool = True) -> DataFrame:
     """Exact nearest rows of each query by cosine: query_id, row_id, score, rank. Ties: the smaller row id.
 
     The rows are cut into partitions and every query meets every partition; each
     partition keeps its k best, which are ranked again. The stated query set is
-    broadcast: callers bound it (see blocks()).
+    counted and broadcast in blocks of MOST_QUERIES rows at most.
     """
     q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
     r = rows.select(F.col(row_id).alias("row_id"), unit(F.col(vector)).alias("_r"))
-    scored = r.join(F.broadcast(q), how="cross").select("query_id", "row_id", F.round(dot(F.col("_q"), F.col("_r")), 9).alias("score"))
+    scored = reduce(DataFrame.unionByName, [r.join(F.broadcast(part), how="cross").select("query_id", "row_id", F.round(dot(F.col("_q"), F.col("_r")), 9).alias("score")) for part in blocks(q, "query_id", MOST_QUERIES)])
     order = [F.desc("score") if descending else F.asc("score"), F.asc("row_id")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)

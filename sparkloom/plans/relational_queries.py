@@ -61,16 +61,6 @@ def j4_fan_out(spark, sf):
     return out.withColumn("flat", ((F.col("k") * 25 + F.col("n")) * 3 + F.col("r")).cast("long"))
 
 
-@query("WITH k AS (SELECT DISTINCT left(p_name, i) AS key FROM part, (SELECT unnest([3, 5, 7]) AS i) WHERE p_partkey < 20 AND length(p_name) >= i) SELECT p_partkey, max_by(key, length(key)) AS prefix FROM part JOIN k ON starts_with(p_name, key) GROUP BY p_partkey")
-def j5_longest_prefix(spark, sf):
-    """Keys are met by equal prefixes of their lengths, not by comparing all pairs."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    lengths = F.explode(F.array(*[F.lit(i) for i in (3, 5, 7)]))
-    cut = p.select("p_partkey", "p_name", lengths.alias("i")).where(F.length("p_name") >= F.col("i")).withColumn("key", F.expr("left(p_name, i)"))
-    keys = cut.where("p_partkey < 20").select("key").distinct()
-    return cut.join(keys, "key").groupBy("p_partkey").agg(F.max_by("key", "i").alias("prefix"))
-
-
 @query("WITH k AS (SELECT key FROM (SELECT unnest(list_transform(range(1, length(p_name) + 1), lambda i: left(p_name, i))) AS key FROM part) GROUP BY key HAVING count(*) > 1) SELECT p_partkey, max_by(key, length(key)) AS prefix FROM part LEFT JOIN k ON starts_with(p_name, key) GROUP BY p_partkey")
 def j5_longest_shared_prefix(spark, sf):
     """j5 with keys from all parts and of all lengths: what at least two names start with. Every part has a row."""
@@ -157,7 +147,7 @@ def f9_mean_success_filter(spark, sf):
     SELECT user_id, round((p1 - p2) / (sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) + 1e-8), 4) AS z, coalesce((p1 - p2) / (sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) + 1e-8) >= 1, true) AS keep FROM t"""
 )
 def f10_margin_filter(spark, sf):
-    """Also f11, n19."""
+    """Also n19."""
     c = table(spark, sf, "events").groupBy("user_id", "event_type").agg((F.count_if(F.col("value") > 10) / F.count("*")).alias("p"), F.count("*").alias("n"))
     return R.margin_filter(c, ["user_id"], "event_type", "p", "n").select("user_id", F.round("z", 4).alias("z"), "keep")
 

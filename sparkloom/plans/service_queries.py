@@ -29,7 +29,7 @@ def r11_same_answer(spark, sf):
 
 @query("SELECT event_id, (event_id % 3 = 0)::INT AS score FROM events")
 def r13_marked_score(spark, sf):
-    """Also r1, r2, r24."""
+    """Also r2, r24."""
     said = F.when(F.col("event_id") % 3 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).cast("string")
     text = F.concat(F.lit("<think>hm</think> \\boxed{"), said, F.lit("}"))
     return table(spark, sf, "events").select("event_id", A.marked_score(text, F.col("user_id").cast("string")).alias("score"))
@@ -43,7 +43,7 @@ def r14_integer_score(spark, sf):
 
 @query("SELECT event_id, user_id AS a, event_type AS b FROM events")
 def f38_best_json(spark, sf):
-    """Also k12, f39, f74: the object with the wanted keys, inside prose."""
+    """Also k12, f74: the object with the wanted keys, inside prose."""
     text = F.concat(F.lit('I say {"x": 1} then ```json\n'), F.to_json(F.struct(F.col("user_id").alias("a"), F.col("event_type").alias("b"))), F.lit("\n``` done {"))
     e = table(spark, sf, "events").select("event_id", A.best_json(text, "a", "b").alias("j"))
     return e.select("event_id", F.from_json("j", "a long, b string").alias("v")).select("event_id", "v.*")
@@ -51,7 +51,7 @@ def f38_best_json(spark, sf):
 
 @query("SELECT p_partkey, p_name LIKE '%ring%' AS inside FROM part")
 def f54_fuzzy_text(spark, sf):
-    """Also j9, f53, f55: containment decides here; a text far from all names matches none."""
+    """Containment decides here; a text far from all names matches none."""
     return table(spark, sf, "part").select("p_partkey", (A.fuzzy(F.col("p_name"), F.lit("ring")) & F.contains("p_name", F.lit("ring"))).alias("inside"))
 
 

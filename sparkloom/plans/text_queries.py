@@ -26,7 +26,7 @@ def f25_type_label(spark, sf):
 
 @query("SELECT page_id, split_part(split_part(regexp_replace(url, '^https?://', ''), '/', 1), ':', 1) AS host, len(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')) - 1 AS depth FROM pages")
 def f30_path_parts(spark, sf):
-    """Also f4, f15: parts of a path."""
+    """Also f4: parts of a path."""
     rest = F.regexp_replace("url", "^https?://", "")
     return table(spark, sf, "pages").select("page_id", F.split_part(F.split_part(rest, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)).alias("host"), (F.size(F.split(F.regexp_replace(rest, "[?#].*$", ""), "/")) - 1).cast("long").alias("depth"))
 
@@ -81,7 +81,7 @@ def f60_non_english(spark, sf):
 
 @query()
 def f61_audit(spark, sf):
-    """Also n14, n15, r19: the audit's verdict of each document."""
+    """Also n14: the audit's verdict of each document."""
     return table(spark, sf, "documents").select("doc_id", X.audit(F.col("text")).alias("a")).select("doc_id", "a.*")
 
 
@@ -126,7 +126,7 @@ def r4_token_f1(spark, sf):
 
 @query("SELECT item_id, true AS em, false AS other FROM benchmark")
 def r5_exact_match(spark, sf):
-    """Also r7, r8: an answer in tags against gold answers, case and articles aside."""
+    """Also r8: an answer in tags against gold answers, case and articles aside."""
     answer = F.concat(F.lit("<answer>no</answer> <answer>The "), F.lower("text"), F.lit("</answer>"))
     b = table(spark, sf, "benchmark").withColumn("answer", X.last_tag(answer, "answer", least=2))
     return b.select("item_id", X.exact_match(F.col("answer"), F.array(F.lit("x"), F.col("text"))).alias("em"), X.exact_match(F.col("answer"), F.array(F.lit("x"))).alias("other"))
@@ -141,12 +141,11 @@ def r15_multiple_choice(spark, sf):
 
 @query("SELECT event_id, round(value * CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 2 ELSE 0.5 END, 6) AS reward FROM events")
 def r18_weighted_reward(spark, sf):
-    """Also r19, r20."""
     weight = F.when(F.col("event_type") == "error", 0.0).when(F.col("event_type") == "purchase", 2.0).otherwise(0.5)
     return table(spark, sf, "events").select("event_id", F.round(F.col("value") * weight, 6).alias("reward"))
 
 
 @query()
 def f47_page_elements(spark, sf):
-    """Also f48, f49, f50, f51, n9: the elements of each page in document order, with role, name and ordinal."""
+    """Also f48, f49, f51, n9: the elements of each page in document order, with role, name and ordinal."""
     return pages.snapshot(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html")

@@ -106,9 +106,9 @@ def test_text_functions(spark):
 
 
 def test_page_snapshot(spark):
-    html = "<form><input type=checkbox name=a><input name=b><a href=x>Go</a><a href=y>Go</a></form></p>"
+    html = "<form><input type=checkbox name=a><input name=b><input type=hidden name=h><a href=x><b>Go</b></a><a href=y>Go</a><div role=Tab title=true placeholder=T></div><p>no</p><i tabindex=0>x</i></form></p>"
     rows = pages.snapshot(spark.createDataFrame([(1, html), (2, None)], "id long, html string"), "id", "html").orderBy("ref").collect()
-    assert [(r["ref"], r["role"], r["name"], r["nth"]) for r in rows] == [("e1", "form", None, 0), ("e2", "checkbox", "a", 0), ("e3", "textbox", "b", 0), ("e4", "link", "Go", 0), ("e5", "link", "Go", 1)]
+    assert [(r["ref"], r["role"], r["name"], r["nth"]) for r in rows] == [("e1", "checkbox", "a", 0), ("e2", "textbox", "b", 0), ("e3", "link", "Go", 0), ("e4", "link", "Go", 1), ("e5", "tab", "T", 0), ("e6", "button", "x", 0)]
 
 
 def test_sources(spark, tmp_path):
