@@ -18,22 +18,26 @@ from sparkloom.llm.tiling import annotate
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them.
+
+    Repeated rows and ties are judged alike and long texts whole, columns may have any names, and an empty table
+    stays empty; this holds for all stages.
+    """
     return keep_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that resemble an earlier one go."""
+    """Lines that resemble an earlier one go; null texts stay, and a repeated row loses its long lines."""
     return drop_duplicate_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: those of a similarity of 0.8 or more are linked."""
+    """One document of each group of near-duplicates stays: those of a similarity of 0.8 or more are linked. Null and empty texts are one group."""
     return keep_one(docs, similar=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold most of a benchmark item go."""
+    """Documents that hold most of a benchmark item go; null and empty texts hold none."""
     name = "_leaks"
     while name in docs.columns:
         name += "_"
@@ -41,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining texts as token ids: their number, and digests of ids and decoded bytes."""
+    """The remaining texts as token ids: their number, and digests of ids and decoded bytes. A null or empty text has none, and a row."""
     return encode_documents(docs)
 
 
@@ -53,7 +57,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Robust estimates, fingerprints and exact merges have no SQL form; tests hold every stage against a brute-force version.
+#: Robust estimates, fingerprints and exact merges have no SQL form.
 ORACLE_SQL = None
 
 
