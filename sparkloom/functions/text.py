@@ -160,3 +160,107 @@ def audit(text: Column) -> Column:
         " | ", F.when(has_suspicious_characters(text), "suspicious characters"), F.when(has_non_english_characters(text), "non-English characters"), F.when(has_char_run(text), "long character run"), F.when(has_token_run(text), "repeated token")
     )
     return F.struct((reasons == "").alias("pass"), reasons.alias("reasons"))
+
+
+def equal_run(tokens: Column, distance: int, chars: int = 0) -> Column:
+    """The longest run of tokens that equal the one ``distance`` places before, one fold over the tokens. A run of (n - 1) * distance is a chunk of that size n times in a row. Chunks of fewer characters than ``chars`` do not count."""
+    later = F.slice(tokens, F.lit(distance + 1), F.greatest(F.size(tokens) - distance, F.lit(0)))
+    same = F.transform(later, lambda x, i: (x == F.get(tokens, i)) & (F.length(F.array_join(F.slice(tokens, i + 1, F.lit(distance)), " ")) >= chars))
+
+    def step(a, x):
+        run = F.when(x, a["run"] + 1).otherwise(0)
+        return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.aggregate(same, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"].cast("long"))
+
+
+def has_repeated_chunk(tokens: Column, least: int = 4, chars: int = 8) -> Column:
+    """Whether a chunk of two to four tokens stands ``least`` times in a row or more."""
+    found = [equal_run(tokens, n, chars) >= (least - 1) * n for n in (2, 3, 4)]
+    return found[0] | found[1] | found[2]
+
+
+def valid_tag_sequence(text: Column) -> Column:
+    """Behind the reply's marker: thinking, any number of searches with information and further thinking, an answer; only white space between."""
+    reply = F.regexp_extract(text, r"(?s)<\|im_start\|>assistant\s*(.*)", 1)
+    tag = r"</?(?:think|search|information|answer)>"
+    tags = F.array_join(F.regexp_extract_all(reply, F.lit(tag), F.lit(0)), "")
+    order = tags.rlike("^<think></think>(?:<search></search><information></information><think></think>)*<answer></answer>$")
+    return order & F.forall(F.transform(F.split(reply, tag), lambda x, i: (i % 2 == 1) | (squeeze(x) == "")), lambda ok: ok)
+
+
+def composite_score(text: Column, golds: Column, structure: float = 0.2, final: float = 0.1, retrieval: float = 0.1, score: float = 1.0) -> Column:
+    """Exact match of the last of two or more answers, less the structure's share if tags are out of order; otherwise the shares for structure and for information that holds a gold answer."""
+    valid, answer = valid_tag_sequence(text), last_tag(text, "answer", 2)
+    blocks = F.regexp_extract_all(text, F.lit("(?s)<information>(.*?)</information>"), F.lit(1))
+    found = F.exists(blocks, lambda b: F.exists(golds, lambda g: F.contains(normalise_answer(b), normalise_answer(g))))
+    kept = F.when(found, structure + retrieval).otherwise(structure)
+    right = answer.isNotNull() & F.coalesce(exact_match(answer, golds), F.lit(False))
+    return F.when(right & valid, score).when(right, score - structure).when(valid, kept).when(answer.isNull(), 0.0).otherwise(final)
+
+
+def enclosing_lines(doc: Column, snippets: Column) -> Column:
+    """The lines around each snippet that the text holds, distinct, in order. A snippet may run over a line's end."""
+    flat = F.replace(doc, F.lit("\n"), F.lit(" "))
+
+    def around(s):
+        at = F.position(s, flat)
+        head = F.substring_index(F.substring(doc, F.lit(1), at - 1), "\n", -1)
+        tail = F.substring_index(F.substring(doc, at + F.length(s), F.length(doc)), "\n", 1)
+        return F.when(at > 0, F.trim(F.concat(head, F.substring(doc, at, F.length(s)), tail)))
+
+    return F.array_distinct(F.filter(F.transform(snippets, around), lambda x: x.isNotNull()))
+
+
+def detail_bits(attributes: Column, primary: Column, most: int = 3) -> Column:
+    """Up to ``most`` attributes that say more than the primary name, as key="value" of ten words at most."""
+    # The attributes in their order, and types that say nothing.
+    keys = ["placeholder", "value", "input_value", "text_value", "title", "aria_label", "type"]
+    plain_types = ["text", "button", "submit"]
+    marks = {"input_checked": "[checked]", "option_selected": "[selected]"}
+
+    def bit(key):
+        value = squeeze(F.try_element_at(attributes, F.lit(key)))
+        said = (value == "") | (F.lower(value) == squeeze(primary, lower=True))
+        if key == "type":
+            said = said | F.lower(value).isin(plain_types)
+        return F.when(~said, F.concat(F.lit(f'{key}="'), F.array_join(F.slice(F.split(value, " "), 1, 10), " "), F.lit('"')))
+
+    flags = [F.when(squeeze(F.try_element_at(attributes, F.lit(k)), lower=True) == "true", F.lit(v)) for k, v in marks.items()]
+    return F.slice(F.array_compact(F.array(*[bit(k) for k in keys], *flags)), 1, most)
+
+
+def step_blocks(text: Column) -> Column:
+    """step, start and end (from 0) of each block that a step's header opens."""
+    header = "\n\n\\[Step (\\d+)\\]\n"
+    steps = F.transform(F.regexp_extract_all(text, F.lit(header), F.lit(1)), lambda s: s.cast("int"))
+    heads = F.regexp_extract_all(text, F.lit(header), F.lit(0))
+    bodies = F.slice(F.split(text, header, -1), 2, F.greatest(F.size(heads), F.lit(1)))
+    lengths = F.transform(bodies, lambda b, i: F.length(b) + F.length(F.get(heads, i)))
+    first = F.length(F.get(F.split(text, header, -1), F.lit(0)))
+    ends = F.aggregate(lengths, F.array(first), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    return F.transform(steps, lambda s, i: F.struct(s.alias("step"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end")))
+
+
+def tool_action(text: Column) -> Column:
+    """kind and content of a reply: a boxed answer, else the code of an interpreter's call, of code tags, or of a fenced block."""
+    answer = r"(?s)Answer:\s*\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
+    call = F.regexp_extract(text, r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>", 1)
+    parsed = F.from_json(F.replace(call, F.lit("\n"), F.lit("\\n")), "name string, arguments struct<code: string>")
+    code = F.when(parsed["name"] == "code_interpreter", parsed["arguments"]["code"])
+    tags, fence = r"(?s)<code>(.*?)</code>", r"(?s)```python\s*(.*?)\s*```"
+    pair = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    found = F.when(text.rlike(answer), pair("answer", F.trim(F.regexp_extract(text, answer, 1)))).when(F.trim(code) != "", pair("code", code))
+    for pattern in (tags, fence):
+        found = found.when(text.rlike(pattern), pair("code", F.trim(F.regexp_extract(text, pattern, 1))))
+    return found.otherwise(pair(None, F.lit("")))
+
+
+def last_tool_call(text: Column) -> Column:
+    """name and arguments (JSON) of the last call; arguments given as a JSON text are read once more. Null if it has no name or is not valid."""
+    raw = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1)), F.lit(-1))
+    name = F.coalesce(F.get_json_object(raw, "$.name"), F.get_json_object(raw, "$.function.name"))
+    # A string of JSON and the object itself both come out as the object's text.
+    arguments = F.coalesce(F.get_json_object(raw, "$.arguments"), F.get_json_object(raw, "$.function.arguments"), F.lit("{}"))
+    ok = (name != "") & F.try_parse_json(arguments).isNotNull()
+    return F.when(ok, F.struct(name.alias("name"), arguments.alias("arguments")))
