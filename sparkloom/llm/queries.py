@@ -5,6 +5,7 @@ from sparkloom.llm.line_dedup import op5_line_dedup
 from sparkloom.llm.quality import op3_quality
 from sparkloom.llm.sharding import op2_sharding
 from sparkloom.llm.simhash import op1_simhash
+from sparkloom.llm.sql import LINE_DEDUP
 from sparkloom.llm.suffix_tree import op10_suffix_tree
 from sparkloom.llm.surrogates import op6_surrogates
 from sparkloom.llm.tag_paths import op4_tag_paths
@@ -24,4 +25,4 @@ QUERIES = {
     "op10_suffix_tree": op10_suffix_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
