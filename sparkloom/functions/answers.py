@@ -101,11 +101,11 @@ def json_object(text: str | None, keys: tuple[str, ...] = ()) -> str | None:
     decoder = json.JSONDecoder()
     for m in re.finditer(r"\{", text):
         try:
-            value, size = decoder.raw_decode(text[m.start() :])
+            value, end = decoder.raw_decode(text, m.start())
         except ValueError:
             continue
         if isinstance(value, dict):
-            rank = (sum(k in value for k in keys), size, m.start() + size)
+            rank = (sum(k in value for k in keys), end - m.start(), end)
             if best is None or rank > best[0]:
                 best = (rank, value)
     return None if best is None else json.dumps(best[1], ensure_ascii=False)

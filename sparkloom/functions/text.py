@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def squeeze_ends(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(text: Column, lower: bool = False) -> Column:
     out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     return F.lower(out) if lower else out
@@ -147,18 +152,30 @@ def has_token_run(text: Column, least: int = 8) -> Column:
     return F.aggregate(tokens, start, step, lambda a: a["best"]) >= least
 
 
-def multiple_choice(text: Column) -> Column:
-    """Letter of an answer: after 'answer is', else the last capital that stands alone."""
-    named = F.upper(F.regexp_extract(text, r"(?i)answer\s*(?:is|:)?\s*[\(\[]?([A-Z])\b", 1))
-    alone = F.regexp_extract_all(text, F.lit(r"\b([A-Z])\b"), F.lit(1))
-    return F.coalesce(F.nullif(named, F.lit("")), F.when(F.size(alone) > 0, F.element_at(alone, -1)))
+def multiple_choice(text: Column, valid: str = "ABCDEFGH") -> Column:
+    """The letter that a reply settles on, behind its thinking: as named by a phrase, else the last valid capital that stands alone."""
+    # Phrases around the letter, in order of weight.
+    phrases = [r"(?i)(?:answer|option|choice)\s*(?:is|:)?\s*([A-Z])", r"(?i)([A-Z])\s*(?:is\s*(?:the)?\s*correct)", r"(?i)final\s*(?:answer|option)\s*(?:is|:)?\s*([A-Z])"]
+    reply = F.substring_index(text, "</think>", -1)
+    named = [F.upper(F.regexp_extract(reply, p, 1)) for p in phrases]
+    alone = F.regexp_extract_all(reply, F.lit(rf"\b([{valid}])\b"), F.lit(1))
+    return F.coalesce(*[F.when(n.isin(*valid), n) for n in named], F.try_element_at(alone, F.lit(-1)))
+
+
+def has_repeated_line(text: Column, least: int = 3, share: float = 0.5, chars: int = 12) -> Column:
+    """Whether one line of ``chars`` characters or more stands often enough, and makes up enough of the lines. Sorted, so that equal lines are neighbours."""
+    lines = F.filter(F.transform(F.split(F.lower(text), r"\R"), squeeze_ends), lambda x: x != "")
+    long = F.sort_array(F.filter(lines, lambda x: F.length(x) >= chars))
+    most = F.when(F.size(long) > 0, equal_run(long, 1) + 1).otherwise(0)
+    return (most >= least) & (most >= share * F.size(lines))
 
 
 def audit(text: Column) -> Column:
-    """Verdict of the rule-based audit: pass, and the reasons joined by ' | '."""
-    reasons = F.concat_ws(
-        " | ", F.when(has_suspicious_characters(text), "suspicious characters"), F.when(has_non_english_characters(text), "non-English characters"), F.when(has_char_run(text), "long character run"), F.when(has_token_run(text), "repeated token")
-    )
+    """Verdict of the rule-based audit: pass, and the reasons joined by ' | '. The first kind of repetition found is the one given."""
+    text = F.coalesce(text, F.lit(""))
+    tokens = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    repeats = F.when(has_char_run(text), "long character run").when(has_token_run(text), "repeated token").when(has_repeated_chunk(tokens), "repeated chunk").when(has_repeated_line(text), "repeated line")
+    reasons = F.concat_ws(" | ", F.when(has_suspicious_characters(text), "suspicious characters"), F.when(has_non_english_characters(text), "non-English characters"), repeats)
     return F.struct((reasons == "").alias("pass"), reasons.alias("reasons"))
 
 

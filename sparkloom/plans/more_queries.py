@@ -268,13 +268,14 @@ def b12_least_loaded(spark, sf):
     return loads.groupBy((F.col("user_id") % 4).alias("region")).agg(F.min_by("user_id", F.struct("n", "user_id")).alias("least_loaded"))
 
 
-@query("SELECT event_id, event_id % 2 = 0 AS valid FROM events")
+@query("SELECT conv_id, turn, (conv_id + turn) % 4 < 2 AS valid FROM conversations")
 def r6_tag_sequence(spark, sf):
-    """Thinking, then any number of searches with information, then an answer."""
-    text = F.when(F.col("event_id") % 2 == 0, "<think>a</think><search>b</search><information>c</information><think>d</think><answer>e</answer>").otherwise("<answer>e</answer><think>a</think>")
-    tags = F.array_join(F.regexp_extract_all(text, F.lit(r"</?(?:think|search|information|answer)>"), F.lit(0)), "")
-    unit = "<think></think>(?:<search></search><information></information><think></think>)*<answer></answer>"
-    return table(spark, sf, "events").select("event_id", tags.rlike(f"^{unit}$").alias("valid"))
+    """Thinking, then any number of searches with information, then an answer, with whole texts inside; not with a text between or a search without information."""
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    search = F.concat(F.lit("<search>"), F.col("role"), F.lit("</search>\n<information>"), F.col("text"), F.lit("</information>"))
+    middle = F.when(k == 0, F.concat(search, F.lit("<think>d</think>"))).when(k == 1, " \n").when(k == 2, F.concat(search, F.col("text"))).otherwise("<search>b</search><think>d</think>")
+    reply = F.concat(F.lit("<|im_start|>assistant\n<think>"), F.col("text"), F.lit("</think>"), middle, F.lit("<answer>e</answer>"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.valid_tag_sequence(reply).alias("valid"))
 
 
 @query("SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS trained, sum(length(text)) AS n FROM conversations GROUP BY conv_id")

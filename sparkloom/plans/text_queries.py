@@ -132,11 +132,14 @@ def r5_exact_match(spark, sf):
     return b.select("item_id", X.exact_match(F.col("answer"), F.array(F.lit("x"), F.col("text"))).alias("em"), X.exact_match(F.col("answer"), F.array(F.lit("x"))).alias("other"))
 
 
-@query("SELECT event_id, substr('ABCD', user_id % 4 + 1, 1) AS letter FROM events")
+@query("""SELECT conv_id, turn, substr('ABCD', conv_id % 4 + 1, 1) AS letter FROM conversations WHERE NOT regexp_matches(text, '(?i)answer|option|choice|correct')""")
 def r15_multiple_choice(spark, sf):
-    letter = F.substring(F.lit("ABCD"), (F.col("user_id") % 4 + 1).cast("int"), F.lit(1))
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("I think the answer is ("), letter, F.lit(")."))).otherwise(F.concat(F.lit("It could be D, but "), letter))
-    return table(spark, sf, "events").select("event_id", X.multiple_choice(text).alias("letter"))
+    """Letters named before and behind whole texts, in thinking that does not count, and alone."""
+    letter = F.substring(F.lit("ABCD"), (F.col("conv_id") % 4 + 1).cast("int"), F.lit(1))
+    k = F.col("turn") % 4
+    said = F.when(k == 0, F.concat(F.lit("\nThe answer is "), letter)).when(k == 1, F.concat(F.lit("\n"), F.lower(letter), F.lit(" is correct, not H"))).when(k == 2, F.concat(F.lit("\nPerhaps Z or H, so "), letter)).otherwise(F.concat(F.lit("the answer is H</think> Option: "), letter))
+    rows = table(spark, sf, "conversations").where("NOT text RLIKE '(?i)answer|option|choice|correct'")
+    return rows.select("conv_id", "turn", X.multiple_choice(F.concat("text", said)).alias("letter"))
 
 
 @query("SELECT event_id, round(value * CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 2 ELSE 0.5 END, 6) AS reward FROM events")

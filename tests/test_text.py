@@ -65,3 +65,21 @@ def test_tool_calls(spark):
     )
     assert tuple(r.bad) == ("code", "1 + 1") and tuple(r.other) == (None, "")
     assert r.none is None and r.unnamed is None and tuple(r.bare) == ("f", "{}")
+
+
+def test_multiple_choice(spark):
+    cases = {
+        "So the answer is (x) B. Not C": "C", "Option: b, though C is tempting": "B", "I say D is the correct one": "D", "final answer Z, or F": "F", "the answer is A</think> Perhaps G": "G", "no letter": None, "": None,
+    }
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", X.multiple_choice(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r.l for r in got] == list(cases.values())
+
+
+def test_audit_of_repeats(spark):
+    line = "Take the red lamp."
+    cases = {
+        "\n".join([line, "x", line, "y", line]): "repeated line", "\n".join([line, "x", line, "y", "z", "w", line]): "", "go north go north go north go north": "repeated chunk", "ha " * 8: "repeated token",
+        "aaaaaaaa " + "no " * 9: "long character run", "": "",
+    }
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string").select("i", X.audit(F.col("t")).alias("a")).orderBy("i").collect()
+    assert [r.a.reasons for r in got] == [*cases.values(), ""]
