@@ -62,6 +62,29 @@ def ordinal(df: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def spread_ordinal(df: DataFrame, by: list[str], order: str, out: str, bins: int = 200) -> DataFrame:
+    """ordinal() for a few large groups: rows are numbered inside ranges of a numeric ``order``, then raised by the counts of the ranges before.
+
+    The limits of the ranges are approximate quantiles over all rows, ``bins`` numbers; they
+    only decide how evenly the rows are dealt. Nulls come first. Equal values share a range,
+    so a value that many rows repeat still meets in one task.
+    """
+    share = [i / bins for i in range(1, bins)]
+    limits = df.agg(F.percentile_approx(order, share, 10 * bins)).first()[0]
+    limits = sorted(set(limits or []))
+    # The number of limits that a value passes; the array is a constant of fixed size.
+    passed = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= F.col(order))) if limits else F.lit(0)
+    dealt = df.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(passed))
+    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    same = F.col("l._range") == F.col("r._range")
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
+    joined = dealt.withColumn("_inside", inside).alias("l").join(before.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._inside") + F.col("r._before")).alias(out))
+
+
 def prefix_list(df: DataFrame, by: list[str], order: list, value: str, out: str) -> DataFrame:
     """All values before each row."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

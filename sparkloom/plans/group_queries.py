@@ -78,7 +78,7 @@ def n7_masked_whitening(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS lang_index FROM documents")
 def n8_row_numbers(spark, sf):
-    return G.ordinal(table(spark, sf, "documents"), ["lang"], ["doc_id"], "lang_index").select("doc_id", F.col("lang_index").cast("long"))
+    return G.spread_ordinal(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id", "lang_index").select("doc_id", F.col("lang_index").cast("long"))
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS nth FROM conversations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions import tokens as T
+from sparkloom.operators import groups as G
 from sparkloom.operators import metrics as M
 from sparkloom.operators import packing
 from sparkloom.operators import relational as R
@@ -66,8 +67,8 @@ def s35_named_datasets(spark, sf):
 
 @query("SELECT doc_id, lang || '_' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, len(string_split(text, chr(10))) AS num_steps FROM documents")
 def f1_registry(spark, sf):
-    i = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", F.concat("lang", F.lit("_"), i.cast("string")).alias("id"), F.size(F.split("text", "\n")).cast("long").alias("num_steps"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.size(F.split("text", "\n")).cast("long").alias("num_steps"))
+    return G.spread_ordinal(d, ["lang"], "doc_id", "i").select("doc_id", F.concat("lang", F.lit("_"), F.col("i").cast("string")).alias("id"), "num_steps")
 
 
 @query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 'seen' WHEN lang IN ('fr') THEN 'unseen' END AS split FROM documents")
@@ -252,14 +253,14 @@ def b3_cover(spark, sf):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 2 % 4 AS rank FROM documents")
 def b6_pairs_together(spark, sf):
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", (F.floor(i / 2) % 4).alias("rank"))
+    d = G.spread_ordinal(table(spark, sf, "documents").select("doc_id", "source"), ["source"], "doc_id", "i")
+    return d.select("doc_id", (F.floor(F.col("i") / 2) % 4).alias("rank"))
 
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS micro_batch_id FROM documents")
 def b10_batch_ids(spark, sf):
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", F.floor(i / 8).alias("micro_batch_id"))
+    d = G.spread_ordinal(table(spark, sf, "documents").select("doc_id", "source"), ["source"], "doc_id", "i")
+    return d.select("doc_id", F.floor(F.col("i") / 8).alias("micro_batch_id"))
 
 
 @query("SELECT user_id % 4 AS region, min_by(user_id, (n, user_id)) AS least_loaded FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) GROUP BY 1")

@@ -141,3 +141,16 @@ def test_groups_complete_on_a_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r["k"], r["v"]) for r in spark.table("done").collect())
     assert got == [("a", 1), ("a", 3), ("b", 2), ("b", 5)]
+
+
+def test_spread_ordinal(spark):
+    """Numbers as by one window, with null keys and values, ties, few and many ranges, and an empty table."""
+    rows = [(None if i % 11 == 0 else "ab"[i % 7 == 0], None if i == 50 else (i * 37) % 101 // 2, i) for i in range(101)]
+    df = spark.createDataFrame(rows, "k string, v int, id int")
+    for bins in (2, 9, 200):
+        found = G.spread_ordinal(df, ["k"], "v", "n", bins).collect()
+        assert sorted(r.id for r in found) == list(range(101))
+        for key in ("a", "b", None):
+            mine = sorted((r.n, -1 if r.v is None else r.v) for r in found if r.k == key)
+            assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+    assert G.spread_ordinal(df.limit(0), ["k"], "v", "n").collect() == []
