@@ -2,10 +2,11 @@
 
 from sparkloom.llm.bpe import op8_bpe
 from sparkloom.llm.line_dedup import op5_line_dedup
+from sparkloom.llm.merkle import op13_merkle
 from sparkloom.llm.quality import op3_quality
 from sparkloom.llm.sharding import op2_sharding
 from sparkloom.llm.simhash import op1_simhash
-from sparkloom.llm.sql import LINE_DEDUP
+from sparkloom.llm.sql import LINE_DEDUP, MERKLE
 from sparkloom.llm.suffix_tree import op10_suffix_tree
 from sparkloom.llm.surrogates import op6_surrogates
 from sparkloom.llm.tag_paths import op4_tag_paths
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_suffix_tree": op10_suffix_tree,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op13_merkle": MERKLE}
