@@ -7,6 +7,7 @@ from sparkloom.llm.quality import op3_quality
 from sparkloom.llm.sharding import op2_sharding
 from sparkloom.llm.simhash import op1_simhash
 from sparkloom.llm.sql import LINE_DEDUP, MERKLE
+from sparkloom.llm.suffix_array import op12_suffix_array
 from sparkloom.llm.suffix_tree import op10_suffix_tree
 from sparkloom.llm.surrogates import op6_surrogates
 from sparkloom.llm.tag_paths import op4_tag_paths
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_suffix_tree": op10_suffix_tree,
+    "op12_suffix_array": op12_suffix_array,
     "op13_merkle": op13_merkle,
 }
 
