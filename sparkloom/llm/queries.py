@@ -1,6 +1,7 @@
 """The thin queries of the training-data operators, and SQL where SQL can express one."""
 
 from sparkloom.llm.bpe import op8_bpe
+from sparkloom.llm.cross_tokens import op11_cross_tokens
 from sparkloom.llm.line_dedup import op5_line_dedup
 from sparkloom.llm.merkle import op13_merkle
 from sparkloom.llm.quality import op3_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_cross_tokens": op11_cross_tokens,
     "op12_suffix_array": op12_suffix_array,
     "op13_merkle": op13_merkle,
 }

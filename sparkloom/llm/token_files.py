@@ -67,7 +67,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (raw[start] | raw[start + 1] << 8 | raw[start + 2] << 16 | raw[start + 3] << 24) & _MASK[length]
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letters by which a byte-level vocabulary names bytes, by Latin-1 character: printable bytes by themselves, the others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in printable]
@@ -87,7 +87,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        cut, letters = self.tokenizer.model.tokenize, _byte_letters()
+        cut, letters = self.tokenizer.model.tokenize, byte_letters()
 
         def ids(piece: str) -> list[int]:
             if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
