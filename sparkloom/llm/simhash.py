@@ -184,7 +184,7 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
 
     Shingles are ordered by rarity, so such sets share one among their first ones
     (prefix filter). Pairs met there are dropped by their sizes and by the places of the
-    shared shingle, and verified on all shingles. Sets should be distinct.
+    shared shingle, and verified on all shingles. Sets should be distinct. A written table of texts is removed as soon as nothing reads it any more.
     """
     spark = texts.sparkSession
     classes = spark.sparkContext.broadcast(_rarity(texts.select("text"), words))
@@ -211,6 +211,7 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
     enough = F.least(an - ap, bn - bp) * (NUMERATOR + DENOMINATOR) >= (an + bn) * NUMERATOR
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & sizes & enough)
     pairs = stash(met.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct(), "shingle-pairs")
+    unstash(tokens)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +228,11 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     known = stash(texts.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, own binary"), "shingle-sets")
+    unstash(texts)
     both = pairs.join(known.withColumnsRenamed({"row": "a", "own": "x"}), "a").join(known.withColumnsRenamed({"row": "b", "own": "y"}), "b")
     links = stash(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "shingle-links")
-    for t in (tokens, pairs, known):
-        unstash(t)
+    unstash(pairs)
+    unstash(known)
     return links
 
 
@@ -267,7 +269,6 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_
         # Written once: the texts would else be shuffled again for each pass over them.
         asked = stash(asked, "shingle-texts")
         by_shingles = shingle_links(asked, words)
-        unstash(asked)
         links = links.unionByName(to_least(by_set, "key")).unionByName(by_shingles.withColumnsRenamed({"a": "u", "b": "v"}))
     links = stash(links, "near-links")
     found = components(links)
