@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.binding import let
+
 
 def squeeze_ends(text: Column) -> Column:
     """Without white space at both ends."""
@@ -30,19 +32,25 @@ def token_f1(prediction: Column, truth: Column) -> Column:
     """f1, precision and recall over tokens; yes, no and noanswer count only if equal."""
     from sparkloom.operators.relational import multiset_overlap
 
-    p, t = answer_tokens(prediction), answer_tokens(truth)
-    same = multiset_overlap(p, t).cast("double")
-    np_, nt = normalise_answer(prediction), normalise_answer(truth)
-    words = ["yes", "no", "noanswer"]
-    barred = (np_ != nt) & (np_.isin(words) | nt.isin(words))
-    none = barred | (same == 0)
-    zero = F.lit(0.0)
-    precision, recall = F.when(none, zero).otherwise(F.try_divide(same, F.size(p))), F.when(none, zero).otherwise(F.try_divide(same, F.size(t)))
-    return F.struct(F.when(none, zero).otherwise(2 * precision * recall / (precision + recall)).alias("f1"), precision.alias("precision"), recall.alias("recall"))
+    words, zero = ["yes", "no", "noanswer"], F.lit(0.0)
+
+    def scores(x: Column) -> Column:
+        tokens = [F.filter(F.split(x[k], " "), lambda w: w != "") for k in "pt"]
+        return let(F.struct(tokens[0].alias("p"), tokens[1].alias("t")), lambda v: from_tokens(x, v))
+
+    def from_tokens(x: Column, v: Column) -> Column:
+        return let(multiset_overlap(v["p"], v["t"]).cast("double"), lambda same: finish(x, v, same))
+
+    def finish(x: Column, v: Column, same: Column) -> Column:
+        none = (same == 0) | (x["p"] != x["t"]) & (x["p"].isin(words) | x["t"].isin(words))
+        precision, recall = (F.when(none, zero).otherwise(F.try_divide(same, F.size(v[k]))) for k in "pt")
+        return F.struct(F.when(none, zero).otherwise(2 * precision * recall / (precision + recall)).alias("f1"), precision.alias("precision"), recall.alias("recall"))
+
+    return let(F.struct(normalise_answer(prediction).alias("p"), normalise_answer(truth).alias("t")), scores)
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: normalise_answer(g) == normalise_answer(prediction))
+    return let(normalise_answer(prediction), lambda p: F.exists(golds, lambda g: normalise_answer(g) == p))
 
 
 def last_tag(text: Column, tag: str, least: int = 1) -> Column:
@@ -164,10 +172,12 @@ def multiple_choice(text: Column, valid: str = "ABCDEFGH") -> Column:
 
 def has_repeated_line(text: Column, least: int = 3, share: float = 0.5, chars: int = 12) -> Column:
     """Whether one line of ``chars`` characters or more stands often enough, and makes up enough of the lines. Sorted, so that equal lines are neighbours."""
-    lines = F.filter(F.transform(F.split(F.lower(text), r"\R"), squeeze_ends), lambda x: x != "")
-    long = F.sort_array(F.filter(lines, lambda x: F.length(x) >= chars))
-    most = F.when(F.size(long) > 0, equal_run(long, 1) + 1).otherwise(0)
-    return (most >= least) & (most >= share * F.size(lines))
+
+    def judge(lines: Column) -> Column:
+        long = F.sort_array(F.filter(lines, lambda x: F.length(x) >= chars))
+        return let(long, lambda x: F.when(F.size(x) > 0, equal_run(x, 1) + 1).otherwise(0)).between(F.greatest(F.lit(float(least)), share * F.size(lines)), F.lit(float("inf")))
+
+    return let(F.filter(F.transform(F.split(F.lower(text), r"\R"), squeeze_ends), lambda x: x != ""), judge)
 
 
 def audit(text: Column) -> Column:
@@ -176,25 +186,33 @@ def audit(text: Column) -> Column:
     tokens = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     repeats = F.when(has_char_run(text), "long character run").when(has_token_run(text), "repeated token").when(has_repeated_chunk(tokens), "repeated chunk").when(has_repeated_line(text), "repeated line")
     reasons = F.concat_ws(" | ", F.when(has_suspicious_characters(text), "suspicious characters"), F.when(has_non_english_characters(text), "non-English characters"), repeats)
-    return F.struct((reasons == "").alias("pass"), reasons.alias("reasons"))
+    return let(reasons, lambda r: F.struct((r == "").alias("pass"), r.alias("reasons")))
 
 
 def equal_run(tokens: Column, distance: int, chars: int = 0) -> Column:
     """The longest run of tokens that equal the one ``distance`` places before, one fold over the tokens. A run of (n - 1) * distance is a chunk of that size n times in a row. Chunks of fewer characters than ``chars`` do not count."""
-    later = F.slice(tokens, F.lit(distance + 1), F.greatest(F.size(tokens) - distance, F.lit(0)))
-    same = F.transform(later, lambda x, i: (x == F.get(tokens, i)) & (F.length(F.array_join(F.slice(tokens, i + 1, F.lit(distance)), " ")) >= chars))
 
     def step(a, x):
         run = F.when(x, a["run"] + 1).otherwise(0)
         return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.aggregate(same, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"].cast("long"))
+    def longest(words: Column) -> Column:
+        later = F.slice(words, F.lit(distance + 1), F.greatest(F.size(words) - distance, F.lit(0)))
+        enough = lambda i: F.length(F.array_join(F.slice(words, i + 1, F.lit(distance)), " ")) >= chars
+        same = F.transform(later, lambda x, i: (x == F.get(words, i)) & enough(i) if chars else x == F.get(words, i))
+        return F.aggregate(same, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"].cast("long"))
+
+    return let(tokens, longest)
 
 
 def has_repeated_chunk(tokens: Column, least: int = 4, chars: int = 8) -> Column:
     """Whether a chunk of two to four tokens stands ``least`` times in a row or more."""
-    found = [equal_run(tokens, n, chars) >= (least - 1) * n for n in (2, 3, 4)]
-    return found[0] | found[1] | found[2]
+
+    def judge(words: Column) -> Column:
+        found = [equal_run(words, n, chars) >= (least - 1) * n for n in (2, 3, 4)]
+        return found[0] | found[1] | found[2]
+
+    return let(tokens, judge)
 
 
 def valid_tag_sequence(text: Column) -> Column:
@@ -209,8 +227,8 @@ def valid_tag_sequence(text: Column) -> Column:
 def composite_score(text: Column, golds: Column, structure: float = 0.2, final: float = 0.1, retrieval: float = 0.1, score: float = 1.0) -> Column:
     """Exact match of the last of two or more answers, less the structure's share if tags are out of order; otherwise the shares for structure and for information that holds a gold answer."""
     valid, answer = valid_tag_sequence(text), last_tag(text, "answer", 2)
-    blocks = F.regexp_extract_all(text, F.lit("(?s)<information>(.*?)</information>"), F.lit(1))
-    found = F.exists(blocks, lambda b: F.exists(golds, lambda g: F.contains(normalise_answer(b), normalise_answer(g))))
+    blocks = F.transform(F.regexp_extract_all(text, F.lit("(?s)<information>(.*?)</information>"), F.lit(1)), normalise_answer)
+    found = let(F.transform(golds, normalise_answer), lambda wanted: F.exists(blocks, lambda b: F.exists(wanted, lambda g: F.contains(b, g))))
     kept = F.when(found, structure + retrieval).otherwise(structure)
     right = answer.isNotNull() & F.coalesce(exact_match(answer, golds), F.lit(False))
     return F.when(right & valid, score).when(right, score - structure).when(valid, kept).when(answer.isNull(), 0.0).otherwise(final)
@@ -218,15 +236,15 @@ def composite_score(text: Column, golds: Column, structure: float = 0.2, final:
 
 def enclosing_lines(doc: Column, snippets: Column) -> Column:
     """The lines around each snippet that the text holds, distinct, in order. A snippet may run over a line's end."""
-    flat = F.replace(doc, F.lit("\n"), F.lit(" "))
 
-    def around(s):
+    def around(s, flat):
         at = F.position(s, flat)
         head = F.substring_index(F.substring(doc, F.lit(1), at - 1), "\n", -1)
         tail = F.substring_index(F.substring(doc, at + F.length(s), F.length(doc)), "\n", 1)
         return F.when(at > 0, F.trim(F.concat(head, F.substring(doc, at, F.length(s)), tail)))
 
-    return F.array_distinct(F.filter(F.transform(snippets, around), lambda x: x.isNotNull()))
+    found = let(F.replace(doc, F.lit("\n"), F.lit(" ")), lambda flat: F.transform(snippets, lambda s: around(s, flat)))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def detail_bits(attributes: Column, primary: Column, most: int = 3) -> Column:
@@ -251,12 +269,15 @@ def step_blocks(text: Column) -> Column:
     """step, start and end (from 0) of each block that a step's header opens."""
     header = "\n\n\\[Step (\\d+)\\]\n"
     steps = F.transform(F.regexp_extract_all(text, F.lit(header), F.lit(1)), lambda s: s.cast("int"))
-    heads = F.regexp_extract_all(text, F.lit(header), F.lit(0))
-    bodies = F.slice(F.split(text, header, -1), 2, F.greatest(F.size(heads), F.lit(1)))
-    lengths = F.transform(bodies, lambda b, i: F.length(b) + F.length(F.get(heads, i)))
-    first = F.length(F.get(F.split(text, header, -1), F.lit(0)))
-    ends = F.aggregate(lengths, F.array(first), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return F.transform(steps, lambda s, i: F.struct(s.alias("step"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end")))
+    heads = F.transform(F.regexp_extract_all(text, F.lit(header), F.lit(0)), F.length)
+    parts = F.transform(F.split(text, header, -1), F.length)
+
+    def places(x: Column) -> Column:
+        # Where each block begins, and the end: lengths added up.
+        ends = F.aggregate(x["heads"], F.struct(F.array(F.get(x["parts"], F.lit(0))).alias("at"), F.lit(1).alias("k")), lambda a, n: F.struct(F.concat(a["at"], F.array(F.element_at(a["at"], -1) + n + F.get(x["parts"], a["k"]))).alias("at"), (a["k"] + 1).alias("k")), lambda a: a["at"])
+        return let(ends, lambda e: F.transform(x["steps"], lambda s, i: F.struct(s.alias("step"), F.get(e, i).alias("start"), F.get(e, i + 1).alias("end"))))
+
+    return let(F.struct(steps.alias("steps"), heads.alias("heads"), parts.alias("parts")), places)
 
 
 def tool_action(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.binding import let
+
 
 def kl(lp: Column, base: Column, kind: str = "k1") -> Column:
     """Per-token estimate of the divergence of lp from base: k1, k2, k3 or low_var_kl (k3 clamped to 10)."""
@@ -88,7 +90,7 @@ def suffix(values: Column, n: Column) -> Column:
 
 def terminal_reward(kl_values: Column, reward: Column, coefficient: float) -> Column:
     """-coefficient * kl everywhere, and the reward added at the last token."""
-    return F.transform(kl_values, lambda k, i: -coefficient * k + F.when(i == F.size(kl_values) - 1, reward).otherwise(0.0))
+    return let(kl_values, lambda v: F.transform(v, lambda k, i: -coefficient * k + F.when(i == F.size(v) - 1, reward).otherwise(0.0)))
 
 
 def perplexity(lp: Column, mask: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,13 +122,39 @@ def run_lengths(df: DataFrame, by: list[str], order: list, value: str) -> DataFr
     return island.groupBy(*by, value, "_island").agg(F.count("*").alias("run_length")).drop("_island")
 
 
+#: Places of a scan that are combined by one matrix product.
+SCAN_BLOCK = 64
+
+
+def reverse_scan(values: np.ndarray, decay: float) -> np.ndarray:
+    """out[t] = values[t] + decay * out[t + 1], in time linear in the length: blocks by a product with the powers of the decay, then the carry from block to block."""
+    n = len(values)
+    blocks = np.zeros((-(-n // SCAN_BLOCK), SCAN_BLOCK))
+    blocks.reshape(-1)[:n] = values[::-1]
+    back = np.subtract.outer(np.arange(SCAN_BLOCK), np.arange(SCAN_BLOCK))
+    out = blocks @ np.where(back >= 0, np.power(float(decay), np.maximum(back, 0)), 0.0).T
+    powers, carry = np.power(float(decay), np.arange(1, SCAN_BLOCK + 1)), 0.0
+    for row in out:
+        row += powers * carry
+        carry = row[-1]
+    return out.reshape(-1)[:n][::-1]
+
+
+def _scanned(values: Column, decay: float) -> Column:
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else reverse_scan(np.asarray(v, float), decay) for v in batch])
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<double>")(values)
+
+
 def discounted(values: Column, gamma: float) -> Column:
-    """Array of G_t = r_t + gamma * G_{t+1}."""
-    step = lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc)
-    return F.aggregate(F.reverse(values), F.array().cast("array<double>"), step)
+    """Array of G_t = r_t + gamma * G_{t+1}. Arrow-batched, linear in the length."""
+    return _scanned(values, gamma)
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Array of generalised advantages, with value 0 after the last step."""
-    deltas = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
-    return discounted(deltas, gamma * lam)
+    """Array of generalised advantages, with value 0 after the last step. The differences are column expressions, the scan is Arrow-batched."""
+    following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    deltas = F.zip_with(F.zip_with(rewards, following, lambda r, v: r + gamma * F.coalesce(v, F.lit(0.0))), values, lambda x, v: x - v)
+    return _scanned(deltas, gamma * lam)

@@ -75,9 +75,19 @@ def margin_filter(df: DataFrame, group: list[str], candidate: str, p: str, n: st
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    """Size of the intersection of two arrays as multisets: both sorted together, and the lesser count of each value added up in one fold."""
+    sided = lambda x, side: F.transform(F.filter(x, lambda v: v.isNotNull()), lambda v: F.struct(v.alias("v"), F.lit(side).alias("side")))
+    both = F.sort_array(F.concat(sided(a, 0), sided(b, 1)))
+    state = lambda last, n, m, total: F.struct(last.alias("last"), n.alias("n"), m.alias("m"), total.alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["last"].eqNullSafe(x["v"])
+        left, right = (F.when(x["side"] == k, 1).otherwise(0) for k in (0, 1))
+        return state(x["v"], F.when(same, s["n"] + left).otherwise(left), F.when(same, s["m"] + right).otherwise(right), s["total"] + F.when(same, 0).otherwise(F.least(s["n"], s["m"])))
+
+    # A value of the arrays' own kind, null to begin with.
+    start = state(F.get(F.slice(F.concat(a, b), 1, 0), F.lit(0)), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(both, start, step, lambda s: s["total"] + F.least(s["n"], s["m"]))
 
 
 def newest_groups(df: DataFrame, group: str, timestamp: str, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.operators import relational as R
 from sparkloom.plans.registry import query, table
+from sparkloom.sources import files
 from sparkloom.plans.relational_queries import _DOT, _queries
 
 
@@ -155,13 +156,17 @@ def s4_dataset_build(spark, sf):
     return prompts.where(F.length("prompt") <= 6000).select("conv_id", "n_messages", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("prompt"))
 
 
-@query("SELECT b.item_id, d.doc_id, md5(d.text) AS text FROM benchmark b JOIN (SELECT *, row_number() OVER () - 1 AS i FROM documents) d ON d.i = b.item_id * 3")
+_PARTS = "SELECT part, doc_id, text, row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS i FROM (SELECT lang || '-' || source AS part, * FROM documents)"
+
+
+@query(f"WITH p AS ({_PARTS}), a AS (SELECT item_id, part, item_id % 40 AS i FROM benchmark, (SELECT DISTINCT part FROM p WHERE part LIKE '%1')) SELECT item_id, a.part, doc_id, md5(text) AS text FROM a JOIN p ON p.part = a.part AND p.i = a.i")
 def s21_point_lookup(spark, sf):
-    """Also s20: rows by file and place, which the columnar file carries by itself."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.lit("documents.parquet").alias("file"), (F.col("item_id") * 3).alias("i"))
-    found = asked.join(rows.where(F.col("file").endswith(".parquet")).drop("file"), "i")
-    return found.select("item_id", "doc_id", F.md5("text").alias("text"))
+    """Also s20: rows by file and place. An index of several files, a file for each language and source, is written and read by both."""
+    d = table(spark, sf, "documents").select(F.concat_ws("-", "lang", "source").alias("part"), "doc_id", "text")
+    index = files.write_index(d, ["part"], ["doc_id"])
+    parts = d.select("part").distinct().where("part LIKE '%1'")
+    asked = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 40).alias("place")).join(F.broadcast(parts), how="cross")
+    return files.look_up(index, asked, ["part"], "place").select("item_id", "part", "doc_id", F.md5("text").alias("text"))
 
 
 @query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN max(event_id) ELSE min(event_id) END AS event_id FROM events GROUP BY user_id")

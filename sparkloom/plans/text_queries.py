@@ -79,9 +79,26 @@ def f60_non_english(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"[^\x00-\x7F]").alias("non_ascii"), X.has_non_english_characters(F.col("text")).alias("non_english"))
 
 
-@query()
+_AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(t), '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM d)),
+chars AS (SELECT doc_id, unnest(c) AS w, unnest(range(len(c))) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(t, '[ \t]+', ' ', 'g')), '') AS c FROM d WHERE t <> '')),
+char_runs AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS g FROM chars) WHERE w NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) GROUP BY doc_id, w, g HAVING count(*) >= 8),
+word_runs AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS g FROM words) GROUP BY doc_id, w, g HAVING count(*) >= 8),
+steps AS (SELECT w.*, n, length(string_agg(w, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)) >= 8 AND lead(w, n) OVER (PARTITION BY doc_id, n ORDER BY i) = w AS same FROM words w, (VALUES (2), (3), (4)) x(n)),
+chunks AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, n, i - row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS g FROM steps WHERE same) GROUP BY doc_id, n, g HAVING count(*) >= 3 * n),
+lines AS (SELECT doc_id, trim(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS l FROM (SELECT doc_id, unnest(string_split_regex(lower(t), '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]')) AS l FROM d)),
+line_counts AS (SELECT doc_id, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM lines WHERE l <> '' GROUP BY doc_id, l),
+same_lines AS (SELECT DISTINCT doc_id FROM line_counts WHERE length(l) >= 12 AND n >= 3 AND n >= 0.5 * total),
+judged AS (SELECT doc_id, concat_ws(' | ',
+  CASE WHEN regexp_matches(t, '[\p{Cf}\p{Cs}\p{Co}\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]') THEN 'suspicious characters' END,
+  CASE WHEN regexp_matches(regexp_replace(t, '[\p{S}\p{P}\p{Z}\x00-\x7F]', '', 'g'), '.') THEN 'non-English characters' END,
+  CASE WHEN doc_id IN (FROM char_runs) THEN 'long character run' WHEN doc_id IN (FROM word_runs) THEN 'repeated token' WHEN doc_id IN (FROM chunks) THEN 'repeated chunk' WHEN doc_id IN (FROM same_lines) THEN 'repeated line' END) AS reasons FROM d)
+SELECT doc_id, reasons = '' AS pass, reasons FROM judged"""
+
+
+@query(_AUDIT)
 def f61_audit(spark, sf):
-    """Also n14: the audit's verdict of each document."""
+    """Also f59, f62, n14: the audit's verdict of each document."""
     return table(spark, sf, "documents").select("doc_id", X.audit(F.col("text")).alias("a")).select("doc_id", "a.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -112,3 +112,23 @@ def evict(buffer: DataFrame, order: str, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n rows in order, and the rest."""
     taken = buffer.orderBy(order).limit(n)
     return taken, buffer.join(taken.select(order), order, "left_anti")
+
+
+def write_index(df: DataFrame, file: list[str], order: list[str]) -> DataFrame:
+    """df with place: a row's number in its file (the columns ``file``), from 0, written once so that places stay.
+
+    Rows are numbered inside ranges and raised by the counts of the ranges before, so a file of any size needs no task of its own.
+    """
+    from sparkloom.sources.shared import written
+
+    keys = [*file, *order]
+    ranged = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "index")
+    ends = ranged.groupBy(*file, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_own"))
+    before = F.coalesce(F.sum("_own").over(Window.partitionBy(*file).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ends.select(*file, "_part", (before - F.col("_first")).alias("_shift"))
+    return ranged.join(shifts, [*file, "_part"]).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"))
+
+
+def look_up(index: DataFrame, asked: DataFrame, file: list[str], place: str) -> DataFrame:
+    """The row of each asked (file, place); places that no file has give none."""
+    return asked.join(index, [*file, place])
