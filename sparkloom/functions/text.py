@@ -68,21 +68,40 @@ def action_of(text: Column, tail: int = 30) -> Column:
     return F.struct(F.when(tagged, action).otherwise(F.right(text, F.lit(tail))).alias("action"), valid.alias("valid"))
 
 
+#: Fixed value: what an action may do; hovering and entering count as clicks.
+_OPS = "CLICK|TYPE|SELECT|HOVER|ENTER"
+
+
+def normal_op(op: Column) -> Column:
+    plain = F.upper(squeeze(op))
+    return F.when(plain.isin("HOVER", "ENTER"), "CLICK").otherwise(plain)
+
+
 def parse_action_repr(text: Column) -> Column:
-    """role, target, op and value of ``[role] target -> OP: value``; hovering and entering are clicks."""
-    pattern = r"^\s*\[([^\]]*)\]\s*(.*?)\s*->\s*([A-Za-z]+)\s*(?::\s*(.*?))?\s*$"
-    op = F.upper(F.regexp_extract(text, pattern, 3))
-    return F.struct(
-        F.regexp_extract(text, pattern, 1).alias("role"), F.regexp_extract(text, pattern, 2).alias("target"), F.when(op.isin("HOVER", "ENTER"), "CLICK").otherwise(op).alias("op"), F.regexp_extract(text, pattern, 4).alias("value")
-    )
+    """role, target, op and value of ``[role] target -> OP: value``. A text of another form is all target."""
+    pattern = rf"(?i)^\[([^\]]*)\]\s*(.*?)\s*->\s*({_OPS})(?:\s*:\s*(.*))?$"
+
+    def parts(raw: Column) -> Column:
+        held, part = raw.rlike(pattern), lambda i: F.regexp_extract(raw, pattern, i)
+        found = lambda c: F.when(held, c).otherwise("")
+        target = F.when(held, F.btrim(squeeze(part(2)), F.lit(" ."))).otherwise(raw)
+        return F.struct(found(squeeze(part(1), lower=True)).alias("role"), target.alias("target"), found(normal_op(part(3))).alias("op"), found(squeeze(part(4))).alias("value"))
+
+    return let(squeeze(text), parts)
 
 
 def parse_model_action(text: Column) -> Column:
-    """op, ref and value of ``OP eN | value`` or of a JSON object with these keys."""
-    parsed = F.from_json(text, "op string, ref string, value string")
-    pattern = r"(?i)^\s*(CLICK|TYPE|SELECT)\s+(e\d+)\s*(?:\|\s*(.*?))?\s*$"
-    field = lambda k, i: F.coalesce(parsed[k], F.nullif(F.regexp_extract(text, pattern, i), F.lit("")))
-    return F.struct(F.upper(field("op", 1)).alias("op"), field("ref", 2).alias("ref"), field("value", 3).alias("value"))
+    """op, ref and value of a JSON object with these keys, or of ``OP eN | value`` (or a colon). A text of another form is all value."""
+    pattern = rf"(?is)^({_OPS})\s+(e\d+)(?:\s*(?:\||:)\s*(.*))?$"
+    keys = ("op", "ref", "value")
+
+    def parts(raw: Column) -> Column:
+        parsed, held = F.try_parse_json(raw), raw.rlike(pattern)
+        of_json = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+        fields = [F.when(of_json, squeeze(F.try_variant_get(parsed, f"$.{k}", "string"))).when(held, squeeze(F.regexp_extract(raw, pattern, i))).otherwise(raw if k == "value" else "") for i, k in enumerate(keys, 1)]
+        return F.struct(normal_op(fields[0]).alias("op"), fields[1].alias("ref"), fields[2].alias("value"))
+
+    return let(squeeze(text), parts)
 
 
 def type_label(domain: Column, subdomain: Column) -> Column:
