@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,13 +151,30 @@ def _scanned(values: Column, decay: float) -> Column:
     return F.pandas_udf(run, "array<double>")(values)
 
 
+def with_scan(df: DataFrame, values: Column, decay: float, out: str) -> DataFrame:
+    """df with the reverse scan of an array of double; a step of the plan by itself, so array functions may follow."""
+    held = df.withColumn(out, values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            scanned = pa.array([None if not v.is_valid else reverse_scan(v.values.to_numpy(zero_copy_only=False), decay) for v in column], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scanned], batch.schema.names)
+
+    return held.mapInArrow(run, held.schema)
+
+
+def gae_steps(rewards: Column, values: Column, gamma: float) -> Column:
+    """r_t + gamma * v_{t+1} - v_t, with value 0 after the last step."""
+    following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    return F.zip_with(F.zip_with(rewards, following, lambda r, v: r + gamma * F.coalesce(v, F.lit(0.0))), values, lambda x, v: x - v)
+
+
 def discounted(values: Column, gamma: float) -> Column:
     """Array of G_t = r_t + gamma * G_{t+1}. Arrow-batched, linear in the length."""
     return _scanned(values, gamma)
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Array of generalised advantages, with value 0 after the last step. The differences are column expressions, the scan is Arrow-batched."""
-    following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
-    deltas = F.zip_with(F.zip_with(rewards, following, lambda r, v: r + gamma * F.coalesce(v, F.lit(0.0))), values, lambda x, v: x - v)
-    return _scanned(deltas, gamma * lam)
+    """Array of generalised advantages. The differences are column expressions, the scan is Arrow-batched."""
+    return _scanned(gae_steps(rewards, values, gamma), gamma * lam)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tokens as T
+from sparkloom.operators import advantages as A
 from sparkloom.plans.registry import query, table
 
 #: One row for each token: vec_id, i, a, b.
@@ -93,3 +94,29 @@ def v14_suffix(spark, sf):
 def r22_response_length(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("m"))
     return e.select("vec_id", T.response_length(F.col("m")).alias("length"))
+
+
+#: Tokens with their estimator, then the sums that each one gives: row by row of the next tokens for the two that look ahead.
+_ADVANTAGES = f"""WITH p AS (SELECT t.*, label AS reward, (a > 0)::INT AS m, max(i) OVER w AS last, max(CASE WHEN a > 0 THEN i END) OVER w AS seen, coalesce(lead(b) OVER (PARTITION BY t.vec_id ORDER BY i), 0) AS following, t.vec_id % 5 AS kind FROM {_PAIRS} t JOIN embeddings e ON e.vec_id = t.vec_id WINDOW w AS (PARTITION BY t.vec_id)),
+r AS (SELECT *, CASE kind WHEN 2 THEN -0.1 * (a - b) + CASE WHEN i = last THEN reward ELSE 0 END + 0.99 * following - b ELSE -0.1 * (a - b) * m + CASE WHEN i = seen THEN reward ELSE 0 END END AS step, CASE kind WHEN 2 THEN 0.99 * 0.95 ELSE 0.99 END AS decay FROM p WHERE kind IN (2, 3)),
+ahead AS (SELECT x.vec_id, x.i, sum(y.step * pow(x.decay, y.i - x.i)) AS g FROM r x JOIN r y ON y.vec_id = x.vec_id AND y.i >= x.i GROUP BY x.vec_id, x.i),
+u AS (SELECT p.*, CASE WHEN kind IN (0, 1) THEN reward WHEN kind = 4 THEN reward - 0.1 * (a - b) ELSE g END AS g, CASE WHEN kind = 2 THEN g + b WHEN kind = 3 THEN g WHEN kind = 4 THEN reward - 0.1 * (a - b) ELSE reward END AS ret FROM p LEFT JOIN ahead USING (vec_id, i)),
+d AS (SELECT *, g - 0.2 * (a - b) AS adv FROM u),
+s AS (SELECT kind, avg(adv) AS mean, var_samp(adv) AS var FROM d WHERE m = 1 GROUP BY kind)
+SELECT vec_id, ['grpo', 'gspo', 'ppo', 'reinforce_plus_plus', 'reinforce_plus_plus_baseline'][kind + 1] AS estimator, i, round(adv, 5) AS advantage, round(ret, 5) AS returns, round((adv - mean) / sqrt(var + 1e-8), 4) AS whitened FROM d JOIN s USING (kind)"""
+
+
+def samples(spark, sf):
+    """The next id's series is the reference, the teacher and the critic; a fifth of the ids for each estimator."""
+    kind = F.get(F.array(*map(F.lit, A.ESTIMATORS)), F.pmod("vec_id", F.lit(5)).cast("int"))
+    p = pairs(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("reward")), "vec_id").where(F.array_contains("m", 1))
+    return p.select("vec_id", kind.alias("estimator"), "reward", F.col("a").alias("log_probs"), F.col("b").alias("ref_log_probs"), F.col("b").alias("teacher_log_probs"), F.col("b").alias("values"), F.col("m").alias("mask"))
+
+
+@query(_ADVANTAGES)
+def v7_advantages(spark, sf):
+    """Five estimators in one plan, with the distillation term, plain and whitened."""
+    out = A.advantages(samples(spark, sf), kl_coef=0.1, gamma=0.99, lam=0.95, distil=0.2)
+    white = A.whiten_by(out.withColumn("whitened", F.col("advantages")), "estimator", "whitened", "mask")
+    tokens = white.select("vec_id", "estimator", F.posexplode(F.arrays_zip("advantages", "returns", "whitened")).alias("i", "t"))
+    return tokens.select("vec_id", "estimator", (F.col("i") + 1).cast("long").alias("i"), F.round("t.advantages", 5).alias("advantage"), F.round("t.returns", 5).alias("returns"), F.round("t.whitened", 4).alias("whitened"))
