@@ -8,12 +8,13 @@ import lzma
 import re
 import zlib
 from bz2 import compress as bz2_compress
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.formulas import final_form, same_formula
+
 
 def last_boxed(text: str | None) -> str | None:
     r"""Content of the last \boxed{...} with balanced braces."""
@@ -28,45 +29,10 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
-# What a formula is freed of before two are compared.
-DROPPED = ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "\\$", "$", "\\%", "%", "^{\\circ}", "^\\circ", "\\text{ }")
-RENAMED = {"tfrac": "frac", "dfrac": "frac", "\\cdot": "*", "\\times": "*", "\\pi": "pi"}
-
-
-def plain_formula(text: str) -> str:
-    for old, new in RENAMED.items():
-        text = text.replace(old, new)
-    for old in DROPPED:
-        text = text.replace(old, "")
-    text = re.sub(r"\\(?:text|mathrm|mbox|mathbf)\{([^{}]*)\}", r"\1", text)
-    text = re.sub(r"\\frac(\d)(\d)", r"\\frac{\1}{\2}", text)
-    text = re.sub(r"\\frac\{([^{}]+)\}\{([^{}]+)\}", r"(\1)/(\2)", text)
-    text = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", text)
-    return re.sub(r"\s+", "", text).rstrip(".").lower()
-
-
-def number(text: str) -> Fraction | None:
-    """A rational number of digits, one slash and brackets around its parts."""
-    m = re.fullmatch(r"\(?([+-]?\d+(?:\.\d+)?)\)?(?:/\(?([+-]?\d+(?:\.\d+)?)\)?)?", text)
-    if not m or m[2] is not None and not float(m[2]):
-        return None
-    return Fraction(m[1]) / Fraction(m[2] or 1)
-
-
-def equal_answers(given: str | None, truth: str | None) -> bool:
-    """Equal once freed of markup, or as rational numbers (an integer needs an integer form); tuples by element."""
-    if given is None or truth is None:
-        return False
-    a, b = plain_formula(given), plain_formula(truth)
-    if a == b:
-        return bool(a)
-    if a[:1] in "([" and b[:1] in "([" and "," in a and "," in b:
-        x, y = a[1:-1].split(","), b[1:-1].split(",")
-        return a[0] == b[0] and a[-1] == b[-1] and len(x) == len(y) and all(map(equal_answers, x, y))
-    p, q = number(a), number(b)
-    if p is None or q is None:
-        return False
-    return p == q and (q.denominator != 1 or "/" in b or "/" not in a)
+def score_boxed(response: str | None, truth: str | None) -> int:
+    """1 if the last box of a reply holds the truth (or the truth's own box)."""
+    truth = last_boxed(truth) if truth and "\\boxed" in truth else truth
+    return int(bool(truth) and same_formula(last_boxed(response), truth))
 
 
 def score_marked(response: str | None, truth: str | None) -> int:
@@ -78,8 +44,7 @@ def score_marked(response: str | None, truth: str | None) -> int:
         response = response.split("###Response")[1]
     else:
         return 0
-    truth = last_boxed(truth) if truth and "\\boxed" in truth else truth
-    return int(equal_answers(last_boxed(response), truth))
+    return score_boxed(response, truth)
 
 
 def score_integer(response: str | None, truth: str | None, strict: bool = False) -> float:
@@ -89,10 +54,10 @@ def score_integer(response: str | None, truth: str | None, strict: bool = False)
         return 1.0 if last_boxed(tail[-100:]) == truth else -1.0
     found = re.findall(r"(?i)Answer\s*:\s*([^\n]+)", tail)
     try:
-        want = str(int(float(plain_formula(truth or ""))))
-    except ValueError:
+        want = str(int(float(final_form(truth or ""))))
+    except (ValueError, OverflowError):
         return -1.0
-    return 1.0 if found and plain_formula(found[-1].rsplit("=", 1)[-1]) == want else -1.0
+    return 1.0 if final_form(found[-1] if found else "[INVALID]") == want else -1.0
 
 
 def json_object(text: str | None, keys: tuple[str, ...] = ()) -> str | None:
@@ -140,7 +105,11 @@ def boxed(text: Column) -> Column:
 
 
 def same_answer(given: Column, truth: Column) -> Column:
-    return _batched(equal_answers, "boolean")(given, truth)
+    return _batched(same_formula, "boolean")(given, truth)
+
+
+def boxed_score(response: Column, truth: Column) -> Column:
+    return _batched(score_boxed, "int")(response, truth)
 
 
 def marked_score(response: Column, truth: Column) -> Column:

