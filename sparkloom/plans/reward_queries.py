@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import answers as A
-from sparkloom.operators import rewards
+from sparkloom.operators import loss_mask, rewards
 from sparkloom.plans.registry import query, table
 
 
@@ -54,3 +54,20 @@ def r15_choice_texts(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.concat_ws(" ", F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))).alias("label"))
     letters = F.array(*map(F.lit, rewards.LETTERS))
     return rows.where(rewards.chosen_letter(F.col("text"), letters).isNull()).select("conv_id", "turn", rewards.choice_reward(F.col("text"), F.col("label")).alias("reward"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS said, role = 'assistant' AND turn % 4 <> 3 AS told FROM conversations),
+    s AS (SELECT *, told AND NOT coalesce(lag(told) OVER (PARTITION BY conv_id ORDER BY turn), false) AS first FROM m)
+    SELECT conv_id, sum(length(head) + length(said))::BIGINT AS n_chars, coalesce(sum(length(said)) FILTER (told), 0)::BIGINT AS n_trained, count(*) FILTER (told) AS n_runs, md5(coalesce(string_agg(said, '|' ORDER BY turn) FILTER (told), '')) AS texts FROM s GROUP BY conv_id"""
+)
+def r21_token_mask(spark, sf):
+    """Also r22, r23: the mask over the ids of a byte-level vocabulary; every fourth turn is left out by its own mask. What the runs of 1 decode to is what the trained messages say."""
+    import public_tokenizers
+
+    c = table(spark, sf, "conversations").withColumn("step_mask", F.when(F.col("turn") % 4 == 3, 0))
+    talks = loss_mask.conversations(c, "conv_id", "turn", "role", "text", step_mask="step_mask")
+    masks = loss_mask.token_mask(talks, "conv_id", public_tokenizers.path("byte_bpe_50k.json"), with_texts=True)
+    told = F.transform("texts", lambda x: F.length(x))
+    out = masks.join(talks.select("conv_id", F.length("text").cast("long").alias("n_chars")), "conv_id")
+    return out.select("conv_id", "n_chars", F.aggregate(told, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_trained"), F.size("texts").cast("long").alias("n_runs"), F.md5(F.array_join("texts", "|")).alias("texts"))
