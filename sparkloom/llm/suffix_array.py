@@ -127,10 +127,10 @@ def _records(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, seed long, c1 long, c2 long, anchor long, start long, n long")
 
 
-def _common(records: DataFrame, keys: list[str]) -> DataFrame:
-    """The records whose keys occur more than once."""
-    shared = records.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    return records.join(shared, keys, "left_semi")
+def _common(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The records whose keys occur more than once, and the written table of these keys: a join with counts of the same stage could not split a hot key."""
+    shared = stash(records.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "common")
+    return records.join(shared, keys, "left_semi"), shared
 
 
 def _cut(records: DataFrame, least: int, before: int, size: int) -> DataFrame:
@@ -167,15 +167,18 @@ def repeated_starts(rows: DataFrame, least: int = 200) -> DataFrame:
     if least < SEED + 8:
         raise ValueError(f"strings of less than {SEED + 8} bytes have no anchor")
     records = stash(_records(rows, least).withColumn("id", F.monotonically_increasing_id()), "runs")
+    # Both sides of each join are written tables, so that it can split a hot key.
     seeds = records.groupBy("seed").agg(F.count("*").alias("_n"), (F.min("c1") != F.max("c1")).alias("open")).where("_n > 1").drop("_n")
-    # Written before each further join, so that the join can split a hot key.
+    seeds = stash(seeds, "seeds")
     met = stash(records.join(seeds, "seed"), "runs-met")
     unstash(records)
-    classes = met.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1")
+    unstash(seeds)
+    classes = stash(met.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "run-classes")
     joined = met.join(classes, ["c1", "c2"], "left")
     judged = joined.select("row", "seed", "anchor", "start", "n", "open", F.col("copies").isNull().alias("alone"), F.coalesce(F.col("first") == F.col("id"), F.lit(True)).alias("told"))
     judged = stash(judged.where("not alone or open"), "runs-judged")
     unstash(met)
+    unstash(classes)
     found = judged.where("not alone").select("row", "start", "n")
 
     # One record of each content with a seed in common, and its bytes but for the seed.
@@ -192,11 +195,15 @@ def repeated_starts(rows: DataFrame, least: int = 200) -> DataFrame:
         strides.append(strides[-1] * 4)
     now, before = stash(first, "blocks"), least - SEED + 1
     for stride in reversed(strides):
-        cut = stash(_cut(now if before > strides[-1] else _common(now, ["r1", "r2"]), least, before, stride), "blocks")
-        unstash(now)
+        kept, shared = (now, None) if before > strides[-1] else _common(now, ["r1", "r2"])
+        cut = stash(_cut(kept, least, before, stride), "blocks")
+        for t in (now, *([shared] if shared else [])):
+            unstash(t)
         now, before = cut, stride
-    last = stash(_common(now, ["r1", "r2"]).where("alone").select("row", (F.col("anchor") - F.col("low")).alias("start"), F.lit(1).cast("long").alias("n")), "strings")
+    kept, shared = _common(now, ["r1", "r2"])
+    last = stash(kept.where("alone").select("row", (F.col("anchor") - F.col("low")).alias("start"), F.lit(1).cast("long").alias("n")), "strings")
     unstash(now)
+    unstash(shared)
     return found.unionByName(last)
 
 
