@@ -39,13 +39,18 @@ def bounded_zscore(df: DataFrame, group: list[str], reward: str, epsilon: float
 
 
 def step_zscore(df: DataFrame, episode: str, step: str, reward: str, won: str, epsilon: float = 1e-8, out: str = "reward_norm") -> DataFrame:
-    """Normalise across episodes at each step. A step that one episode alone reached: -1 if lost; else the value of the episode's step before, or 1."""
-    at_step, of_episode = Window.partitionBy(step), Window.partitionBy(episode).orderBy(step)
-    n = F.count(F.lit(1)).over(at_step)
-    base = F.when(n > 1, (F.col(reward) - F.avg(reward).over(at_step)) / (F.stddev_pop(reward).over(at_step) + epsilon)).when(~F.col(won), F.lit(-1.0))
-    based = df.withColumn("_base", base).withColumn("_island", F.col(step) - F.row_number().over(of_episode))
+    """Normalise across episodes at each step. A step that one episode alone reached: -1 if lost; else the value of the episode's step before, or 1.
+
+    Every episode has a first step, so steps are summed up (in parts) and joined back; only an episode's own steps are put in order.
+    """
+    stats = df.groupBy(step).agg(F.count(F.lit(1)).alias("_n"), F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_dev"))
+    same = F.col(f"l.`{step}`").eqNullSafe(F.col(f"r.`{step}`"))
+    met = df.alias("l").join(stats.alias("r"), same).select(*[F.col(f"l.`{c}`") for c in df.columns], "_n", "_mean", "_dev")
+    base = F.when(F.col("_n") > 1, (F.col(reward) - F.col("_mean")) / (F.col("_dev") + epsilon)).when(~F.col(won), F.lit(-1.0))
+    of_episode = Window.partitionBy(episode).orderBy(step)
+    based = met.withColumn("_base", base).withColumn("_island", F.col(step) - F.row_number().over(of_episode))
     run = Window.partitionBy(episode, "_island").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return based.withColumn(out, F.coalesce(F.last("_base", ignorenulls=True).over(run), F.lit(1.0))).drop("_base", "_island")
+    return based.withColumn(out, F.coalesce(F.last("_base", ignorenulls=True).over(run), F.lit(1.0))).drop("_base", "_island", "_n", "_mean", "_dev")
 
 
 def strategy(df: DataFrame, step: str, won: str) -> DataFrame:
@@ -96,21 +101,6 @@ def prefix_list(df: DataFrame, by: list[str], order: list, value: str, out: str)
     return df.withColumn(out, F.collect_list(value).over(w))
 
 
-def interval_union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals merged: by..., start, end, n."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    island = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy(*by, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_island")
-
-
-def gaps(merged: DataFrame, by: list[str]) -> DataFrame:
-    """Idle time between merged intervals: by..., gap_start, gap_end, strictly positive."""
-    w = Window.partitionBy(*by).orderBy("start")
-    return merged.withColumn("gap_start", F.lag("end").over(w)).where(F.col("start") > F.col("gap_start")).select(*by, "gap_start", F.col("start").alias("gap_end"))
-
-
 def count_windows(df: DataFrame, by: list[str], order: list, size: int) -> DataFrame:
     """df with a column window_id for each full window of ``size`` consecutive rows; the rest is dropped."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -28,13 +28,22 @@ def first_fit_bins(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def largest_differencing(lengths: list[int], parts: int) -> list[int]:
-    """Part of each length, by k-way largest differencing: the two states with the widest spread are joined, large against small."""
-    heap = []
-    for i, n in enumerate(lengths):
-        sums = [(n, [i])] + [(0, []) for _ in range(parts - 1)]
-        heapq.heappush(heap, (-n, i, sums))
-    tick = len(lengths)
+def largest_differencing(lengths: list[int], parts: int, equal: bool = False) -> list[int]:
+    """Part of each length, by k-way largest differencing: the two states with the widest spread are joined, large against small.
+
+    equal: all parts get the same number, which must divide the number of lengths; states then begin with one of each of ``parts`` neighbours by length.
+    """
+    if equal and len(lengths) % parts:
+        raise ValueError(f"{len(lengths)} lengths do not make {parts} parts of equal number")
+    if equal:
+        ranked = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+        first = [sorted((lengths[i], [i]) for i in ranked[at : at + parts])[::-1] for at in range(0, len(ranked), parts)]
+    else:
+        first = [[(n, [i])] + [(0, []) for _ in range(parts - 1)] for i, n in enumerate(lengths)]
+    # A state's sums descend; the widest spread is joined first, then the earliest.
+    heap = [(s[-1][0] - s[0][0], k, s) for k, s in enumerate(first)]
+    heapq.heapify(heap)
+    tick = len(first)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
@@ -49,17 +58,6 @@ def largest_differencing(lengths: list[int], parts: int) -> list[int]:
     return out
 
 
-def chunk_numbers(lengths: list[int], capacity: int) -> list[int]:
-    """Number of each one's chunk; a chunk closes when its sum reaches the capacity."""
-    out, k, total = [], 0, 0
-    for n in lengths:
-        out.append(k)
-        total += n
-        if total >= capacity:
-            k, total = k + 1, 0
-    return out
-
-
 def _grouped(df: DataFrame, by: list[str], order: str, size: str, column: str, place) -> DataFrame:
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, order, size)) + f", {column} int"
@@ -76,9 +74,27 @@ def first_fit(df: DataFrame, by: list[str], order: str, size: str, capacity: int
     return _grouped(df, by, order, size, "bin", lambda n: first_fit_bins(n, capacity))
 
 
-def balanced(df: DataFrame, by: list[str], order: str, size: str, parts: int) -> DataFrame:
-    return _grouped(df, by, order, size, "part", lambda n: largest_differencing(n, parts))
+def balanced(df: DataFrame, by: list[str], order: str, size: str, parts: int, equal: bool = False) -> DataFrame:
+    return _grouped(df, by, order, size, "part", lambda n: largest_differencing(n, parts, equal))
 
 
-def chunks(df: DataFrame, by: list[str], order: str, size: str, capacity: int) -> DataFrame:
-    return _grouped(df, by, order, size, "chunk", lambda n: chunk_numbers(n, capacity))
+def schedule(df: DataFrame, step: str, rank: str, order: str, size: str, capacity: int) -> DataFrame:
+    """step, rank, order, size, micro_batches and micro_batch: every rank of a step has as many micro-batches as the one with the most first-fit bins, and its rows balanced over them.
+
+    A step is one training batch, so its rows come to one task.
+    """
+    kinds = dict(df.dtypes)
+    keys = [step, rank, order, size]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([rank, order], kind="stable").reset_index(drop=True)
+        lengths = rows[size].fillna(0).astype("int64")
+        held = [(lengths[own].tolist(), own) for own in rows.groupby(rank, dropna=False, sort=True).groups.values()]
+        most = max(max(first_fit_bins(n, capacity), default=-1) + 1 for n, _ in held)
+        rows["micro_batches"] = most
+        rows["micro_batch"] = 0
+        for n, own in held:
+            rows.loc[own, "micro_batch"] = largest_differencing(n, most)
+        return rows[[*keys, "micro_batches", "micro_batch"]]
+
+    return df.select(*keys).groupBy(step).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", micro_batches int, micro_batch int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import groups as G
+from sparkloom.operators import scans
 from sparkloom.plans.registry import query, table
 
 EVENTS = "SELECT event_id, user_id, event_type, value AS reward, event_type = 'purchase' AS won, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events"
@@ -102,12 +103,12 @@ def busy(spark, sf):
 
 @query(f'SELECT event_type, "start", "end", n FROM {_MERGED}')
 def n11_interval_union(spark, sf):
-    return G.interval_union(busy(spark, sf), ["event_type"], "s", "e")
+    return scans.interval_union(busy(spark, sf), ["event_type"], "s", "e")
 
 
 @query(f'SELECT event_type, gap_start, gap_end FROM (SELECT event_type, lag("end") OVER (PARTITION BY event_type ORDER BY "start") AS gap_start, "start" AS gap_end FROM {_MERGED}) WHERE gap_end > gap_start')
 def n12_idle_gaps(spark, sf):
-    return G.gaps(G.interval_union(busy(spark, sf), ["event_type"], "s", "e"), ["event_type"])
+    return scans.idle_gaps(busy(spark, sf), ["event_type"], "s", "e")
 
 
 @query(f"WITH e AS ({EVENTS}), w AS (SELECT *, (step - 1) // 3 AS window_id FROM e) SELECT user_id, window_id, round(sum(reward), 6) AS total FROM w GROUP BY user_id, window_id HAVING count(*) = 3")

@@ -247,7 +247,8 @@ def p4_repeat_seeds(spark, sf):
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
 def b3_cover(spark, sf):
     """Every document is in one part: the parts' sizes add up to the groups'."""
-    out = packing.balanced(table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id", "n_chars", 4)
+    d = table(spark, sf, "documents").select("source", "lang", F.expr("doc_id div 256").alias("batch"), "doc_id", "n_chars")
+    out = packing.balanced(d, ["source", "lang", "batch"], "doc_id", "n_chars", 4)
     return out.groupBy("source", "lang").agg(F.count_distinct("doc_id").alias("n"))
 
 

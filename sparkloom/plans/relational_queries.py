@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import packing, relational as R
+from sparkloom.operators import packing, relational as R, scans
 from sparkloom.plans.registry import query, table
 
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (greatest(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 1e-12) * greatest(sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 1e-12))"
@@ -219,19 +219,24 @@ def b8_batch_size(spark, sf):
     return table(spark, sf, "documents").agg(F.greatest(F.floor(F.count("*") / 8) * 8, F.lit(8)).cast("long").alias("batch"))
 
 
+def batches(spark, sf):
+    """Documents with their training batch: 256 neighbours by id, so a group is bounded."""
+    return table(spark, sf, "documents").select(F.expr("doc_id div 256").alias("batch"), "doc_id", "n_chars")
+
+
 @query()
 def b1_first_fit(spark, sf):
-    """Bins of capacity 40,000 for the documents of each source and language, in order of id."""
-    return packing.first_fit(table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id", "n_chars", 40000)
+    """Bins of capacity 40,000 for the documents of each training batch, in order of id."""
+    return packing.first_fit(batches(spark, sf), ["batch"], "doc_id", "n_chars", 40000)
 
 
 @query()
 def b2_balanced_partitions(spark, sf):
-    """Four parts of nearly equal total length for each source and language, by largest differencing."""
-    return packing.balanced(table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id", "n_chars", 4)
+    """Four parts of nearly equal total length for each training batch, by largest differencing."""
+    return packing.balanced(batches(spark, sf), ["batch"], "doc_id", "n_chars", 4)
 
 
-@query()
+@query("WITH RECURSIVE d AS (SELECT lang, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents), c(lang, doc_id, i, chunk, total) AS (SELECT lang, doc_id, i, 0, n FROM d WHERE i = 1 UNION ALL SELECT d.lang, d.doc_id, d.i, CASE WHEN c.total >= 20000 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.total >= 20000 THEN 0 ELSE c.total END + d.n FROM c JOIN d ON d.lang = c.lang AND d.i = c.i + 1) SELECT lang, doc_id, chunk FROM c")
 def b11_chunks(spark, sf):
-    """Chunks that close once their length reaches 20,000."""
-    return packing.chunks(table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id", "n_chars", 20000)
+    """Chunks of each language's documents, in order of id, that close once their length reaches 20,000: by pointers, so a language of any size."""
+    return scans.chunks(table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "doc_id", "n_chars", 20000).select("lang", "doc_id", "chunk")

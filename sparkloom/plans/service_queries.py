@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import answers as A
-from sparkloom.operators import groups as G
-from sparkloom.operators import packing
+from sparkloom.operators import packing, scans
 from sparkloom.plans import hooks
 from sparkloom.plans.group_queries import _MERGED, busy
 from sparkloom.plans.registry import query, table
@@ -87,7 +86,7 @@ def j6_interval_overlap(spark, sf):
     """Gaps and operations meet by the hours they touch, so no operation is compared with every gap."""
     hour = 3_600_000_000
     b = busy(spark, sf)
-    gaps = G.gaps(G.interval_union(b.where("event_type = 'purchase'"), ["event_type"], "s", "e"), ["event_type"])
+    gaps = scans.idle_gaps(b.where("event_type = 'purchase'"), ["event_type"], "s", "e")
     hours = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / hour), F.floor(F.col(e) / hour))).alias("hour")
     ops = b.where("event_type = 'click'").select("event_id", "s", "e", hours("s", "e"))
     held = gaps.select("gap_start", "gap_end", hours("gap_start", "gap_end"))
@@ -105,10 +104,9 @@ def e1_episode_replay(spark, sf):
 
 @query()
 def b9_schedule(spark, sf):
-    """Micro-batches by step: the most bins any rank needs, then a balanced deal of each rank's documents."""
-    d = table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars")
-    bins = packing.first_fit(d, ["source", "lang"], "doc_id", "n_chars", 40000)
-    return bins.withColumn("micro_batches", F.max("bin").over(Window.partitionBy("source")) + 1).drop("bin")
+    """Micro-batches of a step of 256 documents on four ranks: the most bins any rank needs, then a balanced deal of each rank's documents to so many."""
+    d = table(spark, sf, "documents").select(F.expr("doc_id div 256").alias("step"), F.pmod("doc_id", F.lit(4)).alias("rank"), "doc_id", "n_chars")
+    return packing.schedule(d, "step", "rank", "doc_id", "n_chars", 40000)
 
 
 @query("SELECT source, sum(12 * (24 * n_chars * 64 * 64 + 4 * n_chars * n_chars * 64))::DOUBLE AS flops FROM documents GROUP BY source")

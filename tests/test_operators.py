@@ -40,13 +40,6 @@ def test_returns_and_advantages(spark):
     assert got == pytest.approx([1.0 + 0.9 * 1.0 - 0.5 + 0.45 * last, last])
 
 
-def test_intervals(spark):
-    df = spark.createDataFrame([("x", 0, 5), ("x", 5, 7), ("x", 6, 6), ("x", 9, 10)], "k string, s int, e int")
-    merged = G.interval_union(df, ["k"], "s", "e")
-    assert sorted((r["start"], r["end"], r["n"]) for r in merged.collect()) == [(0, 7, 3), (9, 10, 1)]
-    assert [(r["gap_start"], r["gap_end"]) for r in G.gaps(merged, ["k"]).collect()] == [(7, 9)]
-
-
 def test_pass_at_k(spark):
     rows = [("a", i < 1) for i in range(4)] + [("b", False), ("b", False), ("c", True)]
     got = {r["k"]: r["pass_at_k"] for r in M.pass_at_k(spark.createDataFrame(rows, "g string, ok boolean"), ["g"], F.col("ok")).collect()}
@@ -68,13 +61,17 @@ def test_margin_filter(spark):
 
 def test_packing():
     assert packing.first_fit_bins([5, 6, 4, 5], 10) == [0, 1, 0, 2]
-    assert packing.chunk_numbers([3, 3, 5, 1], 6) == [0, 0, 1, 1]
     rnd = random.Random(1)
     sizes = [rnd.randint(1, 100) for _ in range(60)]
     parts = packing.largest_differencing(sizes, 4)
     sums = [sum(n for n, p in zip(sizes, parts) if p == k) for k in range(4)]
     assert max(sums) - min(sums) <= 5
     assert packing.largest_differencing([], 3) == []
+    even = packing.largest_differencing(sizes, 4, equal=True)
+    sums = [sum(n for n, p in zip(sizes, even, strict=True) if p == k) for k in range(4)]
+    assert [even.count(k) for k in range(4)] == [15] * 4 and max(sums) - min(sums) <= 10
+    with pytest.raises(ValueError):
+        packing.largest_differencing(sizes[:59], 4, equal=True)
 
 
 def test_token_functions(spark):
