@@ -25,22 +25,26 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import merged, parallelism, small_batches, stash, table, unstash
+from sparkloom.llm.common import merged, parallelism, shared_dir, small_batches, stash, table, unstash
 from sparkloom.llm.token_files import byte_letters
 
 #: Text of a block (a document is never cut), and buckets of segments for each shuffle partition.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS = 4
+#: Segments that the libraries get at once: their own results take far more memory than the ids.
+CALL_SEGMENTS = 8192
 
 #: All characters that one of the libraries takes for white space.
 _SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
@@ -114,10 +118,14 @@ class Aligner:
 
     def align(self, segments: list[str]):
         """For all segments: tokens of both kinds, groups, ids linked (first id times 2^32 plus second), groups as text, and its bounds."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = [x[2:] for x in self.b.encode([self.guard + s for s in segments], num_threads=1)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        a, b = (np.fromiter((i for x in xs for i in x), np.int64, int(n.sum())) for xs, n in ((a, n_a), (b, n_b)))
+        found: tuple[list, ...] = ([], [], [], [])
+        for at in range(0, len(segments), CALL_SEGMENTS):
+            some = segments[at : at + CALL_SEGMENTS]
+            ids = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], [x[2:] for x in self.b.encode([self.guard + s for s in some], num_threads=1)]
+            for k, lists in enumerate(ids):
+                found[k].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                found[2 + k].append(np.fromiter((i for x in lists for i in x), np.int32, int(found[k][-1].sum())))
+        n_a, n_b, a, b = (np.concatenate(x).astype(np.int64) for x in found)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         over = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
         if (self.a_sizes[a] == 0).any() or (self.b_sizes[b] == 0).any() or (a_ends[np.cumsum(n_a) - 1] != over).any() or (b_ends[np.cumsum(n_b) - 1] != over).any():
@@ -163,8 +171,19 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield [c[i] for c in columns]
 
 
+def _packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed bytes; of numbers the first bytes of all, then the second ones, and so on."""
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _raw(value) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_buffer())
+
+
 def _ints(value, kind) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
+    raw = np.frombuffer(_raw(value), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _out(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -198,14 +217,14 @@ def _blocks(docs: DataFrame, shared, buckets: int) -> DataFrame:
             names, times, hashed = names.take(pa.array(order)), times[used][order].astype(np.int64), hashed[order]
             place = np.zeros(len(coded.dictionary), np.int32)
             place[used[order]] = np.arange(len(used))
-            rows = [(block, -1, batch.column(0).to_pylist(), sizes.astype(np.int32).tobytes(), None, place[codes].tobytes())]
+            rows = [(block, -1, batch.column(0).to_pylist(), _packed(sizes.astype(np.int32)), None, _packed(place[codes]))]
             lengths = pc.binary_length(names).to_numpy().astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
             raw = b"".join(x.encode() for x in names.to_pylist())
             bounds = np.searchsorted(hashed, np.arange(buckets + 1))
             for bucket in np.unique(hashed).tolist():
                 a, b = bounds[bucket], bounds[bucket + 1]
-                rows.append((block, bucket, None, lengths[a:b].tobytes(), times[a:b].tobytes(), raw[offsets[a] : offsets[b]]))
+                rows.append((block, bucket, None, _packed(lengths[a:b]), _packed(times[a:b]), _packed(raw[offsets[a] : offsets[b]])))
             yield _out(rows, _BLOCK)
 
     return docs.select("id", "text").mapInArrow(run, _BLOCK_SQL)
@@ -219,7 +238,7 @@ def _segments(blocks: DataFrame, shared) -> DataFrame:
         for block, bucket, nums, sums, raw in _rows(batches):
             sizes.append(_ints(nums, np.int32))
             times.append(_ints(sums, np.int64))
-            data.append(raw.as_buffer())
+            data.append(_raw(raw))
             asked.append((block.as_py(), bucket.as_py()))
         if not asked:
             return
@@ -233,11 +252,11 @@ def _segments(blocks: DataFrame, shared) -> DataFrame:
         q = TaskContext.get().partitionId()
         yield _out([(q, 0, None, None, pairs.tolist(), counts.tolist(), None, None, None)], _PART)
         nums = np.stack([n_a, n_b, n_groups, np.diff(ends, prepend=0)]).astype(np.int32)
-        yield _out([(q, 1, None, None, None, None, nums.tobytes(), which.astype(np.int32).tobytes(), text)], _PART)
+        yield _out([(q, 1, None, None, None, None, _packed(nums), _packed(which.astype(np.int32)), _packed(text))], _PART)
         for k, (block, bucket) in enumerate(asked):
-            yield _out([(q, 2, block, bucket, None, None, codes[bounds[k] : bounds[k + 1]].astype(np.int32).tobytes(), None, None)], _PART)
+            yield _out([(q, 2, block, bucket, None, None, _packed(codes[bounds[k] : bounds[k + 1]].astype(np.int32)), None, None)], _PART)
 
-    parts = blocks.where("bucket >= 0").repartition(parallelism(blocks.sparkSession), "bucket")
+    parts = blocks.repartition(parallelism(blocks.sparkSession), "bucket")
     return parts.select("block", "bucket", "nums", "sums", "data").mapInArrow(run, _PART_SQL)
 
 
@@ -249,7 +268,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = keys.values.to_numpy()
         elif kind == 1:
             n_a, n_b, n_groups, size = _ints(nums, np.int32).reshape(4, -1)
-            text, ends = data.as_buffer().to_pybytes(), np.cumsum(size, dtype=np.int64)
+            text, ends = _raw(data), np.cumsum(size, dtype=np.int64)
             which, last = _ints(links, np.int32), np.cumsum(n_groups, dtype=np.int64)
             total, best = (np.concatenate([[0], np.cumsum(x)]) for x in (counts[which] >> 1, counts[which] & 1))
             total, best = (x[last] - x[last - n_groups] for x in (total, best))
@@ -257,7 +276,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _ints(nums, np.int32)
             mine = np.stack([n_a[own], n_b[own], n_groups[own], best[own], size[own]]).astype(np.int32)
             raw = b"".join([text[a:b] for a, b in zip((ends - size)[own].tolist(), ends[own].tolist(), strict=True)])
-            yield _out([(block.as_py(), bucket.as_py(), None, mine.tobytes(), total[own].astype(np.int64).tobytes(), raw)], _BLOCK)
+            yield _out([(block.as_py(), bucket.as_py(), None, _packed(mine), _packed(total[own].astype(np.int64)), _packed(raw))], _BLOCK)
 
 
 def _compose(with_groups: bool):
@@ -269,6 +288,7 @@ def _compose(with_groups: bool):
             per = [*n[[0, 1, 2, 2, 3]].astype(np.int64), np.concatenate(sums) if sums else np.zeros(0, np.int64)]
             raw, ends = b"".join(texts), np.cumsum(n[4], dtype=np.int64)
             names = [raw[a:b] for a, b in zip((ends - n[4]).tolist(), ends.tolist(), strict=True)]
+            del raw, ends, texts
             bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             added = []
             for values in per:
@@ -290,13 +310,27 @@ def _compose(with_groups: bool):
             else:
                 held[3].append(_ints(nums, np.int32).reshape(5, -1))
                 held[4].append(_ints(sums, np.int64))
-                held[5].append(data.as_buffer())
+                held[5].append(_raw(data))
         if held:
             yield documents(*held)
 
     return run
 
 
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows and the buckets' rows, written in one go to two folders, as the latter are needed for the next step only."""
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/token-segments-{uuid.uuid4().hex}"
+    rows.withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
+    out = []
+    for kind in (0, 1):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        out.append(spark.read.schema(_BLOCK_SQL).parquet(f"{path}/kind={kind}") if there else spark.createDataFrame([], _BLOCK_SQL))
+        if there:
+            out[-1]._stash_path = f"{path}/kind={kind}"
+    return out[0], out[1]
+
+
 def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = True) -> tuple[DataFrame, DataFrame]:
     """Two frames: one row per document, and one per linked pair of ids.
 
@@ -317,8 +351,9 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     shared = spark.sparkContext.broadcast(content)
     few = parallelism(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stash(_blocks(rows, shared, BUCKETS * few), "token-segments")
-    parts = stash(_segments(blocks, shared), "token-alignments")
+    blocks, segments = _apart(_blocks(rows, shared, BUCKETS * few))
+    parts = stash(_segments(segments, shared), "token-alignments")
+    unstash(segments)
 
     found = parts.where("kind = 0").select("q", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "p")).select("q", "pos", F.col("p.keys").alias("key"), F.col("p.counts").alias("n"))
     totals = stash(found.groupBy("key").agg(F.sum("n").alias("count")).withColumn("b", F.col("key").bitwiseAND(F.lit((1 << 32) - 1))), "token-pair-counts")
@@ -331,7 +366,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     by_task = parts.where("kind > 0").select(*told.columns).unionByName(told).repartition(few, "q").sortWithinPartitions("q", "kind")
     payloads = stash(by_task.mapInArrow(_payloads, _BLOCK_SQL), "token-payloads")
     unstash(parts)
-    by_block = blocks.where("bucket < 0").unionByName(payloads).repartition(few, "block").sortWithinPartitions("block", "bucket")
+    by_block = blocks.unionByName(payloads).repartition(few, "block").sortWithinPartitions("block", "bucket")
     out = by_block.mapInArrow(_compose(with_groups), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
     return out.withColumnRenamed("doc_id", id_col), pairs.select("a", "b", "count", "best")
 
