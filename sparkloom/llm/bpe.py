@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import merged, small_batches, table
+from sparkloom.llm.common import merged, small_batches, table, trim
 from sparkloom.llm.pieces import PieceMemo
 
 #: Entries of the memo of token pairs after which it is emptied.
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 250_000
+#: Bytes of text that are encoded at once: the arrays over their cuts take some thirty times as much.
+CALL_BYTES = 2 << 20
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -199,8 +201,9 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         codec = _codec(content.value, pattern)
-        for batch in merged(batches, 1):
+        for batch in merged(batches, 1, CALL_BYTES):
             flat, bounds = codec.memo.flat(batch.column(1))
             at = bounds.tolist()
             ids = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]

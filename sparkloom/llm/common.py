@@ -53,6 +53,21 @@ def _one(batches):
     return batches[0] if len(batches) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], batches[0].schema.names)
 
 
+def trim() -> None:
+    """Give back what a Python worker no longer uses but still holds: workers are kept between stages, and an executor's memory is shared."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: the memory is just kept
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session that names none (tests) gets a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

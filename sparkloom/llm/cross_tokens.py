@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import merged, parallelism, shared_dir, small_batches, stash, table, unstash
+from sparkloom.llm.common import merged, parallelism, shared_dir, small_batches, stash, table, trim, unstash
 from sparkloom.llm.token_files import byte_letters
 
 #: Text of a block (a document is never cut), and buckets of segments for each shuffle partition.
@@ -200,6 +200,7 @@ def _blocks(docs: DataFrame, shared, buckets: int) -> DataFrame:
     """docs: id, text. For each block a row of its documents (bucket -1: ids, sizes and numbers of segments) and one for each bucket (sizes, occurrences and segments)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         aligner = _aligner(*shared.value)
         for k, batch in enumerate(merged(batches, 1, BLOCK_BYTES)):
             block = TaskContext.get().partitionId() << 32 | k
@@ -234,6 +235,7 @@ def _segments(blocks: DataFrame, shared) -> DataFrame:
     """For each task q: its linked pairs with their counts (kind 0), its aligned segments (kind 1), and for each block and bucket the numbers of its segments (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         asked, sizes, times, data = [], [], [], []
         for block, bucket, nums, sums, raw in _rows(batches):
             sizes.append(_ints(nums, np.int32))

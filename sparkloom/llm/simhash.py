@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cleaned, small_batches, stash, table, unstash
+from sparkloom.llm.common import cleaned, small_batches, stash, table, trim, unstash
 from sparkloom.llm.components import components
 
 SEED = 42
@@ -249,6 +249,7 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             hashes = [shingles(t, words) for t in batch.column(0).field(at).to_pylist()]
             fps = np.array([simhash(h) for h in hashes], np.uint64)
