@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import written
+
 
 def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key. An aggregate with partial sums, so one hot key is no one task's work."""
@@ -96,16 +98,45 @@ def newest_groups(df: DataFrame, group: str, timestamp: str, n: int) -> DataFram
     return df.join(latest.select(group), group, "left_semi")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """Best documents of each query by BM25: query_id, doc_id, score, rank."""
-    words = lambda df, i: df.select(F.col(i), F.explode(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")).alias("w"))
-    tf = words(docs, doc_id).groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
-    lengths = tf.groupBy(doc_id).agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avglen"))
+#: Words of a query set that are broadcast at once.
+MOST_WORDS = 200_000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, text: str, k1: float = 0.9, b: float = 0.4, sure: int = 10_000) -> DataFrame:
+    """Best documents of each query by BM25: query_id, doc_id, score, rank. Ties: the smaller document id.
+
+    Only words that are asked for leave a document's row, with their counts, and no document is scored that cannot be among
+    the best. The k-th best score by a query's rarer words alone (those in ``sure`` documents or fewer) is a bound that the
+    final scores do not fall below. Frequent words whose highest scores add up to less than it cannot lift a document to
+    it by themselves, so their postings only meet documents that one of the query's other words has found.
+    """
+    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
+    asked = queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(words)).alias("w"))
+    own = docs.select(F.col(doc_id).alias("_d"), words.alias("words")).withColumn("len", F.size("words"))
+    total = own.where("len > 0").agg(F.count("*").alias("N"), F.avg("len").alias("avglen"))
+    wanted = asked.select("w").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(MOST_WORDS + 1).count() <= MOST_WORDS else wanted
+    tf = own.select("_d", "len", F.explode("words").alias("w")).join(wanted, "w", "left_semi").groupBy("_d", "len", "w").agg(F.count("*").alias("tf"))
+    tf = written(tf, "postings")
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    asked = words(queries, query_id).distinct()
-    hits = asked.join(tf, "w").join(df, "w").join(lengths, doc_id).join(F.broadcast(total), how="cross")
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
-    scored = hits.groupBy(query_id, doc_id).agg(F.round(F.sum(part), 9).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))).where(F.col("rank") <= k)
+    postings = written(tf.join(df, "w").join(F.broadcast(total), how="cross").select("_d", "w", "df", part.alias("part")), "scored-postings")
+    # A word's bound: its highest score in any document.
+    bounds = asked.join(postings.groupBy("w").agg(F.max("part").alias("most"), F.max("df").alias("df")), "w")
+    bounds = written(bounds, "word-bounds")
+    best = Window.partitionBy("_q").orderBy(F.desc("score"), "_d")
+    some = bounds.where(F.col("df") <= sure).select("_q", "w").join(postings, "w").groupBy("_q", "_d").agg(F.sum("part").alias("score"))
+    least = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("_q", F.col("score").alias("least"))
+    # From the most frequent word on, as long as all of them together stay below.
+    by_count = Window.partitionBy("_q").orderBy(F.desc("df"), "w").rowsBetween(Window.unboundedPreceding, 0)
+    split = bounds.join(least, "_q", "left").withColumn("sum", F.sum("most").over(by_count))
+    split = written(split.select("_q", "w", F.coalesce(F.col("sum") < F.col("least") - 1e-9, F.lit(False)).alias("weak")), "query-words")
+    strong = split.where("not weak").select("_q", "w").join(postings.select("w", "_d", "part"), "w").select("_q", "_d", "w", "part")
+    strong = written(strong, "strong-hits")
+    found = strong.select("_q", "_d").distinct()
+    # Each document that is found looks up the query's frequent words among its own.
+    weak = found.join(split.where("weak").select("_q", "w"), "_q").join(postings.select("_d", "w", "part"), ["_d", "w"]).select("_q", "_d", "w", "part")
+    scored = strong.unionByName(weak).groupBy("_q", "_d").agg(F.round(F.sum("part"), 9).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.col("_q").alias(query_id), F.col("_d").alias(doc_id), "score", "rank")
