@@ -10,14 +10,16 @@ replacement in every document.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import stash, table, unstash
 
 # Given names by gender and script, honorifics, and syllables for made-up names.
-MALE = "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Peter Hans Klaus Jürgen Wolfgang Pierre Jean Luc Michel André José Juan Carlos Luis Miguel Javier".split()
-FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emma Anna Julia Petra Ursula Monika Marie Claire Sophie Camille Isabelle María Carmen Ana Lucía Elena Laura".split()
+MALE = "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Peter Hans Klaus Jürgen Wolfgang Pierre Jean Luc Michel André José Juan Carlos Luis Miguel Javier Ivan Sergei Dmitri Nikolai Andrei Alexander Mohammed Ahmed Ali Kofi".split()
+FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emma Anna Julia Petra Ursula Monika Marie Claire Sophie Camille Isabelle María Carmen Ana Lucía Elena Laura Angela Olga Natalia Tatiana Irina Svetlana Fatima Aisha Ingrid Helga".split()
 MALE_CYRILLIC = "Иван Сергей Алексей Дмитрий Николай Андрей Михаил Павел".split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split()
 MALE_TITLES = "Mr Mister Herr Monsieur Señor Sr Sir".split()
@@ -30,8 +32,12 @@ SYLLABLES_GREEK = "βα βε δα δε κα κε κο λα λε λο μα με 
 #: Letters by which those of a script are replaced.
 ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Han": "天地人山水火木金土日月星雨雪風花草石田林", "Hiragana": "あいうえおかきくけこさしすせそ", "Katakana": "アイウエオカキクケコサシスセソ", "Hangul": "가나다라마바사아자차카타파하"}
 
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+#: A word of a name: O'Neill, McDonald and Smith-Jones are one, a possessive ending is none of it.
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_NAME = rf"{_WORD}(?:-{_WORD})?"
+_CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?:-\p{Lu}{2,})?"
 _TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
+_TITLE_CAPITALS = "|".join(t.upper() for t in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join([*MALE, *FEMALE, *MALE_CYRILLIC, *FEMALE_CYRILLIC])
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -39,23 +45,26 @@ _GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})"
 #: IPv6 with a run of zeros left out, but for :: alone.
 _SHORT_IPV6 = rf"(?<![\p{{L}}\p{{N}}:])(?=:{{0,2}}[0-9A-Fa-f])(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}[0-9A-Fa-f]{{0,4}}(?![\p{{L}}\p{{N}}:])){_GROUPS}?::{_GROUPS}?(?![\p{{L}}\p{{N}}:])"
 
+# What keys of some services begin with.
+_KEY_PREFIX = r"(?:AKIA|ASIA)(?=[0-9A-Z]{16})|gh[pousr]_(?=[A-Za-z0-9]{36})|sk-(?=[A-Za-z0-9_\-]{20})|xox[abprs]-(?=[A-Za-z0-9\-]{10})|AIza(?=[0-9A-Za-z_\-]{35})"
+
 #: Setting of the session that holds the key.
 KEY_SETTING = "spark.sparkloom.surrogateKey"
 
 #: In order of precedence at one place.
 PATTERNS = {
-    "secret": r"""(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{12,}|""" + _START + r"(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END,
+    "secret": r"""(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{12,}|""" + _START + rf"(?:{_KEY_PREFIX})[A-Za-z0-9_\-]+|" + _START + r"(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END,
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}" + _END,
-    "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])|" + _SHORT_IPV6,
-    "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}" + _END + r"|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}" + _END,
+    "ip": r"(?<![\p{L}\p{N}.])(?<!(?i:version |release |revision |ver\. |firmware ))" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])|" + _SHORT_IPV6,
+    "iban": _START + r"(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?)" + _END,
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}" + _END + r"|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}" + _END + r"|(?<![\p{L}\p{N}(.,:+\-])(?:\(0\d{1,4}\) ?\d{3,4}[ .\-]?\d{3,5}|0\d{2,4}[ /\-]\d{5,8})(?![\p{L}\p{N}]|[.,\-]\d)",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "card": _START + r"\d(?:[ \-]?\d){12,18}" + _END,
-    "name": _START + rf"(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME})" + _END,
+    "name": _START + rf"(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_TITLE_CAPITALS})\.? {_CAPITALS}(?: {_CAPITALS}){{0,2}}|(?:{_GIVEN}) {_NAME})" + _END,
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a digit, an at sign, two colons about hexadecimal digits, a word for a secret in any case, a title or a given name. Rows without one are not searched further.
-HINT = rf"[0-9@]|\p{{N}}|:[0-9A-Fa-f]{{0,4}}:|(?i:token|secret|passw|key)|{_START}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|\p{{N}}|:[0-9A-Fa-f]{{0,4}}:|(?i:token|secret|passw|key)|{_KEY_PREFIX}|{_START}(?:{_TITLE}|{_TITLE_CAPITALS}|{_GIVEN})\.? \p{{Lu}}"
 
 #: Secrets in which case means nothing.
 _HEX = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
@@ -78,12 +87,12 @@ def _kind(surface: Column) -> Column:
 
 def _name_words(surface: Column) -> Column:
     """The words of a name, without an honorific."""
-    return F.split(F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", ""), " ")
+    return F.split(F.regexp_replace(surface, rf"^(?:{_TITLE}|{_TITLE_CAPITALS})\.? ", ""), " ")
 
 
 def _gender(surface: Column) -> Column:
-    title = F.regexp_extract(surface, rf"^({_TITLE})\.? ", 1)
-    given = _name_words(surface).getItem(0)
+    title = F.initcap(F.regexp_extract(surface, rf"^({_TITLE}|{_TITLE_CAPITALS})\.? ", 1))
+    given = F.initcap(_name_words(surface).getItem(0))
     return (
         F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").when(given.isin([*MALE, *MALE_CYRILLIC]), "m").when(given.isin([*FEMALE, *FEMALE_CYRILLIC]), "f").otherwise("n")
     )
@@ -104,7 +113,7 @@ def parts(surface: Column) -> Column:
     code = F.regexp_extract(surface, r"^\+(\d{1,3})[ .\-(]", 1)
     phone = F.when(code == "", digits).otherwise(F.concat(code, F.lit("|"), F.substring(digits, F.length(code) + 1, F.length(digits))))
     plain = (
-        F.when(kind == "phone", phone).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.regexp_replace(surface, " ", "")).when((kind == "secret") & ~surface.rlike(_HEX), surface).otherwise(F.lower(surface))
+        F.when(kind == "phone", phone).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.upper(F.regexp_replace(surface, " ", ""))).when((kind == "secret") & ~surface.rlike(_HEX), surface).otherwise(F.lower(surface))
     )
     checked = F.when((kind == "card") & (_luhn_sum(digits) % 10 != 0), F.lit("number")).otherwise(kind)
     return F.when(kind == "name", names).when(kind == "email", mail).otherwise(F.array(entity(checked, plain)))
@@ -198,11 +207,12 @@ def candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     def of(stream: Column) -> Column:
         longer = lambda part: _by_class(F.concat(part, F.repeat(F.lit("a"), F.floor(attempt / 6).cast("int"))), stream)
         domain = F.concat(longer(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1)), F.regexp_extract(value, r"(\.[^.]+)$", 1))
+        prefix = F.regexp_extract(value, f"^(?:{_KEY_PREFIX})", 0)  # says what kind of key it is
         phone = F.concat(F.regexp_extract(value, r"^(\d+\|)?", 0), _by_class(F.regexp_replace(value, r"^\d+\|", ""), stream))
         return (
             F.when(kind == "mail", longer(F.regexp_extract(value, r"^(.*)@", 1))).when(kind == "domain", domain).when(kind == "ip", _octets(value, stream, attempt)).when(kind == "card", _card(value, stream)).when(kind == "phone", phone).when(kind == "ssn", _by_class(value, stream))
             .when(kind == "iban", F.concat(F.substring(value, 1, 2), _by_class(F.substring(value, F.lit(3), F.length(value)), stream))).when(kind == "family", _syllables(value, stream, attempt, 0))
-            .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _hexes(value, stream)).otherwise(_by_class(value, stream))).otherwise(_given(value, kind, stream, attempt))
+            .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _hexes(value, stream)).otherwise(F.concat(prefix, _by_class(F.substring(value, F.length(prefix) + 1, F.length(value)), stream)))).otherwise(_given(value, kind, stream, attempt))
         )
 
     return _let(_stream(key, kind, value, attempt, 3), of)
@@ -250,10 +260,11 @@ def _dress(surface: Column, found: Column) -> Column:
 
     numbers = F.array_join(F.transform(F.split(surface, ""), digits), "")
     spaced = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(first, F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.? )", 1)
-    names = F.concat(title, F.array_join(F.transform(found, lambda p: F.initcap(F.regexp_replace(p["surrogate"], "-", " "))), " "))
+    title = F.regexp_extract(surface, rf"^((?:{_TITLE}|{_TITLE_CAPITALS})\.? )", 1)
+    names = F.array_join(F.transform(found, lambda p: F.initcap(F.regexp_replace(p["surrogate"], "-", " "))), " ")
+    names = F.concat(title, F.when(surface == F.upper(surface), F.upper(names)).otherwise(names))
     cased = F.when((surface == F.upper(surface)) & ((kind != "secret") | surface.rlike(_HEX)), F.upper(first)).otherwise(first)
-    return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", spaced).when(kind.isin("family", "given"), names).otherwise(cased)
+    return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", F.when(surface == F.lower(surface), F.lower(spaced)).otherwise(spaced)).when(kind.isin("family", "given"), names).otherwise(cased)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,5 +301,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key comes from the session's KEY_SETTING; what stands here otherwise is for tests."""
-    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, "key for tests"))
+    """The key comes from the session's KEY_SETTING. Only a session on one machine (tests) may go without: anyone could undo a key that stands here."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        if not re.match(r"local(-cluster)?\b", spark.sparkContext.master):
+            raise RuntimeError(f"set {KEY_SETTING} to a secret")
+        key = "key for tests"
+    return pseudonymise(table(spark, sf_dir, "documents"), key=key)
