@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The modules below register their queries here.
-from sparkloom.plans import action_queries, closing_queries, further_queries, group_queries, metric_queries, more_queries, relational_queries, reward_queries, service_queries, stream_queries, text_queries, token_queries  # noqa: E402, F401
+from sparkloom.plans import action_queries, closing_queries, further_queries, group_queries, metric_queries, more_queries, prompt_queries, relational_queries, reward_queries, service_queries, stream_queries, text_queries, token_queries  # noqa: E402, F401
