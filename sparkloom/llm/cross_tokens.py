@@ -358,11 +358,15 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     unstash(segments)
 
     found = parts.where("kind = 0").select("q", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "p")).select("q", "pos", F.col("p.keys").alias("key"), F.col("p.counts").alias("n"))
-    totals = stash(found.groupBy("key").agg(F.sum("n").alias("count")).withColumn("b", F.col("key").bitwiseAND(F.lit((1 << 32) - 1))), "token-pair-counts")
-    highest = totals.groupBy("b").agg(F.max("count").alias("most"))
-    pairs = stash(totals.join(highest, "b").select("key", F.shiftright("key", 32).alias("a"), "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
+    # A pair's row knows the tasks that wait for its counts: a list of one place in each task at most.
+    totals = found.groupBy("key").agg(F.sum("n").alias("count"), F.collect_list(F.struct("q", "pos")).alias("places")).withColumn("b", F.col("key").bitwiseAND(F.lit((1 << 32) - 1)))
+    totals = stash(totals, "token-pair-counts")
+    highest = stash(totals.groupBy("b").agg(F.max("count").alias("most")), "token-pair-highest")
+    pairs = stash(totals.join(highest, "b").select(F.shiftright("key", 32).alias("a"), "b", "count", (F.col("count") == F.col("most")).alias("best"), "places"), "token-pairs")
     unstash(totals)
-    told = found.join(pairs, "key").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("count") * 2 + F.col("best").cast("long")).alias("v")))).alias("all"))
+    unstash(highest)
+    value = (F.col("count") * 2 + F.col("best").cast("long")).alias("v")
+    told = pairs.select(F.explode("places").alias("p"), value).groupBy("p.q").agg(F.array_sort(F.collect_list(F.struct("p.pos", "v"))).alias("all"))
     none = F.lit(None)
     told = told.select("q", F.lit(0).alias("kind"), none.cast("long").alias("block"), none.cast("int").alias("bucket"), F.col("all.v").alias("keys"), *[none.cast("binary").alias(c) for c in ("nums", "links", "data")])
     by_task = parts.where("kind > 0").select(*told.columns).unionByName(told).repartition(few, "q").sortWithinPartitions("q", "kind")
