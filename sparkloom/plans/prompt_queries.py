@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import prompts
+from sparkloom.functions import compaction, prompts
 from sparkloom.plans.registry import query, table
 from sparkloom.sources import vectors
 from sparkloom.sources.shared import shared_dir
@@ -61,3 +61,26 @@ def s19_cached_vectors(spark, sf):
     vectors.build(d, path, "lang", "text")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return vectors.match(d, path, "lang", "text").select("doc_id", F.size("vector").alias("n"), F.round(norm, 4).alias("norm"))
+
+
+#: A page of each brand's parts, one line each; steps 0 and 1 show it, their actions name two parts, and a third is expected.
+_LINES = "SELECT p_brand, p_partkey, '- ' || p_type || ' \"' || p_name || '\" [ref=e' || p_partkey || ']' AS line, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part"
+
+
+@query(
+    f"""WITH l AS ({_LINES}), r AS (SELECT p_brand, min(p_partkey) AS low, max(p_partkey) AS high FROM part GROUP BY p_brand), a AS (SELECT p_brand, s, low + 25 * (s + 1) AS k FROM r, (VALUES (0), (1)) x(s) UNION ALL SELECT p_brand, 1, high FROM r),
+    t AS (SELECT l.*, s, EXISTS (SELECT 1 FROM a JOIN l h ON h.p_brand = a.p_brand AND h.p_partkey = a.k WHERE a.p_brand = l.p_brand AND a.s = x.s AND abs(h.i - l.i) <= 5) AS near FROM l, (VALUES (0), (1)) x(s)),
+    k AS (SELECT *, max(near::INT) OVER (PARTITION BY p_brand, s) AS any_near FROM t), m AS (SELECT *, i - lag(i) OVER (PARTITION BY p_brand, s ORDER BY i) - 1 AS skipped FROM k WHERE near OR any_near = 0),
+    p AS (SELECT p_brand, s, string_agg(CASE WHEN skipped > 0 THEN '- ... omitted ' || skipped || ' unrelated elements ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY i) AS page FROM m GROUP BY p_brand, s),
+    b AS (SELECT p_brand, s, chr(10) || chr(10) || '[Step ' || s || ']' || chr(10) || 'Current page snapshot (source=x):' || chr(10) || page || chr(10) || chr(10) || 'Previous actions:' || chr(10) || '<action>CLICK e' || (low + 25 * (s + 1)) || '</action>' AS block FROM p JOIN r USING (p_brand))
+    SELECT p_brand, md5('Task' || string_agg(block, '' ORDER BY s)) AS text FROM b GROUP BY p_brand"""
+)
+def f58_compacted_steps(spark, sf):
+    """Also f56, f57: trajectories of two steps over a brand's page, cut to the lines around what is named and what is expected."""
+    line = F.concat(F.lit("- "), "p_type", F.lit(' "'), "p_name", F.lit('" [ref=e'), "p_partkey", F.lit("]"))
+    page = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    shown = F.array_join("l.line", "\n")
+    step = lambda s: F.concat(F.lit(f"\n\n[Step {s}]\nCurrent page snapshot (source=x):\n"), shown, F.lit("\n\nPrevious actions:\n<action>CLICK e"), (F.col("low") + 25 * (s + 1)).cast("string"), F.lit("</action>"))
+    text = F.concat(F.lit("Task"), step(0), step(1))
+    expected = F.create_map(F.lit(1), F.array(F.concat(F.lit("e"), F.col("high").cast("string"))))
+    return page.select("p_brand", F.md5(compaction.compact_long(text, F.length(text), expected, limit=0)).alias("text"))
