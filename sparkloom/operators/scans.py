@@ -30,7 +30,8 @@ def running(parts: DataFrame, by: list[str], value: Column, kind: str, out: str,
     held = parts.withColumn("_v", value)
     inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     ends = held.groupBy(*by, "_part").agg(total("_v").alias("_t"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range (and group): few.
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_c", total("_t").over(before)).drop("_t")
     same = F.col("l._part") == F.col("r._part")
     for c in by:

@@ -25,7 +25,7 @@ def f13_path_key(spark, sf):
 
 @query("SELECT conv_id, min_by(role, turn) AS role, md5(min_by(text, turn)) AS text, count(*) FILTER (role = 'assistant') AS n_steps FROM conversations GROUP BY conv_id")
 def f28_first_annotation(spark, sf):
-    """Also f27: the first struct of a list, and the steps that are set."""
+    """The first struct of a list, and the steps that are set."""
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     first = F.try_element_at("t", F.lit(1))
     steps = F.filter(F.transform("t", lambda t: F.when(t["role"] == "assistant", t["text"])), lambda x: x.isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query, table
@@ -70,9 +71,10 @@ def f66_clean_numbers(spark, sf):
 
 @query("SELECT user_id, least(count(*), 20) AS n, md5(string_agg(event_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 20)) AS ids, round(sum(value) FILTER (r <= 20), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id")
 def k9_trim_parallel_lists(spark, sf):
-    """Parallel lists of a group, all cut to the same kept length."""
-    lists = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("rows"))
-    cut = lists.select("user_id", F.slice("rows.event_id", 1, 20).alias("ids"), F.slice("rows.value", 1, 20).alias("values"))
+    """Parallel lists of a group, all cut to the same kept length: ranked first, so that every task passes on no more of a group than is kept."""
+    ranked = table(spark, sf, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("rank <= 20")
+    lists = ranked.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("rows"))
+    cut = lists.select("user_id", F.col("rows.event_id").alias("ids"), F.col("rows.value").alias("values"))
     return cut.select("user_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

@@ -236,8 +236,7 @@ def g41_launch_buckets(spark, sf):
 
 @query("SELECT conv_id, count(*) FILTER (role = 'assistant') AS turns FROM conversations GROUP BY conv_id")
 def g44_assistant_turns(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return c.select("conv_id", F.size(F.filter("roles", lambda r: r == "assistant")).cast("long").alias("turns"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("turns"))
 
 
 @query(f"SELECT user_id, rule, severity FROM (SELECT user_id, unnest([CASE WHEN utilisation < 90 THEN 'idle' END, CASE WHEN n > 70 THEN 'busy' END]) AS rule, unnest(['high', 'low']) AS severity FROM ({_STREAM})) WHERE rule IS NOT NULL")

@@ -31,6 +31,31 @@ def s5_epoch_cursor(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_ids"))
 
 
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER () - 1 AS i FROM documents) WHERE i >= 30 AND i < 90")
+def s3_file_slice(spark, sf):
+    """Also s2: rows by a slice of the path, in the file's order."""
+    return files.read_any(spark, f"{sf}/documents.parquet@[30:90]").select("doc_id", "lang")
+
+
+_EPOCHS = "SELECT doc_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':' || doc_id), doc_id) - 1 AS place, count(*) OVER (PARTITION BY e) AS n FROM documents, (VALUES (0), (1)) x(e)"
+
+
+@query(f"SELECT doc_id, epoch, place FROM ({_EPOCHS}) WHERE epoch = 0 AND place >= n - 25 OR epoch = 1 AND place < 40")
+def s5_cursor_rows(spark, sf):
+    """65 rows from 25 before the end of an epoch on: its tail, and the head of the next one's order."""
+    d = table(spark, sf, "documents").select("doc_id")
+    rows, _, _ = files.cursor(d, "doc_id", d.count() - 25, 65, seed=7)
+    return rows.select("doc_id", "epoch", "place")
+
+
+@query(f"SELECT doc_id, epoch, place FROM ({_EPOCHS})")
+def p1_epoch_places(spark, sf):
+    """Every document's place in the orders of two epochs."""
+    d = table(spark, sf, "documents").select("doc_id")
+    rows, _, _ = files.cursor(d, "doc_id", 0, 2 * d.count(), seed=7)
+    return rows.select("doc_id", "epoch", "place")
+
+
 @query("SELECT item_id AS id, 'buffer' AS origin FROM benchmark UNION ALL (SELECT doc_id, 'source' FROM documents ORDER BY doc_id LIMIT greatest(0, 100 - (SELECT count(*) FROM benchmark)::BIGINT))")
 def s7_buffer_first(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("buffer").alias("origin"))

@@ -118,7 +118,7 @@ def m6_flops(spark, sf):
 
 @query("SELECT user_id, event_id, n FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n >= 10")
 def h5_filter_hook(spark, sf):
-    """Also f7, h3 to h13: a filter hook sees rows with their group's size."""
+    """Also f7, h6: a filter hook sees rows with their group's size."""
     e = table(spark, sf, "events").select("user_id", "event_id").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
     kept = hooks.apply_filter(e, lambda df: (F.col("n") >= 10, F.lit("small")))
     return hooks.chain(kept, lambda df: df.where("keep"), None).select("user_id", "event_id", "n")

@@ -82,19 +82,26 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.partitionBy(*by).parquet(path)
 
 
+def epoch_key(ordinal: Column, seed: int) -> Column:
+    """What an epoch's rows are sorted by: a digest of its seed and the row's ordinal, so every epoch starts from the original order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), ordinal.cast("string")))
+
+
 def cursor(df: DataFrame, ordinal: str, offset: int, n: int, seed: int) -> tuple[DataFrame, int, int]:
-    """n rows from an offset on in the order of an epoch, wrapping into the next epoch's order: rows, new offset, epochs passed.
+    """n rows from an offset on in the order of an epoch, wrapping into the next epoch's order: rows (with epoch, from 0, and place in it), new offset, epochs passed.
 
-    df has a gapless ordinal from 0; the order of an epoch is by a hash of ordinal and seed + epoch.
+    df has a gapless ordinal from 0; the order of an epoch is that of epoch_key() with seed + epoch.
     """
+    from sparkloom.operators.scans import numbered
+
     size = df.count()
     if not size:
         return df, 0, 0
     parts, epoch, at, left = [], 0, offset, n
     while left > 0:
         take = min(left, size - at)
-        ordered = df.orderBy(F.xxhash64(ordinal, F.lit(seed + epoch)), ordinal)
-        parts.append(ordered.offset(at).limit(take).withColumn("epoch", F.lit(epoch)))
+        ordered = numbered(df.withColumn("_key", epoch_key(F.col(ordinal), seed + epoch)), [], ["_key", ordinal], "place").drop("_key")
+        parts.append(ordered.where(F.col("place").between(at, at + take - 1)).withColumn("epoch", F.lit(epoch)))
         left -= take
         at += take
         if at == size:
