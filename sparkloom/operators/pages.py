@@ -92,3 +92,46 @@ def snapshot(df: DataFrame, key: str, html: str, depth: int = 20) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(key, "role", "name").orderBy("ord")) - 1
     ref = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
     return e.select(key, F.concat(F.lit("e"), ref.cast("string")).alias("ref"), "role", "name", nth.alias("nth"))
+
+
+class _Owned(_Flat):
+    """Elements with the words that stand in each of them, not below."""
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        self.rows[-1]["own"] = []
+
+    def handle_data(self, data):
+        if self.open:
+            self.rows[self.open[-1]]["own"] += data.split()
+
+
+def outline_text(html: str | None, nodes: int = 64, words: int = 12, chars: int = 2000) -> str:
+    """The first elements of a page in document order, each as its tag, id, role and first words (its own before those below), in one line of at most ``chars`` characters."""
+    page = _Owned()
+    page.feed(html or "")
+    rows = page.rows
+    first = next((i for i, r in enumerate(rows) if r["depth"] == 0 and r["tag"] == "html"), 0)
+    if not rows:
+        return "<html>"
+    out = []
+    for at in range(first, len(rows)):
+        row = rows[at]
+        if len(out) == nodes or at > first and row["depth"] <= rows[first]["depth"]:
+            break
+        said, below = list(row["own"]), at + 1
+        while len(said) < words and below < len(rows) and rows[below]["depth"] > row["depth"]:
+            said += rows[below]["own"]
+            below += 1
+        marks = [f"{name}={value}" for name, value in (("id", " ".join(row["attrs"].get("backend_node_id", "").split())), ("role", " ".join(row["attrs"].get("role", "").lower().split()))) if value]
+        out.append(" ".join([" ".join(["<" + row["tag"], *marks]) + ">", *said[:words]]))
+    return " ".join(out)[:chars]
+
+
+def outline(html: Column) -> Column:
+    """outline_text() of each page, in Arrow batches."""
+    return F.pandas_udf(_outlines, "string")(html)
+
+
+def _outlines(pages: pd.Series) -> pd.Series:
+    return pd.Series([outline_text(p) for p in pages])

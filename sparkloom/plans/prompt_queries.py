@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import compaction, prompts
+from sparkloom.functions import cards, compaction, prompts
+from sparkloom.operators import pages
 from sparkloom.plans.registry import query, table
 from sparkloom.sources import vectors
 from sparkloom.sources.shared import shared_dir
@@ -84,3 +85,26 @@ def f58_compacted_steps(spark, sf):
     text = F.concat(F.lit("Task"), step(0), step(1))
     expected = F.create_map(F.lit(1), F.array(F.concat(F.lit("e"), F.col("high").cast("string"))))
     return page.select("p_brand", F.md5(compaction.compact_long(text, F.length(text), expected, limit=0)).alias("text"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 IN (3, 4) THEN NULL ELSE md5('# Skill: ' || event_type || chr(10) || chr(10) || 'User ' || user_id || CASE WHEN event_id % 5 = 1 THEN chr(10) || chr(10) || '**Category**: ' || event_type || ' | **Signal**: ' || user_id || chr(10) || chr(10) || '## Overview' || chr(10) || '- ' || event_type || chr(10) || '- two' || chr(10) || chr(10) || '## Workflow' || chr(10) || '1. **' || event_type || '**: go' || chr(10) || '   - Done when: ' || user_id ELSE '' END) END AS card,
+    CASE event_id % 5 WHEN 3 THEN 'Missing required fields: description' WHEN 4 THEN 'Invalid JSON' ELSE '' END AS error, CASE WHEN event_id % 5 < 3 THEN 1 ELSE 0 END AS score FROM events"""
+)
+def f39_cards(spark, sf):
+    """Also f40: replies with prose around their JSON: plain, with sections, with a lesser object before, without a field, and cut off."""
+    k, user = F.col("event_id") % 5, F.col("user_id").cast("string")
+    name, said = F.col("event_type").alias("name"), F.concat(F.lit("User "), user).alias("description")
+    plain = F.to_json(F.struct(name, said))
+    step = F.struct(F.lit(1).alias("step"), F.col("event_type").alias("goal"), F.lit("go").alias("action"), user.alias("completion_condition"))
+    meta = F.struct(F.col("event_type").alias("skill_category"), user.alias("success_signal"))
+    full = F.to_json(F.struct(name, said, meta.alias("metadata"), F.array("event_type", F.lit("two")).alias("skill_overview"), F.array(step).alias("workflow")))
+    reply = F.when(k == 0, plain).when(k == 1, F.concat(F.lit("So:\n```json\n"), full, F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"x": 1} and '), plain, F.lit(" done }"))).when(k == 3, F.to_json(F.struct(name, F.lit("").alias("description")))).otherwise(F.concat(F.lit("cut "), F.substring(plain, 1, 15)))
+    out = table(spark, sf, "events").select("event_id", reply.alias("reply")).withColumn("c", cards.card(F.col("reply")))
+    return out.select("event_id", F.md5("c.card").alias("card"), F.col("c.error").alias("error"), cards.format_verdict(F.col("reply"))["score"].alias("score"))
+
+
+@query()
+def f52_outlines(spark, sf):
+    """The outline of each page: 64 elements and 2,000 characters at most, as the operator defines it."""
+    return table(spark, sf, "pages").select("page_id", pages.outline(F.col("html")).alias("outline"))

@@ -89,7 +89,7 @@ def schedule(duck):
 
 #: Queries that SQL cannot express, against their rows by brute force; those of TESTED have such a test of their own.
 BRUTE = {"b1_first_fit": first_fit, "b2_balanced_partitions": balanced, "b9_schedule": schedule}
-TESTED = {"f47_page_elements": "below", "f54_fuzzy_verdict": "test_answers", "m4_repetition_verdict": "test_answers", "f55_page_verdicts": "test_actions", "j9_page_refs": "test_actions"}
+TESTED = {"f47_page_elements": "below", "f52_outlines": "below", "f54_fuzzy_verdict": "test_answers", "m4_repetition_verdict": "test_answers", "f55_page_verdicts": "test_actions", "j9_page_refs": "test_actions"}
 
 
 @pytest.mark.parametrize("name", sorted(BRUTE))
@@ -144,3 +144,35 @@ def test_links_and_buttons_of_pages(spark, duck):
             seen[key] = r["nth"] + 1
         named = [" ".join(e["below"][:14]) for e in reader.all if e["tag"] == "a" and e["depth"] <= 20 and not {"role", "title", "aria_label", "name"} & set(e["attrs"])]
         assert [r["name"] for r in rows if r["role"] == "link"] == named
+
+
+def test_outlines_of_pages(spark, duck):
+    """Outlines by a walk over a tree that a second reading builds."""
+
+    def tree(html):
+        reader = _Page()
+        reader.feed(html or "")
+        nodes = [{**e, "kids": []} for e in reader.all]
+        above = []
+        for n in nodes:
+            del above[n["depth"] :]
+            if above:
+                above[-1]["kids"].append(n)
+            above.append(n)
+        return next((n for n in nodes if n["depth"] == 0 and n["tag"] == "html"), nodes[0] if nodes else None)
+
+    def said(n):
+        return n["own"] + [w for kid in n["kids"] for w in said(kid)]
+
+    def walk(n, out):
+        if len(out) < 64:
+            marks = [f"{k}={' '.join((n['attrs'].get(a) or '').split()).lower()}" for k, a in (("id", "backend_node_id"), ("role", "role")) if (n["attrs"].get(a) or "").strip()]
+            out.append(" ".join([" ".join(["<" + n["tag"], *marks]) + ">", *said(n)[:12]]))
+            for kid in n["kids"]:
+                walk(kid, out)
+        return out
+
+    got = {r["page_id"]: r["outline"] for r in QUERIES["f52_outlines"](spark, SF).collect()}
+    for page, html in duck.execute("SELECT page_id, html FROM pages").fetchall():
+        root = tree(html)
+        assert got[page] == (" ".join(walk(root, []))[:2000] if root else "<html>")
