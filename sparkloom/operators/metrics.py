@@ -60,3 +60,18 @@ def histogram_share(value: Column, total: Column, bins: int) -> Column:
 def threshold_rules(rules: dict[str, tuple[Column, str]]) -> Column:
     """Array of (rule, severity) that hold in a row."""
     return F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))) for name, (cond, severity) in rules.items()]), lambda x: x.isNotNull())
+
+
+def conditional_report(df: DataFrame, by: list[str], means: dict[str, tuple[Column | None, Column]], stats: dict[str, Column]) -> DataFrame:
+    """scope (the values of ``by``, or all), key, value: means under conditions, and mean, median, largest and least of others, over all rows and for each group, in one pass.
+
+    means: name to (condition or None, value); a mean over no row is null and has no row. stats: name to value.
+    """
+    aggregates = [F.avg(value if held is None else F.when(held, value)).alias(name) for name, (held, value) in means.items()]
+    for name, value in stats.items():
+        aggregates += [f(value).cast("double").alias(f"{name}/{kind}") for kind, f in (("mean", F.avg), ("median", F.median), ("max", F.max), ("min", F.min))]
+    sets = df.groupingSets([[], by], *by).agg(F.grouping_id().alias("_set"), *aggregates)
+    scope = F.when(F.col("_set") > 0, "all").otherwise(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by]))
+    names = [*means, *(f"{n}/{k}" for n in stats for k in ("mean", "median", "max", "min"))]
+    wide = sets.select(scope.alias("scope"), *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    return wide.unpivot(["scope"], names, "key", "value").where("value IS NOT NULL")

@@ -33,14 +33,14 @@ def f28_first_annotation(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, text, replace(text, chr(10), ' ') AS flat, length(text) AS n FROM documents WHERE length(text) >= 60),
-    s AS (SELECT *, unnest([substr(flat, n // 2, 20), substr(flat, n // 3, 20)]) AS s, unnest([1, 2]) AS k FROM d), p AS (SELECT *, strpos(flat, s) AS place FROM s),
+    """WITH d AS (SELECT doc_id, text, replace(text, chr(10), ' ') AS flat, length(text) AS n FROM documents WHERE text <> ''),
+    s AS (SELECT *, unnest([substr(flat, n // 2 + 1, 20), substr(flat, n // 3 + 1, 20)]) AS s, unnest([1, 2]) AS k FROM d), p AS (SELECT *, strpos(flat, s) AS place FROM s),
     l AS (SELECT doc_id, k, trim(reverse(split_part(reverse(left(text, place - 1)), chr(10), 1)) || substr(text, place, length(s)) || split_part(substr(text, place + length(s)), chr(10), 1), ' ') AS line FROM p),
     u AS (SELECT doc_id, line, min(k) AS k FROM l GROUP BY doc_id, line) SELECT doc_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY k)) AS lines FROM u GROUP BY doc_id"""
 )
 def f33_enclosing_lines(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) >= 60").select("doc_id", "text", F.replace("text", F.lit("\n"), F.lit(" ")).alias("flat"), F.length("text").alias("n"))
-    snippets = F.array(*[F.substring("flat", F.floor(F.col("n") / k).cast("int"), F.lit(20)) for k in (2, 3)])
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", "text", F.replace("text", F.lit("\n"), F.lit(" ")).alias("flat"), F.length("text").alias("n"))
+    snippets = F.array(*[F.substring("flat", F.floor(F.col("n") / k).cast("int") + 1, F.lit(20)) for k in (2, 3)])
     lines = d.select("doc_id", X.enclosing_lines(F.col("text"), snippets).alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("lines"))
 

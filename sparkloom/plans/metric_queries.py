@@ -248,3 +248,30 @@ def g45_threshold_rules(spark, sf):
 @query(f"SELECT user_id, CASE WHEN n > 80 AND utilisation > 20 THEN 'main' WHEN n > 60 THEN 'side' ELSE 'idle' END AS role FROM ({_STREAM})")
 def g46_stream_role(spark, sf):
     return _streams(spark, sf).select("user_id", F.when((F.col("n") > 80) & (F.col("utilisation") > 20), "main").when(F.col("n") > 60, "side").otherwise("idle").alias("role"))
+
+
+_EPISODES = "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS steps, count(*) FILTER (value <= 100) AS correct, bool_and(value <= 100)::INT AS won, sum(value) AS reward, max(length(event_type)) AS longest, min_by(event_type, event_id) AS task FROM events GROUP BY ALL"
+_REPORTED = {
+    "episodes/reward": "avg(reward)", "episodes/won": "avg(won)", "episodes/won_reward": "avg(CASE WHEN won = 1 THEN reward END)", "episodes/lost_reward": "avg(CASE WHEN won = 0 THEN reward END)", "steps/won": "avg(CASE WHEN won = 1 THEN steps END)", "steps/lost": "avg(CASE WHEN won = 0 THEN steps END)",
+    "episodes/partial": "avg(CASE WHEN won = 0 THEN (correct > 0)::INT END)", "steps/accuracy": "avg(correct / steps)", "steps/last_right": "avg(CASE WHEN steps > 1 THEN correct / steps END)", "episodes/long": "avg((steps >= 5)::INT)",
+}
+_FOUR = {f"{name}/{kind}": f"{f}({column})" for name, column in (("steps", "steps"), ("correct", "correct"), ("reward", "reward"), ("longest", "longest")) for kind, f in (("mean", "avg"), ("median", "median"), ("max", "max"), ("min", "min"))}
+
+
+@query(
+    f"WITH e AS ({_EPISODES}) " + " UNION ALL ".join(f"SELECT {scope} AS scope, '{name}' AS key, round(({f})::DOUBLE, 5) AS value FROM e {group} HAVING ({f}) IS NOT NULL" for scope, group in (("'all'", ""), ("task", "GROUP BY task")) for name, f in (_REPORTED | _FOUR).items())
+)
+def g15_episode_report(spark, sf):
+    """Also g14: conditional means and four statistics of episodes (a user's day), over all and by kind of task: success, rewards and steps of won and lost ones, accuracy of steps."""
+    c = F.col
+    right = F.col("value") <= 100
+    e = table(spark, sf, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(
+        F.count("*").alias("steps"), F.count_if(right).alias("correct"), F.min(right.cast("int")).alias("won"), F.sum("value").alias("reward"), F.max(F.length("event_type")).alias("longest"), F.min_by("event_type", "event_id").alias("task"),
+    )
+    won, lost, share = c("won") == 1, c("won") == 0, c("correct") / c("steps")
+    means = {
+        "episodes/reward": (None, c("reward")), "episodes/won": (None, c("won")), "episodes/won_reward": (won, c("reward")), "episodes/lost_reward": (lost, c("reward")), "steps/won": (won, c("steps")), "steps/lost": (lost, c("steps")),
+        "episodes/partial": (lost, (c("correct") > 0).cast("int")), "steps/accuracy": (None, share), "steps/last_right": (c("steps") > 1, share), "episodes/long": (None, (c("steps") >= 5).cast("int")),
+    }
+    out = M.conditional_report(e, ["task"], means, {n: c(n) for n in ("steps", "correct", "reward", "longest")})
+    return out.select("scope", "key", F.round("value", 5).alias("value"))
