@@ -104,6 +104,23 @@ def parse_model_action(text: Column) -> Column:
     return let(squeeze(text), parts)
 
 
+def web_action(text: Column, tail: int = 200) -> Column:
+    """op, ref, value and valid of the first action tag; valid needs op and ref. Without a tag the text's last characters are read, and nothing is valid."""
+    tagged = text.rlike(r"(?is)<action>.*?</action>")
+    said = F.when(tagged, F.regexp_extract(text, r"(?is)<action>(.*?)</action>", 1)).otherwise(F.right(text, F.lit(tail)))
+    return let(parse_model_action(said), lambda a: F.struct(a["op"].alias("op"), a["ref"].alias("ref"), a["value"].alias("value"), (tagged & (a["op"] != "") & (a["ref"] != "")).alias("valid")))
+
+
+def unwrapped(values: Column) -> Column:
+    """The one value of a list of one, null for others."""
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def admissible(actions: Column, without: str = "help") -> Column:
+    """A list of actions as text, each in quotes on its own line, without the one that does nothing."""
+    return F.array_join(F.transform(F.filter(actions, lambda a: a != without), lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ",\n ")
+
+
 def type_label(domain: Column, subdomain: Column) -> Column:
     d, s = F.nullif(F.trim(domain), F.lit("")), F.nullif(F.trim(subdomain), F.lit(""))
     return F.coalesce(F.nullif(F.concat_ws("/", d, s), F.lit("")), F.lit("unknown"))

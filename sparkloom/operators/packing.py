@@ -58,6 +58,16 @@ def largest_differencing(lengths: list[int], parts: int, equal: bool = False) ->
     return out
 
 
+def greedy(lengths: list[int], parts: int) -> list[int]:
+    """Part of each length: the longest first, each to the part with the least sum (the first of equal ones)."""
+    out, heap = [0] * len(lengths), [(0, k) for k in range(parts)]
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        total, k = heapq.heappop(heap)
+        out[i] = k
+        heapq.heappush(heap, (total + lengths[i], k))
+    return out
+
+
 def _grouped(df: DataFrame, by: list[str], order: str, size: str, column: str, place) -> DataFrame:
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, order, size)) + f", {column} int"
@@ -78,6 +88,10 @@ def balanced(df: DataFrame, by: list[str], order: str, size: str, parts: int, eq
     return _grouped(df, by, order, size, "part", lambda n: largest_differencing(n, parts, equal))
 
 
+def greedily(df: DataFrame, by: list[str], order: str, size: str, parts: int) -> DataFrame:
+    return _grouped(df, by, order, size, "part", lambda n: greedy(n, parts))
+
+
 def schedule(df: DataFrame, step: str, rank: str, order: str, size: str, capacity: int) -> DataFrame:
     """step, rank, order, size, micro_batches and micro_batch: every rank of a step has as many micro-batches as the one with the most first-fit bins, and its rows balanced over them.
 

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkloom.functions import cards, compaction, prompts
-from sparkloom.operators import pages
+from sparkloom.functions import text as X
+from sparkloom.operators import packing, pages
 from sparkloom.plans.registry import query, table
-from sparkloom.sources import vectors
+from sparkloom.plans.relational_queries import batches
+from sparkloom.sources import files, vectors
 from sparkloom.sources.shared import shared_dir
 
 
@@ -108,3 +110,45 @@ def f39_cards(spark, sf):
 def f52_outlines(spark, sf):
     """The outline of each page: 64 elements and 2,000 characters at most, as the operator defines it."""
     return table(spark, sf, "pages").select("page_id", pages.outline(F.col("html")).alias("outline"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN k IN (0, 1) THEN 'CLICK' WHEN k = 2 THEN 'TYPE' ELSE '' END AS op, CASE WHEN k < 3 THEN 'e' || conv_id ELSE '' END AS ref,
+    CASE k WHEN 0 THEN '' WHEN 3 THEN 'look at e1' WHEN 4 THEN trim(regexp_replace(right(text, 200), '\\s+', ' ', 'g')) ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS value, k < 3 AS valid FROM (SELECT *, (conv_id + turn) % 5 AS k FROM conversations)"""
+)
+def f43_web_action(spark, sf):
+    """Actions in tags with whole turns as values, tags without an action, and turns without a tag."""
+    k, ref = (F.col("conv_id") + F.col("turn")) % 5, F.concat(F.lit("e"), "conv_id")
+    said = F.when(k == 0, F.concat(F.lit("hover "), ref)).when(k == 1, F.concat(F.lit("\n Click "), ref, F.lit(": "), "text")).when(k == 2, F.concat(F.lit("TYPE "), ref, F.lit(" | "), "text")).otherwise("look at e1")
+    text = F.when(k == 4, F.col("text")).otherwise(F.concat(F.lit("Hm. <ACTION>"), said, F.lit("</action> <action>CLICK e0</action>")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.web_action(text).alias("a")).select("conv_id", "turn", "a.*")
+
+
+@query("SELECT user_id, CASE WHEN count(*) = 1 THEN min(event_type) END AS only, md5(string_agg(chr(39) || event_type || chr(39), ',' || chr(10) || ' ' ORDER BY event_id) FILTER (event_type <> 'error')) AS listed FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0")
+def f64_admissible(spark, sf):
+    """Lists of one unwrapped, and lists as text without what does nothing."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("t"))
+    out = e.select("user_id", X.unwrapped(F.col("t")).alias("only"), X.admissible(F.col("t"), "error").alias("listed"))
+    return out.where("listed <> ''").select("user_id", "only", F.md5("listed").alias("listed"))
+
+
+@query("SELECT doc_id FROM documents WHERE left(md5('3:' || doc_id), 1) = '0'")
+def p3_log_sample(spark, sf):
+    """One row in sixteen for the log, by a digest of its id, so that every run shows the same."""
+    return table(spark, sf, "documents").select("doc_id").where(F.left(F.md5(F.concat(F.lit("3:"), F.col("doc_id").cast("string"))), F.lit(1)) == "0")
+
+
+@query("SELECT count(*) - 25 AS \"offset\", 0::BIGINT AS epoch, 7 AS rollout FROM documents UNION ALL SELECT 40, 1, 8 FROM documents WHERE doc_id = 0")
+def s6_source_state(spark, sf):
+    """A cursor's places kept after two rollouts, the first of them twice, and read again."""
+    n, path = table(spark, sf, "documents").count(), f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    for rollout, offset, epoch in ((7, 1, 1), (8, 40, 1), (7, n - 25, 0)):
+        files.save_state(spark, path, rollout, offset=offset, epoch=epoch)
+    kept = [files.load_state(spark, path, 7), files.load_state(spark, path)]
+    return spark.createDataFrame([(r["offset"], r["epoch"], int(r["rollout"])) for r in kept], "offset long, epoch long, rollout int")
+
+
+@query()
+def b4_greedy_parts(spark, sf):
+    """Four parts of each training batch, the longest documents first, each to the least part."""
+    return packing.greedily(batches(spark, sf), ["batch"], "doc_id", "n_chars", 4)

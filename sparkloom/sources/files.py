@@ -139,3 +139,17 @@ def write_index(df: DataFrame, file: list[str], order: list[str]) -> DataFrame:
 def look_up(index: DataFrame, asked: DataFrame, file: list[str], place: str) -> DataFrame:
     """The row of each asked (file, place); places that no file has give none."""
     return asked.join(index, [*file, place])
+
+
+def save_state(spark: SparkSession, path: str, rollout: int, **places: int) -> None:
+    """Keeps where a source stands (offset, epoch, indices) after a rollout; saving a rollout again replaces what it kept."""
+    spark.createDataFrame([tuple(places.values())], ", ".join(f"{k} long" for k in places)).coalesce(1).write.mode("overwrite").parquet(f"{path}/rollout={rollout}")
+
+
+def load_state(spark: SparkSession, path: str, rollout: int | None = None) -> dict[str, int]:
+    """What was kept after a rollout, or after the last one. Nothing kept: an error."""
+    held = spark.read.parquet(path)
+    row = held.where(F.col("rollout") == rollout).first() if rollout is not None else held.orderBy(F.desc("rollout")).first()
+    if row is None:
+        raise ValueError(f"nothing was kept after rollout {rollout}")
+    return row.asDict()

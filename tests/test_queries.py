@@ -78,6 +78,16 @@ def balanced(duck):
             yield batch, doc, n, part
 
 
+def greedy(duck):
+    for batch, rows in batches(duck).items():
+        sums, part = [0] * 4, {}
+        for doc, n in sorted(rows, key=lambda r: -r[1]):
+            part[doc] = sums.index(min(sums))
+            sums[part[doc]] += n
+        for doc, n in rows:
+            yield batch, doc, n, part[doc]
+
+
 def schedule(duck):
     for step, rows in batches(duck).items():
         ranks = [[r for r in rows if r[0] % 4 == k] for k in range(4)]
@@ -88,7 +98,7 @@ def schedule(duck):
 
 
 #: Queries that SQL cannot express, against their rows by brute force; those of TESTED have such a test of their own.
-BRUTE = {"b1_first_fit": first_fit, "b2_balanced_partitions": balanced, "b9_schedule": schedule}
+BRUTE = {"b1_first_fit": first_fit, "b2_balanced_partitions": balanced, "b4_greedy_parts": greedy, "b9_schedule": schedule}
 TESTED = {"f47_page_elements": "below", "f52_outlines": "below", "f54_fuzzy_verdict": "test_answers", "m4_repetition_verdict": "test_answers", "f55_page_verdicts": "test_actions", "j9_page_refs": "test_actions"}
 
 
