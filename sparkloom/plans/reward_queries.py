@@ -44,7 +44,7 @@ def r10_same_roots(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", A.same_answer(given, F.concat(F.lit("\\sqrt{"), n, F.lit("}"))).alias("same"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), w) THEN 1.0 ELSE 0.0 END AS reward FROM (SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 'no more')), '[^a-z0-9]+', ' ', 'g')) AS all_words, split_part(all_words, ' ', 1) || ' ' || split_part(all_words, ' ', 2) AS w FROM conversations) WHERE NOT regexp_matches(text, '\\b[A-H]\\b|(?i)(?:answer|option|choice)\\s*(?:is|:)?\\s*[A-H]|[A-H]\\s*(?:is\\s*(?:the)?\\s*correct)')")
+@query("SELECT conv_id, turn, CASE WHEN contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), w) THEN 1.0 ELSE 0.0 END AS reward FROM (SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 'no more')), '[^a-z0-9]+', ' ', 'g')) AS all_words, split_part(all_words, ' ', 1) || ' ' || split_part(all_words, ' ', 2) AS w FROM conversations) WHERE NOT regexp_matches(text, '(^|[^\\p{L}\\p{M}\\p{N}_])[A-H]([^\\p{L}\\p{M}\\p{N}_]|$)') AND NOT list_has_any(list_transform(['(?i)(?:answer|option|choice)\\s*(?:is|:)?\\s*([A-Z])', '(?i)([A-Z])\\s*(?:is\\s*(?:the)?\\s*correct)', '(?i)final\\s*(?:answer|option)\\s*(?:is|:)?\\s*([A-Z])'], lambda p: upper(regexp_extract(text, p, 1))), ['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H'])")
 def r15_choice_texts(spark, sf):
     """Replies that name no letter: the reward is whether they hold the words with which the next turn begins."""
     from pyspark.sql import Window
