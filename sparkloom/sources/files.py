@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import written
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file with a column _corrupt_record that is null for good lines; blank lines are skipped."""
@@ -23,11 +25,31 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     path, rows = split_slice(path)
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
-    elif path.endswith(".jsonl") and schema:
-        df = good_rows(read_jsonl(spark, path, schema))
-    else:
-        raise ValueError(f"unsupported file: {path}")
-    return df if rows is None else df.offset(rows[0]).limit(rows[1] - rows[0])
+        return df if rows is None else row_slice(_split_rows(df), *rows)
+    if path.endswith(".jsonl") and schema:
+        df = read_jsonl(spark, path, schema)
+        # Written, as lines that can't be read are only known when all columns are.
+        return good_rows(df) if rows is None else row_slice(written(good_rows(_split_rows(df)), "lines"), *rows)
+    raise ValueError(f"unsupported file: {path}")
+
+
+def _split_rows(df: DataFrame) -> DataFrame:
+    """A scan with the file and the start of the split that each row comes from, and a number that ascends inside it."""
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+
+
+def row_slice(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """The rows of _split_rows() from place ``first`` up to ``last``, in order: files by their paths, rows as they stand in them.
+
+    A scan deals the largest files out first and cuts files into splits, so a plain limit takes rows from anywhere. Splits
+    are counted, and only those that hold rows of the slice are numbered, each by itself.
+    """
+    ends = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"))
+    # A row for each split.
+    held = ends.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_from")) - F.col("_n")).where((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_file", "_from").orderBy("_at")) - 1 + F.col("_before")
+    placed = rows.join(F.broadcast(held), ["_file", "_from"]).withColumn("_place", place)
+    return placed.where(F.col("_place").between(first, last - 1)).orderBy("_place").drop("_file", "_from", "_at", "_before", "_place")
 
 
 def split_slice(path: str) -> tuple[str, tuple[int, int] | None]:
@@ -126,8 +148,6 @@ def write_index(df: DataFrame, file: list[str], order: list[str]) -> DataFrame:
 
     Rows are numbered inside ranges and raised by the counts of the ranges before, so a file of any size needs no task of its own.
     """
-    from sparkloom.sources.shared import written
-
     keys = [*file, *order]
     ranged = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "index")
     ends = ranged.groupBy(*file, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_own"))

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,25 @@ def test_sources(spark, tmp_path):
         files.read_any(spark, "x.csv")
 
 
+def test_slices_follow_the_order_of_files(spark, tmp_path):
+    """Later files are larger, and some are cut into splits; slices inside a file, over several, of nothing, and beyond the end. Also lines that can't be read."""
+    path = tmp_path / "t.parquet"
+    path.mkdir()
+    sizes, at = [5, 40, 3, 3000], 0
+    for k, n in enumerate(sizes):
+        pq.write_table(pa.table({"id": list(range(at, at + n)), "pad": ["x" * 50 + str(i) for i in range(n)]}), path / f"part-{k}.parquet", row_group_size=500)
+        at += n
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"id": {i}}}\nno\n' for i in range(20)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        for a, b in ((3, 7), (0, 60), (44, 50), (47, 1700), (3040, 4000), (7, 7), (9000, 9001)):
+            assert [r["id"] for r in files.read_any(spark, f"{path}@[{a}:{b}]").collect()] == list(range(a, min(b, at))), (a, b)
+        assert [r["id"] for r in files.read_any(spark, f"{tmp_path}/a.jsonl@[3:9]", "id long").collect()] == list(range(3, 9))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 def test_cursor_wraps_into_the_next_epoch(spark):
     df = spark.range(5).withColumnRenamed("id", "ord")
     rows, offset, epochs = files.cursor(df, "ord", 3, 4, seed=7)
