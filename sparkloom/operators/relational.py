@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +34,164 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def unit(a: Column) -> Column:
-    norm = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / norm)
-
-
-#: Rows of a query set that are broadcast at once.
+#: Rows of a query set that are broadcast at once; queries and rows of one product of matrices.
 MOST_QUERIES = 20_000
+QUERY_BLOCK, ROW_BLOCK = 512, 2048
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str, descending: bool = True) -> DataFrame:
-    """Exact nearest rows of each query by cosine: query_id, row_id, score, rank. Ties: the smaller row id.
+    """Exact nearest rows of each query by cosine: query_id, row_id, score, rank. Ties: the smaller row id. A null vector, or one with a null inside, has no score and comes last; vectors of different lengths do not meet.
 
     The rows are cut into partitions and every query meets every partition; each
     partition keeps its k best, which are ranked again. The stated query set is
     counted and broadcast in blocks of MOST_QUERIES rows at most.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
-    r = rows.select(F.col(row_id).alias("row_id"), unit(F.col(vector)).alias("_r"))
-    scored = reduce(DataFrame.unionByName, [r.join(F.broadcast(part), how="cross").select("query_id", "row_id", F.round(dot(F.col("_q"), F.col("_r")), 9).alias("score")) for part in blocks(q, "query_id", MOST_QUERIES)])
-    order = [F.desc("score") if descending else F.asc("score"), F.asc("row_id")]
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    r = rows.select(F.col(row_id).alias("row_id"), F.col(vector).cast("array<double>").alias("v"))
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    spark = rows.sparkSession
+    dealt = r.where(whole).repartition(spark.sparkContext.defaultParallelism, "row_id")
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("query_id", q), ("row_id", r))}
+    found = []
+    for part in blocks(q.where(whole), "query_id", MOST_QUERIES):
+        asked = part.toArrow()  # MOST_QUERIES rows at most
+        shared = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), asked.column("v").combine_chunks()))
+        found.append(dealt.mapInArrow(_best(shared, k, descending), f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, score double"))
+    scored = reduce(DataFrame.unionByName, found)
+    # Without a score the smallest ids are enough.
+    none = F.lit(None).cast("double").alias("score")
+    least = lambda df: F.broadcast(df.select("row_id").orderBy("row_id").limit(k))
+    scored = scored.unionByName(q.where(whole).select("query_id").join(least(r.where(~whole)), how="cross").select("query_id", "row_id", none))
+    scored = scored.unionByName(q.where(~whole).select("query_id").join(least(r), how="cross").select("query_id", "row_id", none))
+    order = [F.desc_nulls_last("score") if descending else F.asc_nulls_last("score"), F.asc("row_id")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
 
+def _best(shared, k: int, descending: bool):
+    """For mapInArrow over (row_id, v): query_id, row_id, score of the k best rows of each query in a partition.
+
+    Products of matrices only say which rows may be among the best; these are scored value after value, so that equal vectors
+    have equal scores wherever they stand.
+    """
+    def lengths(m: np.ndarray) -> np.ndarray:
+        return np.maximum(np.sqrt(summed(m, m)), 1e-12)
+
+    def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(max(len(a), len(b)))
+        for j in range(a.shape[1]):
+            out += a[:, j] * b[:, j]
+        return out
+
+    def matrices(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By number of dimensions: places, and the vectors there."""
+        if not len(vectors):
+            return {}
+        sizes, values, starts = np.diff(vectors.offsets.to_numpy()), vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
+        out = {}
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            out[int(d)] = at, values[starts[at][:, None] + np.arange(d)]
+        return out
+
+    def distinct(m: np.ndarray) -> np.ndarray:
+        """Places of rows (in order of their ids) that fewer than k equal ones stand before."""
+        seen: Counter = Counter()
+        keep = np.zeros(len(m), bool)
+        for i in range(len(m)):
+            key = m[i].tobytes()
+            keep[i] = seen[key] < k
+            seen[key] += 1
+        return np.flatnonzero(keep)
+
+    def run(batches):
+        ids, vectors = shared.value
+        known = {d: (at, m, m / lengths(m)[:, None], lengths(m)) for d, (at, m) in matrices(vectors).items()}
+        # Per query what is best so far: keys to be sorted up (the score or its negative), ids, scores.
+        key, score = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.nan)
+        rank = np.full((len(ids), k), -1, np.int64)  # places in held
+        held: list = []
+
+        def meet(row_ids: pa.Array, rows: pa.ListArray) -> None:
+            nonlocal held
+            order = pc.sort_indices(row_ids)
+            row_ids, rows = row_ids.take(order), rows.take(order)
+            for d, (at, m) in matrices(rows).items():
+                if d not in known:
+                    continue
+                few = distinct(m)
+                at, m = at[few], m[few]
+                size = lengths(m)
+                scaled = (m / size[:, None]).T
+                q_at, q, q_scaled, q_size = known[d]
+                new = []
+                for start in range(0, len(q_at), QUERY_BLOCK):
+                    own = slice(start, start + QUERY_BLOCK)
+                    near = q_scaled[own] @ scaled
+                    # The k-th best so far, and a little more than products and rounding may be off.
+                    bound = key[q_at[own], k - 1][:, None] + 1e-8
+                    if not np.isfinite(bound).all() and near.shape[1] > k:
+                        own_keys = np.nan_to_num(-near if descending else near, nan=-np.inf if descending else np.inf)
+                        bound = np.minimum(bound, np.partition(own_keys, k - 1, axis=1)[:, k - 1 : k] + 1e-8)
+                    a, b = np.nonzero(~((-near if descending else near) > bound))
+                    for part in range(0, len(a), 1 << 18):
+                        own_a, own_b = a[part : part + (1 << 18)] + start, b[part : part + (1 << 18)]
+                        exact = summed(q[own_a], m[own_b]) / (q_size[own_a] * size[own_b])
+                        exact = np.sign(exact) * np.floor(np.abs(exact) * 1e9 + 0.5) / 1e9
+                        new.append((q_at[own_a], at[own_b], exact))
+                if new:
+                    keep_best(*(np.concatenate(x) for x in zip(*new, strict=True)), row_ids)
+
+        def keep_best(q_new, row_new, exact, row_ids) -> None:
+            """Of the rows so far and the new ones the best of each query that has new ones."""
+            nonlocal held
+            touched = np.unique(q_new)
+            old_q = np.repeat(touched, k)
+            old_rank, old_score = rank[touched].ravel(), score[touched].ravel()
+            real = old_rank >= 0
+            base = len(held)
+            rows_used, back = np.unique(row_new, return_inverse=True)
+            held.extend(row_ids.take(pa.array(rows_used)).to_pylist())
+            q_all = np.concatenate([old_q[real], q_new])
+            r_all = np.concatenate([old_rank[real], back + base])
+            s_all = np.concatenate([old_score[real], exact])
+            # Ids in order, as they may be of any kind.
+            used, where = np.unique(r_all, return_inverse=True)
+            names = pa.array([held[i] for i in used], row_ids.type)
+            places = np.empty(len(used), np.int64)
+            places[pc.sort_indices(names).to_numpy()] = np.arange(len(used))
+            # A score that is no number counts as the greatest.
+            sort_key = np.where(np.isnan(s_all), np.inf, s_all)
+            sort_key = -sort_key if descending else sort_key
+            order = np.lexsort((places[where], sort_key, q_all))
+            q_all, r_all, s_all, sort_key = q_all[order], r_all[order], s_all[order], sort_key[order]
+            first = np.flatnonzero(np.concatenate([[True], q_all[1:] != q_all[:-1]]))
+            nth = np.arange(len(q_all)) - np.repeat(first, np.diff(np.append(first, len(q_all))))
+            best = nth < k
+            q_all, r_all, s_all, sort_key, nth = q_all[best], r_all[best], s_all[best], sort_key[best], nth[best]
+            key[touched], score[touched], rank[touched] = np.inf, np.nan, -1
+            key[q_all, nth], score[q_all, nth], rank[q_all, nth] = sort_key, s_all, r_all
+            if len(held) > 4 * rank.size + ROW_BLOCK:
+                left, new_place = np.unique(rank[rank >= 0], return_inverse=True)
+                rank[rank >= 0] = new_place
+                held = [held[i] for i in left]
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for start in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(start, ROW_BLOCK)
+                meet(part.column(0), part.column(1).take(pa.array(range(part.num_rows))))
+        if kind is None:
+            return
+        q_at, nth = np.nonzero(rank >= 0)
+        for start in range(0, len(q_at), 50_000):
+            a, b = q_at[start : start + 50_000], nth[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array([held[i] for i in rank[a, b]], kind), pa.array(score[a, b])], ["query_id", "row_id", "score"])
+
+    return run
+
+
 def blocks(queries: DataFrame, key: str, rows_per_block: int) -> list[DataFrame]:
     """The queries in parts of a bounded number of rows, by hash of the key."""
     n = max(1, -(-queries.count() // rows_per_block))

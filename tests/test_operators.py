@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -55,6 +57,37 @@ def test_top_k_breaks_ties_by_id(spark):
     assert got == [(0, 1), (2, 2), (4, 3)]
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_top_k_equals_brute_force(spark, monkeypatch, descending):
+    """Many copies of few vectors, small blocks, vectors of nothing, null vectors; ids of text. Queries and rows in several blocks."""
+    monkeypatch.setattr(R, "MOST_QUERIES", 20)
+    rnd = random.Random(3)
+    kinds = [[float(rnd.randint(-3, 3)) for _ in range(5)] for _ in range(60)] + [[0.0] * 5, [1.0, 0.0, 0.0, 0.0, 0.0]]
+    rows = [(f"r{i:04}", rnd.choice(kinds) if i % 3 else kinds[-1]) for i in range(900)] + [("n1", None), ("n0", [1.0, None, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = R.top_k(df.where("id < 'r0040' AND id >= 'r' OR id = 'n1'"), df, 4, "id", "id", "v", descending).collect()
+
+    def score(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return round(dot(a, b) / (max(dot(a, a) ** 0.5, 1e-12) * max(dot(b, b) ** 0.5, 1e-12)), 9)
+
+    known = {i: v for i, v in rows if v and None not in v}
+    for q in [f"r{i:04}" for i in range(40)]:
+        want = sorted((-score(known[q], v) if descending else score(known[q], v), i) for i, v in known.items())[:4]
+        assert [(r["row_id"], abs(r["score"])) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, pytest.approx(abs(s), abs=2e-9)) for s, i in want]
+    assert [(r["row_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "n1"] == [("n0", None), ("n1", None), ("r0000", None), ("r0001", None)]
+    assert len(got) == 41 * 4
+
+
+def test_products_of_vectors_do_not_grow_with_expressions(spark):
+    """3,000 queries against 6,000 rows: 18 million pairs; by expressions for each pair a minute and more."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 32)))], "id long, v array<double>")
+    began = time.time()
+    assert R.top_k(df.where("id % 2 = 0"), df, 2, "id", "id", "v").count() == 6000
+    assert time.time() - began < 30
+
+
 def test_margin_filter(spark):
     df = spark.createDataFrame([("a", 1, 0.9, 10), ("a", 2, 0.1, 10), ("b", 1, 0.5, 4)], "g string, c int, p double, n int")
     got = {r["g"]: (r["keep"], r["z"]) for r in R.margin_filter(df, ["g"], "c", "p", "n").collect()}
