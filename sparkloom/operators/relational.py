@@ -26,6 +26,23 @@ def lookup(left: DataFrame, right: DataFrame, key: Column, right_key: Column, or
     return left.withColumn("_key", key).join(first, "_key", "left").drop("_key")
 
 
+def longest_shared_prefix(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
+    """key and the longest string that its row's name and another row's begin with (of the rows with one key the longest); null if there is none.
+
+    A prefix that one row alone has tells which row that is, so the longest shared one is a character shorter than a row's
+    shortest own one, or the whole name if it has none. Only own prefixes come back to their rows: one that very many
+    names share is a count, and meets nobody.
+    """
+    rows = written(df.select(F.col(key).alias("_key"), F.col(name).alias("_name")).withColumn("_row", F.monotonically_increasing_id()), "names")
+    lengths = F.when(F.length("_name") > 0, F.sequence(F.lit(1), F.length("_name")))
+    cut = rows.select("_row", "_name", F.explode(lengths).alias("_i")).select("_row", "_i", F.expr("left(_name, _i)").alias("_prefix"))
+    own = cut.groupBy("_prefix").agg(F.count("*").alias("_n"), F.min("_row").alias("_row"), F.min("_i").alias("_i")).where("_n = 1")
+    shortest = own.groupBy("_row").agg(F.min("_i").alias("_i"))
+    shared = F.nullif(F.when(F.col("_i").isNull(), F.col("_name")).otherwise(F.expr("left(_name, _i - 1)")), F.lit(""))
+    found = rows.join(shortest, "_row", "left").select(F.col("_key").alias(key), shared.alias(out))
+    return found.groupBy(key).agg(F.max_by(out, F.length(out)).alias(out))
+
+
 def normalised_key(column: str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?U)\s+", " "))
 

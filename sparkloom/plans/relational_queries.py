@@ -64,10 +64,7 @@ def j4_fan_out(spark, sf):
 @query("WITH k AS (SELECT key FROM (SELECT unnest(list_transform(range(1, length(p_name) + 1), lambda i: left(p_name, i))) AS key FROM part) GROUP BY key HAVING count(*) > 1) SELECT p_partkey, max_by(key, length(key)) AS prefix FROM part LEFT JOIN k ON starts_with(p_name, key) GROUP BY p_partkey")
 def j5_longest_shared_prefix(spark, sf):
     """j5 with keys from all parts and of all lengths: what at least two names start with. Every part has a row."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    cut = p.select("p_partkey", "p_name", F.explode_outer(F.when(F.length("p_name") > 0, F.sequence(F.lit(1), F.length("p_name")))).alias("i")).withColumn("key", F.expr("left(p_name, i)"))
-    keys = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("shared"))
-    return cut.join(keys, "key", "left").groupBy("p_partkey").agg(F.max_by(F.when(F.col("shared"), F.col("key")), F.when(F.col("shared"), F.col("i"))).alias("prefix"))
+    return R.longest_shared_prefix(table(spark, sf, "part"), "p_partkey", "p_name", "prefix")
 
 
 @query("SELECT conv_id, coalesce(max(CASE WHEN role = 'user' THEN length(text) END), -1) AS with_user, coalesce(max(CASE WHEN role = 'assistant' THEN length(text) END), -1) AS with_assistant FROM conversations GROUP BY conv_id")

@@ -88,6 +88,24 @@ def test_products_of_vectors_do_not_grow_with_expressions(spark):
     assert time.time() - began < 30
 
 
+def test_longest_shared_prefixes(spark):
+    """Equal names, names inside names, none shared, empty and null ones, a repeated key; and a prefix of all names meets no join of all rows."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choices("ab\u00e9", k=rnd.randint(0, 6)))) for i in range(60)] + [(100, None), (101, "q"), (102, "long name"), (103, "long name"), (104, "long name too"), (7, "long nam"), (None, "qq")]
+    df = spark.createDataFrame(rows, "k long, name string")
+    want = {}
+    for at, (k, name) in enumerate(rows):
+        others = [n for j, (_, n) in enumerate(rows) if j != at and n]
+        best = next((name[:i] for i in range(len(name or ""), 0, -1) if any(n.startswith(name[:i]) for n in others)), None)
+        want[k] = max(want.get(k), best, key=lambda x: len(x or ""))
+    out = R.longest_shared_prefix(df, "k", "name", "prefix")
+    assert {r["k"]: r["prefix"] for r in out.collect()} == want
+    # What is joined to the rows are their own prefixes: a row each at most.
+    hot = spark.range(3000).select("id", F.concat(F.lit("same"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("")).alias("name"))
+    plan = R.longest_shared_prefix(hot, "id", "name", "prefix")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "_prefix" not in plan.split("Join")[1].split("\n")[0]
+
+
 def test_margin_filter(spark):
     df = spark.createDataFrame([("a", 1, 0.9, 10), ("a", 2, 0.1, 10), ("b", 1, 0.5, 4)], "g string, c int, p double, n int")
     got = {r["g"]: (r["keep"], r["z"]) for r in R.margin_filter(df, ["g"], "c", "p", "n").collect()}
