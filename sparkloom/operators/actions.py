@@ -1,8 +1,8 @@
 """Actions on page elements: which elements a step expects, and whether an action is the expected one.
 
 A step names its element by node ids or, where it has none, by a role and a text. The
-similarity join over roles and texts runs only for steps without ids, and only inside
-a page and a role that can stand for the expected one. Texts match if one contains the
+similarity join over roles and texts runs only for steps without ids, over distinct roles and
+texts, and only inside a page and a role that can stand for the expected one. Texts match if one contains the
 other; only pairs that lengths allow come to the matching-block ratio, in Arrow batches.
 """
 
@@ -57,6 +57,28 @@ def _plain_steps(steps: DataFrame, page: str, step: str) -> DataFrame:
     return rows.select(page, step, "ids", X.normal_op(F.col("_op")).alias("op"), "r.role", X.squeeze(F.col("r.target"), lower=True).alias("target"), value.alias("value"))
 
 
+def expected_classes(steps: DataFrame, elements: DataFrame, page: str = "page_id", step: str = "step", least: float | None = LEAST_RATIO) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What expected_refs() gives, not yet spread over the steps that mean the same: rows by id (page, step, ref), the other steps (page, step, role, target), and the elements of each kind of step (page, role, target, ref).
+
+    Steps of a page with one role and text are one kind, elements with one role and text another; only kinds are compared, and a text is compared once in a page.
+    """
+    plain = _plain_steps(steps, page, step)
+    rows = elements.select(page, "ref", X.squeeze(F.col("node_id")).alias("node"), X.squeeze(F.col("role"), lower=True).alias("role"), X.squeeze(F.col("text"), lower=True).alias("text"))
+    by_id = plain.select(page, step, F.explode("ids").alias("node")).join(rows, [page, "node"]).select(page, step, "ref")
+    rest = plain.where(F.size("ids") == 0).select(page, step, "role", "target")
+    # A null role is neither given nor empty, and fits nothing.
+    asked = rest.where("role IS NOT NULL").select(page, "role", "target").distinct().withColumn("wanted", F.when(F.col("role") != "", roles_for(F.col("role"))))
+    there = rows.select(page, "role", "text").distinct().withColumnRenamed("role", "has")
+    targets = asked.groupBy(page, "target").agg(F.flatten(F.collect_set("wanted")).alias("wanted"), F.bool_or(F.col("wanted").isNull()).alias("any"))
+    texts = there.groupBy(page, "text").agg(F.collect_set("has").alias("all"))
+    met = targets.join(texts, page).where(F.col("any") | F.arrays_overlap("wanted", "all")).where(texts_match(F.col("target"), F.col("text"), least)).select(page, "target", "text")
+    kinds = met.join(asked, [page, "target"]).join(there, [page, "text"]).where(F.col("wanted").isNull() | F.array_contains("wanted", F.col("has")))
+    # An element's role may be null, where any will do.
+    named = rows.select(F.col(page).alias("_page"), F.col("text").alias("_text"), F.col("role").alias("_has"), "ref")
+    fits = kinds.join(named, (F.col(page) == F.col("_page")) & (F.col("text") == F.col("_text")) & F.col("has").eqNullSafe(F.col("_has")))
+    return by_id, rest, fits.select(page, "role", "target", "ref")
+
+
 def expected_refs(steps: DataFrame, elements: DataFrame, page: str = "page_id", step: str = "step", least: float | None = LEAST_RATIO) -> DataFrame:
     """The elements that each step may mean: page, step, ref.
 
@@ -64,14 +86,8 @@ def expected_refs(steps: DataFrame, elements: DataFrame, page: str = "page_id",
     Steps with ids take the elements with these; the others the elements of a fitting role
     and text. An empty role or text fits all.
     """
-    plain = _plain_steps(steps, page, step)
-    rows = elements.select(page, "ref", X.squeeze(F.col("node_id")).alias("node"), X.squeeze(F.col("role"), lower=True).alias("role"), X.squeeze(F.col("text"), lower=True).alias("text"))
-    by_id = plain.select(page, step, F.explode("ids").alias("node")).join(rows, [page, "node"]).select(page, step, "ref")
-    rest = plain.where(F.size("ids") == 0)
-    by_role = rest.where("role <> ''").select(page, step, "target", F.explode(roles_for(F.col("role"))).alias("role")).join(rows, [page, "role"])
-    any_role = rest.where("role = ''").select(page, step, "target").join(rows, page)
-    met = by_role.select(page, step, "target", "ref", "text").unionByName(any_role.select(page, step, "target", "ref", "text"))
-    return by_id.unionByName(met.where(texts_match(F.col("target"), F.col("text"), least)).select(page, step, "ref"))
+    by_id, rest, fits = expected_classes(steps, elements, page, step, least)
+    return by_id.unionByName(rest.join(fits, [page, "role", "target"]).select(page, step, "ref"))
 
 
 def verdicts(actions: DataFrame, steps: DataFrame, elements: DataFrame, page: str = "page_id", step: str = "step", least: float | None = LEAST_RATIO) -> DataFrame:

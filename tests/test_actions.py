@@ -2,6 +2,7 @@ import difflib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import actions
 from sparkloom.plans import action_queries
@@ -38,6 +39,17 @@ def test_texts_and_roles(spark):
     assert out == [(1, True, "ok", "pos_candidates"), (2, False, "mismatch", "action_repr_fuzzy"), (2, True, "ok", "action_repr_fuzzy"), (3, False, "mismatch", "action_repr_fuzzy"), (4, False, "unknown_ref", "none"), (5, False, "invalid_action_format", "none"), (6, False, "invalid_action_format", "none")]
 
 
+def test_equal_steps_and_elements_are_compared_once(spark):
+    """2,000 steps of one text on a page with 2,000 elements of one role and text, one of them without a role: four million refs, and one pair of texts."""
+    elements = spark.range(2000).select(F.lit(1).alias("page_id"), F.concat(F.lit("e"), "id").alias("ref"), F.lit(None).cast("string").alias("node_id"), F.when(F.col("id") != 7, "button").alias("role"), F.lit("Sign in").alias("text"))
+    said = F.when(F.col("id") < 1999, "[button] sign -> CLICK").otherwise("[] sign -> CLICK")
+    steps = spark.range(2000).select(F.lit(1).alias("page_id"), F.col("id").alias("step"), F.array().cast("array<string>").alias("ids"), F.lit("CLICK").alias("op"), F.lit("").alias("value"), said.alias("repr"))
+    by_id, rest, fits = actions.expected_classes(steps, elements)
+    assert by_id.count() == 0 and rest.count() == 2000
+    assert {r["role"]: r["count"] for r in fits.groupBy("role").count().collect()} == {"button": 1999, "": 2000}
+    assert actions.expected_refs(steps, elements).count() == 1999 * 1999 + 2000
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pages_equal_brute_force(spark):
     asked, steps, elements = (x.collect() for x in action_queries.page_steps(spark, SF))
