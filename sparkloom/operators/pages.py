@@ -51,18 +51,28 @@ class _Flat(HTMLParser):
                     row["text"] = f"{row['text']} {text}".strip()
 
 
+#: Pages whose elements a Python worker holds at once: an Arrow batch has thousands of pages.
+PAGES_AT_ONCE = 64
+
+
+def parsed(batches: Iterator[pd.DataFrame], key: str, html: str) -> Iterator[pd.DataFrame]:
+    """key, e (the elements) of each page, a few pages at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), PAGES_AT_ONCE):
+            some, out = batch.iloc[start : start + PAGES_AT_ONCE], []
+            for page in some[html]:
+                flat = _Flat()
+                flat.feed(page or "")
+                out.append(flat.rows)
+            yield pd.DataFrame({key: some[key].array, "e": out})
+
+
 def elements(df: DataFrame, key: str, html: str) -> DataFrame:
     """key, depth, ord, tag, attrs, text: a row for each element."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = []
-            for page in batch[html]:
-                flat = _Flat()
-                flat.feed(page or "")
-                parsed.append(flat.rows)
-            yield pd.DataFrame({key: batch[key], "e": parsed})
+        return parsed(batches, key, html)
 
     return df.select(key, html).mapInPandas(run, f"{key} {kind}, e array<struct<{_KIND.replace(' int', ':int').replace(' string', ':string', 1).replace(' map<', ':map<').replace('text string', 'text:string')}>>").select(key, F.explode("e").alias("e")).select(key, "e.*")
 

@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -174,6 +175,13 @@ def test_sources(spark, tmp_path):
         files.read_any(spark, "x.csv")
 
 
+def test_pages_are_parsed_a_few_at_a_time():
+    batch = pd.DataFrame({"id": range(1000), "html": ["<a>x</a>" * (i % 3) for i in range(999)] + [None]})
+    frames = list(pages.parsed(iter([batch]), "id", "html"))
+    assert max(map(len, frames)) <= 64
+    assert [(i, len(e)) for f in frames for i, e in zip(f["id"], f["e"], strict=True)] == [(i, i % 3) for i in range(999)] + [(999, 0)]
+
+
 def test_slices_follow_the_order_of_files(spark, tmp_path):
     """Later files are larger, and some are cut into splits; slices inside a file, over several, of nothing, and beyond the end. Also lines that can't be read."""
     path = tmp_path / "t.parquet"
