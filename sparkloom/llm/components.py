@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stash, unstash
+from sparkloom.llm.common import settle, stash, unstash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     executor costs one round at most. Only sums reach the driver. Rounds grow with
     the logarithm of the longest chain. Loops and repeated edges are ignored.
     """
+    settle(edges.sparkSession)
     now = stash(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cleaned, small_batches, stash, table, trim, unstash
+from sparkloom.llm.common import cleaned, settle, small_batches, stash, table, trim, unstash
 from sparkloom.llm.components import components
 
 SEED = 42
@@ -179,12 +179,34 @@ def _rarity(texts: DataFrame, words: int) -> np.ndarray:
     return (2 * np.log2(counts + 1)).astype(np.uint8)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """One bit for each of the shingles, among two to four times as many (64 at least)."""
+    bits = 1 << max(6, (2 * len(own) - 1).bit_length())
+    held = np.zeros(bits, np.uint8)
+    held[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def most_shared(an: int, amap: bytes, bn: int, bmap: bytes) -> int:
+    """At most so many shingles are in both sets, by their sizes and bitmaps. A longer bitmap is folded to the length of the other."""
+    x, y = (np.frombuffer(m, np.uint8) for m in (amap, bmap))
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in (x, y))
+    return min(an - int(np.bitwise_count(x & ~y).sum()), bn - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _asked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    return texts.select("row", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi")
+
+
 def shingle_links(texts: DataFrame, words: int) -> DataFrame:
-    """texts: row long, text. Rows: a, b long, a < b, for every pair whose sets of shingles have the least similarity or more.
+    """texts: row long, text. Rows: a, b long, a < b: pairs whose sets of shingles have the least similarity or more.
+
+    Every such pair is in one component of what is returned; pairs within a component that other links already make are not all listed.
 
     Shingles are ordered by rarity, so such sets share one among their first ones
     (prefix filter). Pairs met there are dropped by their sizes and by the places of the
-    shared shingle, and verified on all shingles. Sets should be distinct. A written table of texts is removed as soon as nothing reads it any more.
+    shared shingle and by bitmaps, and verified on all shingles. Sets should be distinct. A written table of texts is removed as soon as nothing reads it any more.
     """
     spark = texts.sparkSession
     classes = spark.sparkContext.broadcast(_rarity(texts.select("text"), words))
@@ -213,6 +235,17 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
     pairs = stash(met.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct(), "shingle-pairs")
     unstash(tokens)
 
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(t, words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bitmap(x) for x in own], pa.binary())], ["row", "n", "map"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            an, am, bn, bm = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [most_shared(*row) * (NUMERATOR + DENOMINATOR) >= (row[0] + row[2]) * NUMERATOR for row in zip(an, am, bn, bm, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t, words)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["row", "own"])
@@ -226,14 +259,25 @@ def shingle_links(texts: DataFrame, words: int) -> DataFrame:
                 keep.append(shared * (NUMERATOR + DENOMINATOR) >= (len(x) + len(y)) * NUMERATOR)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    known = stash(texts.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, own binary"), "shingle-sets")
-    unstash(texts)
-    both = pairs.join(known.withColumnsRenamed({"row": "a", "own": "x"}), "a").join(known.withColumnsRenamed({"row": "b", "own": "y"}), "b")
-    links = stash(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "shingle-links")
+    # Pairs meet by bitmaps first, of a thirtieth of the size: few of those that are not similar carry their shingles through a shuffle.
+    told = stash(_asked(texts, pairs).mapInArrow(maps, "row long, n long, map binary"), "shingle-maps")
+    side = lambda t, s: t.withColumnsRenamed({c: s if c == "row" else f"{s}_{c}" for c in t.columns})
+    near = pairs.join(side(told, "a"), "a").join(side(told, "b"), "b").select("a", "b", "a_n", "a_map", "b_n", "b_map")
+    near = stash(near.mapInArrow(close, "a long, b long"), "shingle-close")
     unstash(pairs)
+    unstash(told)
+    known = stash(_asked(texts, near).mapInArrow(sets, "row long, own binary"), "shingle-sets")
+    unstash(texts)
+    # Rows that links have brought together need no further one: a row's first pair goes ahead, and of the others those between components follow.
+    verify = lambda t: t.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "a_own", "b_own").mapInArrow(similar, "a long, b long")
+    first = stash(verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "shingle-links")
+    held = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = lambda s: held.withColumnsRenamed({"node": s, "component": f"{s}_root"})
+    apart = near.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    rest = stash(verify(apart), "shingle-links")
+    unstash(near)
     unstash(known)
-    return links
+    return first.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
@@ -244,6 +288,7 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, id_col: str = "doc_
     The rows are written once with their fingerprints; what is joined afterwards is
     numbers of rows, and the shingles that may link them.
     """
+    settle(docs.sparkSession)
     small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"))
     at = docs.columns.index(text_col)

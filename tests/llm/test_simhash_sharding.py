@@ -2,6 +2,7 @@ import random
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -148,3 +149,34 @@ def test_near_copies_of_similarity_four_fifths_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_bitmaps_never_say_less_than_what_is_shared():
+    rnd = np.random.default_rng(5)
+    for size in (1, 5, 31, 32, 33, 64, 500, 3000):
+        for share in (0.0, 0.5, 0.8, 1.0):
+            a = np.unique(rnd.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rnd.integers(0, 1 << 63, size - int(size * share) + 3).astype(np.uint64)]))
+            most = simhash.most_shared(len(a), simhash.bitmap(a), len(b), simhash.bitmap(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+            assert share > 0.5 or size < 31 or most * 9 < (len(a) + len(b)) * 4
+
+
+def test_pairs_that_are_not_similar_do_not_carry_their_shingles(spark, monkeypatch):
+    """Before, every pair that met over a shingle had both sets in its row, and each pair of a group of copies."""
+    written, stash = {}, simhash.stash
+
+    def seen(df, name):
+        out = stash(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", seen)
+    shared = prose(1, 20)
+    texts = [" ".join([shared, prose(100 + i, 30)]) for i in range(30)]
+    long = prose(7, 200).split()
+    texts += [" ".join([*long[:i], "other", *long[i + 1 :]]) for i in range(0, 120, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    links = simhash.shingle_links(stash(docs, "texts"), 5).collect()
+    assert written["shingle-pairs"][0] >= 60 and written["shingle-sets"] == [12] and len(links) == 11
+    assert {r["b"] for r in links} == set(range(31, 42)) and all(r["a"] >= 30 for r in links)
