@@ -215,6 +215,37 @@ def test_probabilities_of_a_context_sum_to_one():
         assert abs(p.sum() + unseen * back - 1) < 1e-9
 
 
+def test_joined_texts_count_and_gain_as_one_by_one(monkeypatch):
+    """Before, each text was looked up by itself: there was no joined(), and no way to hold many texts in one call."""
+    import numpy as np
+
+    from sparkloom.llm.token_files import pack, unpack
+
+    rnd, bits, end = np.random.default_rng(3), suffix_tree.SYMBOL_BITS, 8
+    counts = np.array([0, 90, 80, 70, 60, 50, 40, 300, 20])
+    tree = suffix_tree.SuffixTree(6, counts, np.log((counts + 1) / (counts.sum() + 10)))
+    texts = [np.append(rnd.integers(0, 8, k), end).astype(np.uint32) for k in (0, 1, 2, 3, 4, 0, 300, 7, 64, 5)]
+    texts[6][::5] = 70_000 * (texts[6][::5] > 6) + texts[6][::5] * (texts[6][::5] <= 6)  # ids of several widths
+    counted = Counter()
+    for t in texts:
+        state = tree.states(t, 1)[0]
+        counted.update((state << bits | t[1:])[(state >= 0) & (t[1:] > 0) & (t[1:] < 9)].tolist())
+    pairs = np.array(sorted(counted))
+    tree.counts[0] = np.bincount(pairs >> bits, [counted[k] + 9 for k in pairs.tolist()], 6) + 50
+    tree.add_level(pairs, np.array([counted[k] + 9 for k in pairs.tolist()]))
+    tree.kept[0][:] = True
+    packed = [pack(t) for t in texts]
+    for chunk in (1, 10, 100, 1 << 17):
+        monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", chunk)
+        parts = list(suffix_tree.joined([len(t) for t in texts], *map(list, zip(*packed))))
+        assert np.concatenate([ids for _, ids in parts]).tolist() == np.concatenate([unpack(*p, len(t)) for p, t in zip(packed, texts)]).tolist()
+        assert len(parts) < len(texts) or chunk == 1
+        clipped = [(s, np.where(ids > 8, 0, ids)) for s, ids in parts]
+        got = np.concatenate([np.add.reduceat(np.concatenate([[0.0], tree.gains(ids)]), s) for s, ids in clipped])
+        want = [tree.gains(np.where(t > 8, 0, t)).sum() if len(t) > 1 else 0.0 for t in texts]
+        assert np.abs(got - want).max() < 1e-9 and np.abs(want).max() > 0
+
+
 TEXT = 'Mr. John Smith met Frau Petra Müller and Mrs Smith. Иван Петров. SSN 123-45-6789, card 4111 1111 1111 1111; api_key: "AbC123_xyzXYZ987" x.1@y7.org X.1@Y7.ORG +1 (017) 555-7713 10.20.30.40'
 
 
