@@ -68,6 +68,26 @@ def test_lines_match_brute_force(spark):
         assert cut[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
 
 
+def test_all_links_of_lines_match_brute_force(spark):
+    """Before, a line that its earliest neighbour settled did not meet the others, and no count told how many there are."""
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(12)]
+    lines = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(12)] + [" ".join(base), " ".join(base), "a b c d", " ".join(base[:10])]
+    lines += [" ".join(rnd.choices([f"v{k}" for k in range(14)], k=rnd.randint(5, 14))) for _ in range(60)]
+    rnd.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [[frozenset(x.split()) for x in (t or "").split("\n")] for t in texts]
+    classes = {s for t in sets for s in t if len(s) >= 5}
+    similar = lambda s: sum(s != o and 9 * len(s & o) >= 4 * (len(s) + len(o)) for o in classes)
+    want = [sum(similar(s) for s in t if len(s) >= 5) for t in sets]
+    got = {r["doc_id"]: r for r in line_dedup.duplicate_lines(docs, links=True).collect()}
+    assert [got[i]["n_pairs"] for i in range(len(texts))] == want and sum(want) == 49
+    assert [got[i]["removed_lines"] for i in range(len(texts))] == brute_lines(texts)
+    plain = {r["doc_id"]: r for r in line_dedup.duplicate_lines(docs).collect()}
+    assert all(plain[i][c] == got[i][c] for i in plain for c in ("n_lines", "n_removed", "n_links", "removed_lines"))
+
+
 def test_lines_of_odd_tables(spark):
     docs = odd(spark)
     out = line_dedup.drop_duplicate_lines(docs)
