@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm import line_dedup, quality, suffix_tree, surrogates, tag_paths, tiling
 from tests.llm.fixtures import none, odd, odd_rows, prose
 
@@ -88,6 +90,29 @@ def test_all_links_of_lines_match_brute_force(spark):
     assert all(plain[i][c] == got[i][c] for i in plain for c in ("n_lines", "n_removed", "n_links", "removed_lines"))
 
 
+def test_lines_are_parsed_once_and_prefixes_meet_part_by_part(spark, monkeypatch):
+    """Each part of the words has its own shuffle, no line is parsed for a test of its key, and ordered words are plain longs."""
+    kept = {}
+    stash = line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: kept.setdefault(name, []).append(df) or stash(df, name))
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = ["\n".join(" ".join(rng.sample(words, rng.randint(5, 12))) for _ in range(8)) for _ in range(30)]
+    texts += [t.replace("w1 ", "w2 ") for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [line_dedup.duplicate_lines(docs).orderBy("doc_id").collect()]
+    parsed = [n for f in kept["line-words"] for n in f._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in n and "xxhash64(" in n]
+    assert not parsed
+    assert len(kept["line-pairs"]) == line_dedup.PARTS + 1
+    lines = docs.select("text")
+    assert not line_dedup._parsed(lines, "text", F.array(F.lit(0).cast("long"))).schema["words"].dataType.containsNull
+    for parts in (1, 8):
+        monkeypatch.setattr(line_dedup, "PARTS", parts)
+        found.append(line_dedup.duplicate_lines(docs).orderBy("doc_id").collect())
+    assert found[0] == found[1] == found[2]
+    assert sum(r["n_links"] for r in found[0]) > 0
+
+
 def test_lines_of_odd_tables(spark):
     docs = odd(spark)
     out = line_dedup.drop_duplicate_lines(docs)
