@@ -24,8 +24,10 @@ from sparkloom.llm.pieces import PieceMemo
 
 #: Entries of the memo of token pairs after which it is emptied.
 PAIR_ENTRIES = 250_000
+#: Entries of the memo of cuts after which the older half goes: each takes some 300 bytes, and an executor has a worker for each core beside its own heap.
+MEMO_ENTRIES = 400_000
 #: Bytes of text that are encoded at once: the arrays over their cuts take some thirty times as much.
-CALL_BYTES = 2 << 20
+CALL_BYTES = 1 << 20
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -160,7 +162,7 @@ class BpeCodec:
     def __init__(self, ranks_content: bytes, pattern: str):
         ranks = parse_ranks(ranks_content)
         self.encoder = BacktrackEncoder(ranks)
-        self.memo = PieceMemo(pattern, lambda piece: self.encoder.piece(piece.encode("utf-8", "surrogatepass")))
+        self.memo = PieceMemo(pattern, lambda piece: self.encoder.piece(piece.encode("utf-8", "surrogatepass")), MEMO_ENTRIES)
         self.vocabulary = [self.encoder.tokens.get(i, b"") for i in range(max(ranks.values()) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -217,6 +219,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 ],
                 ["_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
+            pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("_id", id_col)

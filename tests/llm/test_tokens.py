@@ -84,3 +84,20 @@ def test_special_token_strings_go_to_the_library_whole():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "plain text here"]
     for text, ids in zip(texts, token_files.LibraryEncoder(content, P.PATTERN).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_codec_keeps_a_smaller_memo_of_its_own(monkeypatch):
+    """Before, the codec's memo had the room of the shared default. One that is emptied again and again gives the same ids."""
+    import public_tokenizers
+
+    from sparkloom.llm import bpe, pieces
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        content = f.read()
+    texts = [" ".join(f"w{i}x{j} Word{j}." for j in range(40)) for i in range(60)]
+    large = bpe.BpeCodec(content, public_tokenizers.PATTERN)
+    assert large.memo.entries == bpe.MEMO_ENTRIES < pieces.MEMO_ENTRIES
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 100)
+    small = bpe.BpeCodec(content, public_tokenizers.PATTERN)
+    assert [small.encode([t])[0] for t in texts] == large.encode(texts)
+    assert len(small.memo.cuts) <= 100 + 82
